@@ -56,7 +56,8 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", size: int
 def ball_edges(fps: DataFrame) -> DataFrame:
     """Distinct ``fps(fp)`` -> ``(a, b)``: links between fingerprints at one or two differing bits that keep every
     component whole (each bucket is linked as a star)."""
-    ball = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit")).select(
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ball = spread.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(63))).alias("bit")).select(
         F.expr("case when bit < 0 then fp else fp ^ shiftleft(1L, bit) end").alias("variant"),
         F.expr("case when bit < 0 then 0L else shiftleft(1L, bit) end").alias("flip"),
     )
@@ -94,7 +95,7 @@ def near_duplicates(
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     joined = linked.join(least, "root").select("fp", "component")
     reach = fps.join(joined, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return base.join(reach, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    return base.join(tables.write(reach), "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
 
 
 def hex16(fp: str = "fp"):
