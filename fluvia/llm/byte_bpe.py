@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .merges import Merges
 from .segments import SEGMENT, SPACE, Memo, clean
 
 _LOADED: dict[tuple[str, str], "BytePairs"] = {}
@@ -33,18 +34,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def merge(data: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The definition: merge the neighbours of least rank, leftmost first, until none merges. For short inputs."""
-    parts = [data[i : i + 1] for i in range(len(data))]
-    while len(parts) > 1:
-        found = [(ranks[p + q], i) for i, (p, q) in enumerate(zip(parts, parts[1:], strict=False)) if p + q in ranks]
-        if not found:
-            break
-        i = min(found)[1]
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
-
-
 class BytePairs:
     """A vocabulary with its automaton; made once per Python worker."""
 
@@ -60,17 +49,14 @@ class BytePairs:
         self.sizes = {i: len(b) for b, i in ranks.items()}
         self.widest = max(self.sizes.values())
         self.longest = Memo(self._longest, most=200_000, longest=self.widest)
-        self.sound: dict[int, bool] = {}
+        self.merges = Merges(ranks)
         self.shorter: dict[int, int] = {}
         self.apart: dict[tuple[int, int], bool] = {}
         self.pieces = Memo(self._piece)
         self.segments = Memo(self._segment)
 
     def _sound(self, token: int) -> bool:
-        """Whether a token's own bytes merge to it."""
-        if (found := self.sound.get(token)) is None:
-            found = self.sound[token] = merge(self.tokens[token], self.ranks) == [token]
-        return found
+        return self.merges.sound(self.tokens[token])
 
     def _shorter(self, token: int) -> int:
         """The next shorter sound token that starts with the same bytes; -1 if none."""
@@ -87,8 +73,7 @@ class BytePairs:
         if (found := self.apart.get((left, right))) is None:
             if len(self.apart) >= 500_000:
                 self.apart.clear()
-            found = merge(self.tokens[left] + self.tokens[right], self.ranks) == [left, right]
-            self.apart[left, right] = found
+            found = self.apart[left, right] = self.merges.apart(self.tokens[left], self.tokens[right])
         return found
 
     def _longest(self, path: str) -> int:

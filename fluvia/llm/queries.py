@@ -4,12 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import byte_bpe, packing, prefix_counts, simhash
 from .common import read
 
+TOKEN_LIMIT = 4096
+
+
+def op1_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of ``docs`` with a digest of their ids."""
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counts = prefix_counts.token_counts(read(spark, sf_dir, "documents"), path, TOKEN_LIMIT)
+    over = (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
+    return counts.select("doc_id", "n_bytes", "n_tokens", over, "fitting_chars")
+
+
+def op8_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
@@ -18,6 +45,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_harmonic_packing": op1_harmonic_packing,
+        "op5_prefix_token_counts": op5_prefix_token_counts,
+        "op8_byte_bpe_round_trip": op8_byte_bpe_round_trip,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
