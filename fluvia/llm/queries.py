@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, prefix_counts, simhash
-from .common import read
+from . import byte_bpe, language_ppm, packing, prefix_counts, simhash, toxicity_cnn
+from .common import crc32_mod, read
 
 TOKEN_LIMIT = 4096
 
@@ -26,6 +26,14 @@ def packed(docs: DataFrame) -> DataFrame:
     )
 
 
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity_cnn.fit(docs, read(spark, sf_dir, "labels"))
+    held_out = (crc32_mod("doc_id", 3) == 1).alias("held_out")
+    predicted = (F.col("score") >= toxicity_cnn.CUT).cast("int").alias("predicted")
+    return toxicity_cnn.score(docs, model).select("doc_id", held_out, "score", predicted)
+
+
 def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     counts = prefix_counts.token_counts(read(spark, sf_dir, "documents"), path, TOKEN_LIMIT)
@@ -33,6 +41,12 @@ def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", over, "fitting_chars")
 
 
+def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = language_ppm.predict(docs, language_ppm.fit_on_rest(docs, folds=4, held_out=2))
+    return found.select("doc_id", (crc32_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -46,7 +60,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
+        "op4_toxicity_cnn": op4_toxicity_cnn,
         "op5_prefix_token_counts": op5_prefix_token_counts,
+        "op7_language_ppm": op7_language_ppm,
         "op8_byte_bpe_round_trip": op8_byte_bpe_round_trip,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
