@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_ppm, packing, prefix_counts, simhash, toxicity_cnn
+from . import byte_bpe, language_ppm, link_trust, packing, prefix_counts, simhash, toxicity_cnn
 from .common import crc32_mod, read
 
 TOKEN_LIMIT = 4096
@@ -26,6 +26,10 @@ def packed(docs: DataFrame) -> DataFrame:
     )
 
 
+def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judge(read(spark, sf_dir, "pages"), link_trust.RULES)
+
+
 def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity_cnn.fit(docs, read(spark, sf_dir, "labels"))
@@ -60,6 +64,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
+        "op2_link_trust": op2_link_trust,
         "op4_toxicity_cnn": op4_toxicity_cnn,
         "op5_prefix_token_counts": op5_prefix_token_counts,
         "op7_language_ppm": op7_language_ppm,
