@@ -14,7 +14,9 @@ chunks before each run of U+2581 and the counts of a chunk are found once and me
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from operator import sub
 
 import ahocorasick
 import numpy as np
@@ -50,31 +52,39 @@ class PrefixCounter:
         for piece in filter(self.merges.sound, self.rank):
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
-        self.chunks = Memo(self._chunk, most=200_000)
+        self.chunks = Memo(self._chunk, most=300_000)
 
     def counts(self, chunk: str) -> list[int]:
         """Token counts of the prefixes of 0, 1, ... code points of one chunk."""
-        ends: dict[int, list[str]] = {}
-        for end, piece in self.automaton.iter(chunk):  # longest first
-            ends.setdefault(end, []).append(piece)
         last, count, known, merges = [""], [0], self.merges.pairs, self.merges
-        for i, char in enumerate(chunk):
-            for piece in ends.get(i, ()):
-                at = i + 1 - len(piece)
-                if before := last[at]:
-                    fits = known.get((before, piece))
-                    if not (merges.compatible(before, piece) if fits is None else fits):
-                        continue
-                last.append(piece)
-                count.append(count[at] + 1)
-                break
-            else:  # in no piece: a token a byte, and no neighbour merges with it
-                last.append("")
-                count.append(count[i] + len(char.encode("utf-8", "surrogatepass")))
+        done = 0
+        for end, piece in self.automaton.iter(chunk):  # by end, longest first
+            if end < done:
+                continue
+            at = end + 1 - len(piece)
+            if end > done:
+                self._bytes(chunk, done, end, last, count)
+                done = end
+            if before := last[at]:
+                fits = known.get((before, piece))
+                if not (merges.compatible(before, piece) if fits is None else fits):
+                    continue
+            last.append(piece)
+            count.append(count[at] + 1)
+            done += 1
+        self._bytes(chunk, done, len(chunk), last, count)
         return count
 
+    @staticmethod
+    def _bytes(chunk: str, start: int, end: int, last: list[str], count: list[int]) -> None:
+        """Code points that end no piece: a token a byte, and no neighbour merges with them."""
+        for char in chunk[start:end]:
+            last.append("")
+            count.append(count[-1] + len(char.encode("utf-8", "surrogatepass")))
+
     def _chunk(self, chunk: str) -> bytes:
-        return np.diff(self.counts(chunk)).astype(np.int8).tobytes()
+        count = self.counts(chunk)
+        return array("b", map(sub, count[1:], count)).tobytes()
 
     def changes(self, text: str | None) -> bytes:
         """One signed byte for each code point of the text: tokens that its prefix has more than the one before."""
