@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_ppm, link_trust, packing, prefix_counts, simhash, toxicity_cnn
+from . import (
+    byte_bpe,
+    language_ppm,
+    link_trust,
+    order_minhash,
+    packing,
+    prefix_counts,
+    simhash,
+    toxicity_cnn,
+)
 from .common import crc32_mod, read
 
 TOKEN_LIMIT = 4096
@@ -45,6 +54,19 @@ def op5_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", over, "fitting_chars")
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = order_minhash.edited_copies(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.as_text("sketch").alias("fingerprint"),
+        order_minhash.as_text("edited_sketch").alias("edited_fingerprint"),
+        order_minhash.likeness("sketch", "edited_sketch").alias("near_edited"),
+        order_minhash.likeness("sketch", "next_sketch").alias("near_next"),
+    )
+
+
 def op7_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = language_ppm.predict(docs, language_ppm.fit_on_rest(docs, folds=4, held_out=2))
@@ -67,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_link_trust": op2_link_trust,
         "op4_toxicity_cnn": op4_toxicity_cnn,
         "op5_prefix_token_counts": op5_prefix_token_counts,
+        "op6_order_minhash": op6_order_minhash,
         "op7_language_ppm": op7_language_ppm,
         "op8_byte_bpe_round_trip": op8_byte_bpe_round_trip,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
