@@ -15,6 +15,7 @@ from . import (
     order_minhash,
     packing,
     prefix_counts,
+    robust_outliers,
     simhash,
     toxicity_cnn,
 )
@@ -39,6 +40,10 @@ def op2_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.judge(read(spark, sf_dir, "pages"), link_trust.RULES)
 
 
+def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return robust_outliers.judge(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity_cnn.fit(docs, read(spark, sf_dir, "labels"))
@@ -87,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
         "op2_link_trust": op2_link_trust,
+        "op3_robust_outliers": op3_robust_outliers,
         "op4_toxicity_cnn": op4_toxicity_cnn,
         "op5_prefix_token_counts": op5_prefix_token_counts,
         "op6_order_minhash": op6_order_minhash,
