@@ -14,6 +14,7 @@ from . import (
     link_trust,
     order_minhash,
     packing,
+    page_graph,
     prefix_counts,
     robust_outliers,
     simhash,
@@ -83,6 +84,11 @@ def op8_byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op9_page_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_graph.main_text(read(spark, sf_dir, "pages"), page_graph.trained())
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return simhash.near_duplicates(docs).select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
@@ -98,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_order_minhash": op6_order_minhash,
         "op7_language_ppm": op7_language_ppm,
         "op8_byte_bpe_round_trip": op8_byte_bpe_round_trip,
+        "op9_page_graph": op9_page_graph,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 
