@@ -216,7 +216,7 @@ def ruleset_reject(spark, sf_dir):
 @query()
 def token_census(spark, sf_dir):
     """Tokens of each kind over log lines, by the general rule set."""
-    parts = ["Jan 12 06:30:00 web app: GET /p/", _text("user_id"), " from 10.0.0.", (F.col("user_id") % 250).cast("string"), ":80 took ", _text("event_id"), "ms ERROR: kind=", F.col("event_type")]
+    parts = ["2024-01-12 06:30:00 [web] GET /p/", _text("user_id"), " from 10.0.0.", (F.col("user_id") % 250).cast("string"), ":80 took ", _text("event_id"), "ms ERROR: kind=", F.col("event_type")]
     line = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     rows = read(spark, sf_dir, "events").select(line.alias("line"))
     found = ruleset.extract(rows, "line", ruleset.from_document(ruleset.GENERIC))
