@@ -48,7 +48,7 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.segments = Memo(self._segment)
+        self.segments = Memo(self._segment, most=150_000)
 
     def _segment(self, segment: str) -> bytes:
         if len(segment) <= self.longest:
