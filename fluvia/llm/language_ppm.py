@@ -59,7 +59,7 @@ class Trees:
         self.langs, self.order = sorted(samples), order
         whole = [np.concatenate([grams(t, order) for t in samples[x]] or [np.zeros(0, np.uint64)]) for x in self.langs]
         self.layers: list[Layer] = []
-        for k in range(order + 1):
+        for k in range(order + 1 if self.langs else 0):
             self._add(k, whole, seen if k else 1)
 
     def _add(self, k: int, whole: list[np.ndarray], seen: int) -> None:
