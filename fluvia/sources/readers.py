@@ -29,8 +29,8 @@ def line_files(spark: SparkSession, glob: str, exclude: Sequence[str] = (), enco
 
     Line numbers need a file in one task. ``since`` reads only files changed after a time (``2024-01-01T00:00:00``).
     """
-    options = {"wholetext": "true", "encoding": encoding} | ({"modifiedAfter": since} if since else {})
-    whole = _excluded(_named(spark.read.options(**options).text(glob)), exclude)
+    options = {"encoding": encoding} | ({"modifiedAfter": since} if since else {})
+    whole = _excluded(_named(spark.read.options(**options).text(glob, wholetext=True)), exclude)
     text = F.regexp_replace("value", r"\r?\n\z", "")
     lines = whole.filter(F.length("value") > 0).select("path", "filename", F.posexplode(F.split(text, r"\r?\n", -1)).alias("n", "original_message"))
     return lines.select("path", "filename", (F.col("n") + 1).cast("long").alias("ln"), "original_message")
