@@ -29,6 +29,7 @@ from .common import Tables
 
 SYMBOLS = b"#*$%&|<>"
 BINS = 96
+SALTS = 64
 STATS = ("s_words", "s_length", "s_symbols", "s_lines", "s_repeats")
 #: Least standard deviation of each statistic, in its own unit: what differs by less is alike.
 FLOORS = (0.5, 0.15, 0.045, 0.6, 0.2)
@@ -129,7 +130,10 @@ def fit(rows: DataFrame, tables: Tables, least_group: int = 50, coverage: float
     Each row counts in its group, its language and in all. The start is the middle half of each statistic alone:
     medians and quartiles by Spark's approximate percentiles.
     """
-    levels = rows.select(F.explode(group_names()).alias("grp"), *STATS)
+    # a group may hold a third of the rows, and one holds all: its rows are dealt over salts, its estimates copied to each
+    salted = rows.select("lang", "source", *STATS, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    levels = salted.select(F.explode(group_names()).alias("grp"), "salt", *STATS)
+    over_salts = lambda estimates: estimates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     start = levels.groupBy("grp").agg(F.count("*").alias("rows"), *_quartiles())
     scale = [F.greatest((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, F.lit(f)) for i, f in enumerate(FLOORS)]
     now = start.filter((F.col("rows") >= least_group) | (F.col("grp") == "*")).select(
@@ -146,12 +150,12 @@ def fit(rows: DataFrame, tables: Tables, least_group: int = 50, coverage: float
         return pd.DataFrame([{"grp": key[0]} | _estimates(own, coverage)])[schema.names]
 
     for _ in range(steps):
-        binned = levels.join(now, "grp").select("grp", _binned(_distance()).alias("bin"), *STATS)
+        binned = levels.join(over_salts(now), ["grp", "salt"]).select("grp", _binned(_distance()).alias("bin"), *STATS)
         added = binned.groupBy("grp", "bin").agg(F.count("*").alias("n"), *sums, *products)
         step = tables.write(added.groupBy("grp").applyInPandas(estimate, schema))
         tables.drop(now)
         now = step
-    middle = levels.join(now, "grp").select("grp", _distance().alias("d2"))
+    middle = levels.join(over_salts(now), ["grp", "salt"]).select("grp", _distance().alias("d2"))
     middle = middle.groupBy("grp").agg(F.percentile_approx("d2", F.lit(0.5), F.lit(1000)).alias("middle"))
     return tables.write(now.join(middle, "grp"))
 
