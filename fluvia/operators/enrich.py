@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import java_format
+from .ranges import before_each, range_bucket
 
 
 def envelope(df: DataFrame, input_name: str, kind: str, key: Column | None = None) -> DataFrame:
@@ -90,18 +91,18 @@ def merge(df: DataFrame, fields: Sequence[str], out: str, deep: bool = False, de
 def sequence(df: DataFrame, order_by: Sequence[str], start: int = 0, out: str = "seq") -> DataFrame:
     """A counter without gaps in the order of ``order_by``, which should be total.
 
-    Rows are dealt by ranges of the order and counted there; only the counts of the ranges, one row a task, are added
-    up in one place. So no task holds all rows.
+    Rows are shuffled once, by ranges of the order, and numbered there; only the counts of the ranges, one row each,
+    are added up in one place. So no task holds all rows.
     """
     if not order_by:
         raise ValueError("a sequence needs an order")
-    ranged = df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id())
-    # the split of ranges is sampled: fix it, so that counts and rows see the same
-    fixed = ranged.withColumn("_in_part", F.row_number().over(Window.partitionBy("_part").orderBy(*order_by)))
-    counts = fixed.groupBy("_part").agg(F.max("_in_part").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    joined = fixed.join(before.select("_part", "_before"), "_part")
-    return joined.withColumn(out, (F.col("_before") + F.col("_in_part") - 1 + start).cast("long")).drop("_part", "_in_part", "_before")
+    parted = df.withColumn("_part", range_bucket(df, order_by))
+    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = before_each(counts, "_part", F.sum("_n"), "_before")
+    in_part = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by))
+    joined = parted.withColumn("_in_part", in_part).join(before, "_part")
+    number = F.coalesce("_before", F.lit(0)) + F.col("_in_part") - 1 + start
+    return joined.withColumn(out, number.cast("long")).drop("_part", "_in_part", "_before")
 
 
 def timestamp(df: DataFrame, out: str, source: Column | None = None, pattern: str | None = None, unix: bool = False) -> DataFrame:

@@ -82,7 +82,8 @@ def xml_elements(source: Column, tag: str) -> Column:
 def xml_extract(df: DataFrame, source: str, schema: str, out: str, tag: str | None = None, error: str = ERROR) -> DataFrame:
     """Parses XML by a schema; attributes are fields beside the elements, text beside attributes is ``_``.
 
-    With ``tag``, ``out`` is the array of all elements of that name in the text; a text without one has an empty array.
+    With ``tag``, ``out`` is the array of all elements of that name in the text; a text without one has an empty array,
+    and ``error`` is the first element that cannot be read.
     """
     options = {"attributePrefix": "", "valueTag": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     one = lambda c: F.from_xml(c, f"{schema}, _bad string", options)
@@ -91,18 +92,10 @@ def xml_extract(df: DataFrame, source: str, schema: str, out: str, tag: str | No
         bad = F.col(source).isNotNull() & (F.col("_parsed").isNull() | F.col("_parsed._bad").isNotNull())
         df = df.withColumn(error, F.when(bad, F.col(source)))
         return df.withColumn(out, F.when(F.col(error).isNull(), F.col("_parsed").dropFields("_bad"))).drop("_parsed")
-    # from_xml takes a column of the row, so elements are exploded and gathered again within their row's own number
-    numbered = df.withColumn("_row", F.monotonically_increasing_id())
-    each = numbered.select("_row", F.posexplode(xml_elements(F.col(source), tag)).alias("_at", "_xml"))
-    parsed = each.select("_row", "_at", "_xml", one(F.col("_xml")).alias("_parsed"))
-    bad = F.when(F.col("_parsed").isNull() | F.col("_parsed._bad").isNotNull(), F.col("_xml"))
-    items = F.struct("_at", F.col("_parsed").dropFields("_bad").alias("value"))
-    gathered = parsed.groupBy("_row").agg(F.array_sort(F.collect_list(items)).alias("_items"), F.max(bad).alias(error))
-    joined = numbered.join(gathered, "_row", "left")
-    kind = joined.schema["_items"].dataType.elementType["value"].dataType
-    values = F.transform("_items", lambda x: x["value"])
-    empty = F.when(F.col(source).isNotNull(), F.array().cast(f"array<{kind.simpleString()}>"))
-    return joined.withColumn(out, F.coalesce(values, empty)).drop("_row", "_items")
+    df = df.withColumn("_items", F.transform(xml_elements(F.col(source), tag), lambda x: F.struct(x.alias("xml"), one(x).alias("parsed"))))
+    bad = F.filter("_items", lambda x: x["parsed"].isNull() | x["parsed"]["_bad"].isNotNull())
+    df = df.withColumn(error, F.get(bad, F.lit(0))["xml"])
+    return df.withColumn(out, F.transform("_items", lambda x: x["parsed"].dropFields("_bad"))).drop("_items")
 
 
 def xml_rows(df: DataFrame, source: str, schema: str, tag: str, error: str = ERROR) -> DataFrame:

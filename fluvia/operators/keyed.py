@@ -1,7 +1,7 @@
 """Keyed results over ordered rows: every-N aggregates, batches, joined lines, counts, alerts, paced replay.
 
 Arrival order is an argument: ``order_by`` should be total. Without a key, operators that only count or accumulate
-work by ranges of the order (see ``ranged``); those that depend on earlier decisions replay each key's rows as a
+work by ranges of the order (see ``ranges``); those that depend on earlier decisions replay each key's rows as a
 stream of batches in one task, with memory for one key's state.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from .enrich import sequence
 from .extract import xml_elements
+from .ranges import before_each, range_bucket
 from .route import Predicate, accept, holds
 
 
@@ -296,15 +297,17 @@ def throttle(df: DataFrame, interval_ms: int, ts: str, order_by: Sequence[str],
     """
     _ordered(order_by)
     t = interval_ms
-    numbered = sequence(df, order_by, out="_n")
     tick = F.ceil(F.unix_millis(F.col(ts).cast("timestamp")) / t) * t
-    lead = numbered.withColumn("_x", tick - t * F.col("_n"))
-    span = 4096
-    parts = lead.withColumn("_part", F.floor(F.col("_n") / span))
-    tops = parts.groupBy("_part").agg(F.max("_x").alias("_top"))
-    # two levels: the largest value of all parts before, from one row a part
-    before = tops.withColumn("_before", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    own = F.max("_x").over(Window.partitionBy("_part").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))
-    joined = parts.withColumn("_own", own).join(before.select("_part", "_before"), "_part")
-    release = F.greatest(F.col("_own"), F.coalesce("_before", "_own")) + t * F.col("_n")
-    return joined.withColumn(out, release.cast("long")).drop("_n", "_x", "_part", "_own", "_before")
+    ordered = Window.partitionBy("_part").orderBy(*order_by)
+    numbered = df.withColumn("_part", range_bucket(df, order_by)).withColumn("_i", F.row_number().over(ordered) - 1)
+    lead = numbered.withColumn("_x", tick - t * F.col("_i"))
+    running = lead.withColumn("_own", F.max("_x").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = lead.groupBy("_part").agg(F.count("*").alias("_rows"), F.max("_x").alias("_top"))
+    offsets = totals.join(before_each(totals, "_part", F.sum("_rows"), "_rows_before"), "_part")
+    offset = F.coalesce("_rows_before", F.lit(0))
+    tops = offsets.select("_part", offset.alias("_offset"), (F.col("_top") - t * offset).alias("_reach"))
+    before = tops.select("_part", "_offset").join(before_each(tops, "_part", F.max("_reach"), "_carry"), "_part")
+    own = F.col("_own") - t * F.col("_offset")
+    release = F.greatest(own, F.coalesce("_carry", own)) + t * (F.col("_offset") + F.col("_i"))
+    joined = running.join(before, "_part").withColumn(out, release.cast("long"))
+    return joined.drop("_part", "_i", "_x", "_own", "_offset", "_carry")
