@@ -162,7 +162,8 @@ def fit_on_rest(docs: DataFrame, folds: int = 4, held_out: int = 2, **options) -
 
 
 def predict(docs: DataFrame, trees: Trees, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """Adds the predicted language and its score to every row, from the whole text alone."""
+    """Adds the predicted language and its score to every row, from the whole text alone; columns of those names are
+    replaced. Null texts and texts without a letter are ``und`` with score 0. No rows give no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("lang string, score double")
@@ -170,9 +171,8 @@ def predict(docs: DataFrame, trees: Trees, text: str = "text", lang_out: str = "
         own = shared.value
         return pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score"])
 
-    return docs.withColumn("_guess", guess(F.col(text))).select(
-        "*", F.col("_guess.lang").alias(lang_out), F.col("_guess.score").alias(score_out)
-    ).drop("_guess")
+    judged = docs.withColumn("_guess", guess(F.col(text)))
+    return judged.withColumns({lang_out: F.col("_guess.lang"), score_out: F.col("_guess.score")}).drop("_guess")
 
 
 def keep_known(docs: DataFrame, trees: Trees, least: float = 0.5, text: str = "text") -> DataFrame:

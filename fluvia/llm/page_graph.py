@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -49,19 +50,25 @@ TAG_FEATURES = (
     "article main section p h1 h2 h3 blockquote pre figure table ul ol li dl a div span nav header footer aside form "
     "button label details address dialog menu body".split()
 )
-#: Words of class, id and role that pages name their parts by, as stems.
-GOOD_STEMS = "article content main post story entry body text page prose".split()
-BAD_STEMS = (
-    "nav menu head foot side aside banner ad ads advert sponsor promo cookie consent notice alert popup modal comment "
-    "reply discuss respon disqus share social related recommend widget breadcrumb pager pagination login search form "
-    "subscribe newsletter meta tag byline author copyright legal skip toolbar".split()
+#: Words of class, id and role that pages name their parts by, and beginnings of such words.
+GOOD_WORDS = frozenset("article articlebody content main post posts story entry body text page prose".split())
+BAD_WORDS = frozenset(
+    "ad ads aside banner breadcrumb breadcrumbs byline alert author copyright footer form header legal login masthead menu "
+    "menus meta modal nav notice notices pager pagination popup promo replies reply respond response responses search "
+    "share sharing side skip social tag tags toolbar topbar widget widgets".split()
 )
+BAD_STARTS = (
+    "advert comment consent cookie discuss disqus footer header navbar navigation newsletter notification recommend "
+    "related sidebar signup socials sponsor subscribe subscription"
+).split()
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?:>|\Z)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 STEM = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"\shidden(?=[\s=>/])|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+QUOTED = re.compile(r"\"[^\"]*+\"|'[^']*+'")
+HIDDEN = re.compile(r"\shidden(?=[\s=>/])", re.I)
+UNSEEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
 @dataclass
@@ -79,6 +86,12 @@ def parse(page: str | None) -> list[Node]:
     whose content is no running text are left out; unclosed and misnested elements are closed as browsers do."""
     page = page or ""
     nodes, stack, at, lead = [Node("html", -1)], [0], 0, ""
+    opened: Counter[str] = Counter()
+
+    def close(depth: int) -> None:
+        opened.subtract(nodes[i].tag for i in stack[depth:])
+        del stack[depth:]
+
     for m in TOKEN.finditer(page):
         start, token = m.start(), m.group()
         if start < at:
@@ -90,25 +103,25 @@ def parse(page: str | None) -> list[Node]:
             continue
         name = NAME.match(token).group(1).lower()
         if token[1] == "/":
-            if name in BLOCKS and name not in (nodes[i].tag for i in stack):
+            if opened[name] <= 0:
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag == name:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if name not in BLOCKS and nodes[stack[depth]].tag in BLOCKS:
                     break
             continue
-        if name in RAW or (HIDDEN.search(token) and name not in VOID):
+        if name in RAW or (name not in VOID and _hidden(token)):
             if not token.endswith("/>"):
                 at = _past(page, at, name)
             continue
         while len(stack) > 1 and name in CLOSED_BY.get(nodes[stack[-1]].tag, ()):
-            stack.pop()
+            close(len(stack) - 1)
         if name in BLOCKS and name != "br":  # an open paragraph further out ends, too
             for depth in range(len(stack) - 1, 0, -1):
                 if nodes[stack[depth]].tag == "p" and name in CLOSED_BY["p"]:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if nodes[stack[depth]].tag in BLOCKS:
                     break
@@ -116,11 +129,19 @@ def parse(page: str | None) -> list[Node]:
         nodes.append(Node(name, stack[-1], frozenset(found)))
         if name not in VOID and not token.endswith("/>"):
             stack.append(len(nodes) - 1)
+            opened[name] += 1
     if at < len(page):
         _text(nodes, stack[-1], lead, page[at:])
     return nodes
 
 
+def _hidden(token: str) -> bool:
+    """Whether a tag hides its element, by the attribute or by its style."""
+    if "hidden" not in token.lower() and "none" not in token.lower():
+        return False
+    return bool(HIDDEN.search(QUOTED.sub("", token)) or UNSEEN.search(token))
+
+
 def _past(page: str, at: int, name: str) -> int:
     """Behind the end tag of an element of which nothing is kept; other elements than text ones may nest."""
     nests, depth = name not in ("script", "style", "title", "textarea"), 1
@@ -146,8 +167,8 @@ SHAPES = ("text", "short", "long", "linked", "inline")
 COLUMNS = {x: i for i, x in enumerate(["one", *(f"<{t}>" for t in TAG_FEATURES), "good", "bad", *SHAPES])}
 
 
-def _hit(words: frozenset[str], stems: list[str]) -> bool:
-    return any(w == s or (len(s) > 3 and w.startswith(s)) for w in words for s in stems)
+def _bad(words: frozenset[str]) -> bool:
+    return any(w in BAD_WORDS or w.startswith(tuple(BAD_STARTS)) or w.endswith(("nav", "menu")) for w in words)
 
 
 def unary_features(nodes: list[Node]) -> np.ndarray:
@@ -168,8 +189,8 @@ def unary_features(nodes: list[Node]) -> np.ndarray:
         if (at := COLUMNS.get(f"<{node.tag}>")) is not None:
             row[at] = 1
         if node.words:
-            row[COLUMNS["bad"]] = bad = _hit(node.words, BAD_STEMS)
-            row[COLUMNS["good"]] = not bad and _hit(node.words, GOOD_STEMS)
+            row[COLUMNS["bad"]] = bad = _bad(node.words)
+            row[COLUMNS["good"]] = not bad and not GOOD_WORDS.isdisjoint(node.words)
         if node.chars:
             row[COLUMNS["short"]] = node.chars < 60
             row[COLUMNS["long"]] = node.chars >= 200
@@ -226,7 +247,7 @@ def _kind(node: Node) -> int:
         return 0
     if node.tag not in BLOCKS:
         return 1
-    return 3 if _hit(node.words, BAD_STEMS) or node.tag in ("nav", "header", "footer", "aside", "form") else 2
+    return 3 if _bad(node.words) or node.tag in ("nav", "header", "footer", "aside", "form") else 2
 
 
 def train(pages: list[tuple[str, list[bool]]], steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Model:
@@ -286,24 +307,19 @@ def extract(page: str | None, model: Model) -> str:
 
 def _spaced(nodes: list[Node], content: np.ndarray) -> Iterator[str]:
     """Content with blanks wherever the block changes."""
-    last = -1
+    block, last = [0] * len(nodes), -1
     for i, node in enumerate(nodes):
+        block[i] = i if node.tag in BLOCKS else block[max(0, node.parent)]
         if node.tag in BLOCKS:
             yield " "
         elif not node.tag:
-            if (block := _block(nodes, i)) != last:
+            if block[i] != last:
                 yield " "
-                last = block
+                last = block[i]
             if content[i]:
                 yield node.text
 
 
-def _block(nodes: list[Node], i: int) -> int:
-    while i > 0 and (nodes[i].tag not in BLOCKS):
-        i = nodes[i].parent
-    return i
-
-
 def main_text(pages: DataFrame, model: Model, html: str = "html", out: str = "text") -> DataFrame:
     """Adds ``out``, the main text of every whole page; null, empty and contentless pages have an empty text. Rows and
     other columns stay."""
