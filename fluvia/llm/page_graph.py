@@ -162,8 +162,9 @@ def _text(nodes: list[Node], parent: int, lead: str, raw: str) -> str:
     return ""
 
 
-#: Features of a node: a constant, tags, stems, text lengths and linked share.
-SHAPES = ("text", "short", "long", "linked", "inline")
+CONTAINERS = frozenset("article div main section td".split())
+#: Features of a node: a constant, tags, names, text lengths, linked share, and whether a named main part is around it.
+SHAPES = ("text", "short", "long", "most", "linked", "inline", "outer header")
 COLUMNS = {x: i for i, x in enumerate(["one", *(f"<{t}>" for t in TAG_FEATURES), "good", "bad", *SHAPES])}
 
 
@@ -184,16 +185,22 @@ def unary_features(nodes: list[Node]) -> np.ndarray:
         up.linked += node.linked
     out = np.zeros((len(nodes), len(COLUMNS)), np.float32)
     out[:, 0] = 1
+    half, inside, named_bad = max(1, nodes[0].chars) / 2, [False] * len(nodes), [False] * len(nodes)
     for i, node in enumerate(nodes):
         row = out[i]
+        up = max(0, node.parent)
+        inside[i] = inside[up] or nodes[up].tag in ("article", "main") or out[up, COLUMNS["good"]] > 0
+        row[COLUMNS["outer header"]] = node.tag == "header" and not inside[i]
         if (at := COLUMNS.get(f"<{node.tag}>")) is not None:
             row[at] = 1
         if node.words:
             row[COLUMNS["bad"]] = bad = _bad(node.words)
             row[COLUMNS["good"]] = not bad and not GOOD_WORDS.isdisjoint(node.words)
+        named_bad[i] = named_bad[up] or row[COLUMNS["bad"]] > 0 or node.tag in ("nav", "aside", "footer", "form")
         if node.chars:
             row[COLUMNS["short"]] = node.chars < 60
             row[COLUMNS["long"]] = node.chars >= 200
+            row[COLUMNS["most"]] = node.chars >= half and node.tag in CONTAINERS and not named_bad[i]
             row[COLUMNS["linked"]] = node.linked / node.chars
         if not node.tag:
             row[COLUMNS["text"]] = 1
@@ -250,7 +257,7 @@ def _kind(node: Node) -> int:
     return 3 if _bad(node.words) or node.tag in ("nav", "header", "footer", "aside", "form") else 2
 
 
-def train(pages: list[tuple[str, list[bool]]], steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Model:
+def train(pages: list[tuple[str, list[bool]]], steps: int = 180, rate: float = 0.15, decay: float = 1e-3) -> Model:
     """Maximum likelihood on pages whose nodes are labelled (in the order of ``parse``), by Adam on exact gradients."""
     model = Model(np.zeros(len(COLUMNS)), np.zeros((4, 2, 2)))
     seen = []
@@ -290,7 +297,7 @@ def labels(nodes: list[Node]) -> list[bool]:
 
 
 @lru_cache(maxsize=4)
-def trained(pages: int = 240, seed: int = 5) -> Model:
+def trained(pages: int = 280, seed: int = 5) -> Model:
     """The model trained on generated layouts; the same arguments give the same model."""
     found = list(labelled_pages(pages, seed))
     return train([(p, labels(parse(p))) for p in found])
