@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from .enrich import sequence
 from .extract import xml_elements
-from .ranges import before_each, range_bucket
+from .ranges import before_each, range_bucket, row_number_by_key
 from .route import Predicate, accept, holds
 
 
@@ -36,14 +36,20 @@ def every_n(
     first: bool = True,
     ts: str | None = None,
     out: str = "aggregate",
+    spread: bool = False,
 ) -> DataFrame:
     """Of the rows where ``when`` holds, each key's every ``n``-th one with sums over the ``n`` rows up to it.
 
     With ``first`` a key's first row comes out at once, alone, and counting starts behind it. ``aggregates`` are
     numbers that are added up; with ``ts`` the struct also has ``dts``, the milliseconds from the first of those rows.
-    Rows of an unfinished group do not come out. Without a key all rows are one group, in one task.
+    Rows of an unfinished group do not come out.
+
+    Each key's rows pass through one task. Where a key may hold a large share of all rows, or there is none, ``spread``
+    numbers them by ranges and adds up each group of ``n`` on its own: two balanced shuffles instead of one.
     """
     _ordered(order_by)
+    if spread:
+        return _every_n_spread(accept(df, when), n, aggregates, order_by, list(key), first, ts, out)
     ordered = Window.partitionBy(*key).orderBy(*order_by)
     last_n = ordered.rowsBetween(1 - n, 0)
     fields = [F.sum(c).over(last_n).alias(k) for k, c in aggregates.items()]
@@ -55,6 +61,21 @@ def every_n(
     return numbered.filter(done).drop("_rn")
 
 
+def _every_n_spread(rows: DataFrame, n: int, aggregates: Mapping[str, Column], order_by: Sequence[str], key: list[str], first: bool, ts: str | None, out: str) -> DataFrame:
+    numbered = row_number_by_key(rows, key, order_by, "_rn") if key else sequence(rows, order_by, 1, "_rn")
+    group = F.ceil((F.col("_rn") - 1) / n) if first else F.floor((F.col("_rn") - 1) / n)
+    sums = [F.sum(c).alias(f"_sum_{k}") for k, c in aggregates.items()]
+    whole = F.struct(*rows.columns)
+    grouped = numbered.withColumn("_group", group).groupBy(*([F.struct(*key).alias("_key")] if key else []), "_group")
+    made = grouped.agg(F.count("*").alias("_size"), F.max_by(whole, "_rn").alias("_last"), F.min_by(whole, "_rn").alias("_first"), *sums)
+    fields = [F.col(f"_sum_{k}").alias(k) for k in aggregates]
+    if ts:
+        ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+        fields.append((ms(f"_last.{ts}") - ms(f"_first.{ts}")).alias("dts"))
+    done = (F.col("_size") == n) | (F.col("_group") == 0) if first else F.col("_size") == n
+    return made.filter(done).select("_last.*", F.struct(*fields).alias(out))
+
+
 def replay(df: DataFrame, key: Sequence[str], order_by: Sequence[str], schema: T.StructType, start: Callable[[], object]) -> DataFrame:
     """Feeds each key's rows in order to a fresh ``start()``, which has ``row(dict) -> list of dicts`` and
     ``end() -> list of dicts``. Batches stream through, so a key of any size needs memory for its state alone."""
@@ -137,11 +158,16 @@ def every_n_ttl(
     return replay(rows, key, order_by, T.StructType(fields), lambda: _EveryTtl(n, names, first, ttl_ms, tail))
 
 
-def array_by_size(df: DataFrame, size: int, order_by: Sequence[str], key: Sequence[str] = (), out: str = "rows", tail: bool = False) -> DataFrame:
+def array_by_size(
+    df: DataFrame, size: int, order_by: Sequence[str], key: Sequence[str] = (), out: str = "rows", tail: bool = False, spread: bool = False
+) -> DataFrame:
     """Every ``size`` rows as one row with the array of them, in order, by key if given; with its number in ``batch``.
-    An unfinished last array comes out only with ``tail``."""
+    An unfinished last array comes out only with ``tail``. Without a key, or with ``spread``, rows are numbered by
+    ranges, so no task holds all rows of a key."""
     _ordered(order_by)
-    if key:
+    if key and spread:
+        numbered = row_number_by_key(df, key, order_by, "_n").withColumn("_n", F.col("_n") - 1)
+    elif key:
         numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order_by)) - 1)
     else:
         numbered = sequence(df, order_by, out="_n")

@@ -38,3 +38,17 @@ def before_each(totals: DataFrame, part: str, value: Column, out: str) -> DataFr
 
     earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(part, value.over(earlier).alias(out))
+
+
+def row_number_by_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str], out: str) -> DataFrame:
+    """Row numbers from 1 within each key, dealt by ranges of key and order: a key with many rows lies in several
+    ranges, so no task holds it whole. Only counts by range and key are added up. Null keys are one key."""
+    from pyspark.sql import Window
+
+    parted = df.select("*", range_bucket(df, [*key, *order_by]).alias("_part"), F.struct(*key).alias("_key"))
+    in_part = F.row_number().over(Window.partitionBy("_part", "_key").orderBy(*order_by))
+    counts = parted.groupBy("_part", "_key").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", "_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    joined = parted.withColumn("_in_part", in_part).join(before, ["_part", "_key"])
+    return joined.withColumn(out, F.col("_before") + F.col("_in_part")).drop("_part", "_key", "_in_part", "_before")

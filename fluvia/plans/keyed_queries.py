@@ -49,6 +49,13 @@ def every_n_nofirst(spark, sf_dir):
     return _every(spark, sf_dir, False)
 
 
+@query(_EVERY.format(grp="ceil((rn - 1) / 10)", keep="n = 10 OR grp = 0"))
+def every_n_spread(spark, sf_dir):
+    sums = {"n": F.lit(1), "cents": _cents()}
+    out = keyed.every_n(read(spark, sf_dir, "events"), 10, sums, ["event_id"], ["user_id"], "event_type <> 'view'", spread=True)
+    return out.select("user_id", "event_id", "aggregate.n", "aggregate.cents")
+
+
 @query(
     "WITH e AS (SELECT user_id, event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(round(value * 100) AS BIGINT) AS c FROM events WHERE event_type <> 'signup'), "
     "m AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM e), g AS (SELECT *, ceil((rn - 1) / 10) AS grp FROM m), "

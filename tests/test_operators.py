@@ -218,6 +218,18 @@ def test_every_n_edges(spark):
                 assert sorted(values(got, "i", "aggregate.s")) == want
 
 
+def test_spread_equals_plain(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumns({"k": F.expr("if(user_id < 6, null, if(user_id < 11, 'hot', event_type))"), "c": F.round(F.col("value") * 100)})
+    sums = {"n": F.lit(1), "c": F.col("c")}
+    for first in (True, False):
+        plain, spread = (keyed.every_n(events, 7, sums, ["event_id"], ["k"], first=first, ts="ts", spread=x) for x in (False, True))
+        assert sorted(values(spread, "event_id", "aggregate.*")) == sorted(values(plain, "event_id", "aggregate.*"))
+    alone = keyed.every_n(events, 7, sums, ["event_id"], first=False, spread=True)
+    assert sorted(values(alone, "event_id", "aggregate.c")) == sorted(values(keyed.every_n(events, 7, sums, ["event_id"], first=False), "event_id", "aggregate.c"))
+    arrays = [sorted(values(keyed.array_by_size(events, 9, ["event_id"], ["k"], spread=x), F.coalesce("k", F.lit("-")), "batch", F.transform("rows", lambda r: r["event_id"]))) for x in (False, True)]
+    assert arrays[0] == arrays[1]
+
+
 def test_ttl(spark):
     times = [0, 10, 20, 1000, 1010, 5000]
     df = spark.createDataFrame([(i, "k", t / 1000) for i, t in enumerate(times)], "i int, k string, t double").withColumn("ts", F.col("t").cast("timestamp"))
