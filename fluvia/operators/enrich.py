@@ -134,13 +134,12 @@ def translate(df: DataFrame, fields: Mapping[str, str], dictionary: Mapping[str,
         return df.withColumns({o: F.coalesce(hit(F.col(i)), star, F.col(i).cast("string")) for i, o in fields.items()})
     if isinstance(dictionary, Mapping):
         dictionary = df.sparkSession.createDataFrame(list(dictionary.items()), "code string, label string")
-    star_row = dictionary.filter(F.col("code") == "*").agg(F.max("label").alias("_star"))
-    df = df.crossJoin(F.broadcast(star_row))  # one row
+    star = F.lit(dictionary.filter(F.col("code") == "*").agg(F.max("label")).first()[0]).cast("string")
     for source, out in fields.items():
         found = dictionary.select(F.col("code").alias("_code"), F.col("label").alias("_label"))
         joined = df.join(found, F.col(source).cast("string") == F.col("_code"), "left")
-        df = joined.withColumn(out, F.coalesce("_label", "_star", F.col(source).cast("string"))).drop("_code", "_label")
-    return df.drop("_star")
+        df = joined.withColumn(out, F.coalesce(F.col("_label"), star, F.col(source).cast("string"))).drop("_code", "_label")
+    return df
 
 
 def global_value(df: DataFrame, values: DataFrame, order_by: str, value: str, out: str, partition: Sequence[str] = ()) -> DataFrame:

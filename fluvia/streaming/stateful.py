@@ -68,7 +68,8 @@ def machine_stream(
     df: DataFrame, key: Sequence[str], order_by: Sequence[str], schema: T.StructType, start: Callable[[], object], idle_ms: int | None = None
 ) -> DataFrame:
     """Rows of a stream through one machine for each key. After ``idle_ms`` of processing time without rows a key's
-    machine ends: what it holds comes out and the key starts anew."""
+    machine ends: what it holds comes out and the key starts anew. A query with such timers runs a batch at every
+    trigger, with or without rows, so it never counts as having processed all that is available."""
     work = _Machine(start, schema.names, order_by, idle_ms)
     mode = "None" if idle_ms is None else "ProcessingTime"
     return df.groupBy(*key).transformWithState(statefulProcessor=work, outputStructType=schema, outputMode="Append", timeMode=mode)
@@ -150,11 +151,11 @@ def join_lines(
     most: int = 1000,
     wait_ms: int | None = None,
     ts: str | None = None,
-    idle_ms: int = 2000,
+    idle_ms: int | None = 2000,
     out: str = "out",
 ) -> DataFrame:
     """Multi-line events, as ``keyed.join_lines``. The last event of a key comes out once no row has come for
-    ``idle_ms`` of the clock."""
+    ``idle_ms`` of the clock; with None it waits for the next boundary."""
     ms = F.unix_millis(F.col(ts).cast("timestamp")) if ts else F.lit(0).cast("long")
     rows = df.withColumns({"_begins": holds(boundary), "_ms": ms})
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])

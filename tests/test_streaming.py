@@ -11,7 +11,7 @@ from fluvia.streaming import stateful
 
 @pytest.fixture(scope="module")
 def events(spark, sf):
-    spark.conf.set("spark.sql.shuffle.partitions", "2")  # each partition of each batch starts a worker
+    spark.conf.set("spark.sql.shuffle.partitions", "1")  # each partition of each batch starts a worker
     rows = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts", "user_id", "event_type", F.round(F.col("value") * 100).alias("cents"))
     rows = rows.filter("user_id < 4").withColumn("ts", F.col("ts").cast("timestamp"))
     folder = tempfile.mkdtemp(prefix="spark-") + "/events"
@@ -21,17 +21,11 @@ def events(spark, sf):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-def run(stream, name, mode="append", wait=0):
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).start()
+def run(stream, name):
+    where = tempfile.mkdtemp(prefix="spark-")
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", where).trigger(availableNow=True).start()
     try:
-        query.processAllAvailable()
-        if wait:
-            import time
-
-            end = time.time() + wait
-            while time.time() < end:
-                query.processAllAvailable()
-                time.sleep(0.5)
+        assert query.awaitTermination(120)
     finally:
         query.stop()
     return stream.sparkSession.table(name)
@@ -75,9 +69,9 @@ def test_array_by_size(events):
 def test_join_lines(events):
     batch, stream = events
     want = keyed.join_lines(batch, "event_type", "event_type = 'signup'", ["event_id"], ["user_id"], "+", most=4)
-    made = stateful.join_lines(stream(), "event_type", "event_type = 'signup'", ["event_id"], ["user_id"], "+", most=4, idle_ms=60_000)
+    made = stateful.join_lines(stream(), "event_type", "event_type = 'signup'", ["event_id"], ["user_id"], "+", most=4, idle_ms=None)
     got = rows(run(made, "joined"), "event_id", "out")
-    # the last event of each key still waits for the clock
+    # the last event of each key still waits for its end
     assert set(got) < set(rows(want, "event_id", "out"))
     assert len(got) == want.count() - batch.select("user_id").distinct().count()
 
