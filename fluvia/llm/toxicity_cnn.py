@@ -6,7 +6,7 @@ text; of each the largest few values are kept (k-max pooling, which also tells o
 logit. All of it is trained in numpy with Adam. The first embedding column starts at the log-odds of its hash bucket,
 so rare words count from the first step.
 
-Thresholds are calibrated by language on rows kept from training. The language is guessed from the text's words, as
+Thresholds are calibrated by language on all labelled rows kept from training. The language is guessed from the text's words, as
 the language column is no input; the logit is shifted so that the threshold of the guessed language scores 0.7.
 """
 
@@ -27,6 +27,8 @@ WORD = re.compile(r"[^\W\d_]+")
 CUT = 0.7
 BLOCK = 1 << 15
 HELD = 50_000
+#: Bins a unit of the logit, and the logits beyond which all rows share a bin, for the thresholds.
+BINS, FAR = 64, 40
 
 
 @dataclass(frozen=True)
@@ -210,27 +212,43 @@ def train(texts: list[str], labels: np.ndarray, shape: Shape = Shape()) -> Model
     return Model(s, embed, filters, bias, weights, float(offset[0]))
 
 
-def _threshold(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the gap with the best F1; with both classes present."""
-    order = np.argsort(-logits, kind="stable")
-    z, hit = logits[order], np.cumsum(labels[order])
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + labels.sum())
-    open_ = np.append(z[:-1] > z[1:], True)
-    best = int(np.argmax(np.where(open_, f1, -1)))
-    return float((z[best] + (z[best + 1] if best + 1 < len(z) else z[best] - 1)) / 2)
+def _threshold(bins: np.ndarray, hits: np.ndarray, rows: np.ndarray) -> float:
+    """The middle of the gap with the best F1, from the toxic rows and all rows of each bin; with both classes present."""
+    order = np.argsort(-bins, kind="stable")
+    z, hit, total = bins[order], np.cumsum(hits[order]), np.cumsum(rows[order])
+    best = int(np.argmax(2 * hit / (total + hits.sum())))
+    above = z[best + 1] + 1 if best + 1 < len(z) else z[best] - BINS
+    return float((z[best] + above) / 2 / BINS)
 
 
-def calibrate(model: Model, texts: list[str], labels: np.ndarray, least: int = 8) -> None:
-    """Thresholds on rows that were not trained on: one for each guessed language with at least ``least`` rows of
-    either class, and one over all rows for the rest."""
-    found = [model.logit(t) for t in texts]
-    logits, langs = np.array([x for x, _ in found]), np.array([x for _, x in found])
-    if 0 < labels.sum() < len(labels):
-        model.threshold = _threshold(logits, labels)
-    for lang in set(langs.tolist()):
-        own = langs == lang
-        if min(labels[own].sum(), own.sum() - labels[own].sum()) >= least:
-            model.thresholds[lang] = _threshold(logits[own], labels[own])
+def calibrate(model: Model, counts: pd.DataFrame, least: int = 8) -> None:
+    """Thresholds from ``counts(lang, bin, y, n)`` of rows that were not trained on: one for each guessed language
+    with at least ``least`` rows of either class, and one over all rows for the rest."""
+
+    def cut(own: pd.DataFrame, least: int) -> float | None:
+        by = own.assign(hits=own.n * own.y).groupby("bin")[["hits", "n"]].sum()
+        if min(by.hits.sum(), by.n.sum() - by.hits.sum()) < least:
+            return None
+        return _threshold(by.index.to_numpy(np.int64), by.hits.to_numpy(np.int64), by.n.to_numpy(np.int64))
+
+    model.threshold = cut(counts, 1) or model.threshold
+    for lang, own in counts.groupby("lang"):
+        if (found := cut(own, least)) is not None:
+            model.thresholds[lang] = found
+
+
+def _counts(rows: DataFrame, model: Model) -> pd.DataFrame:
+    """``rows(text, y)`` by guessed language, label and bin of the logit: a table of bounded size."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang string, bin int")
+    def placed(texts: pd.Series) -> pd.DataFrame:
+        found = [shared.value.logit(t) for t in texts]
+        bins = [int(np.floor(np.clip(z, -FAR, FAR) * BINS)) for z, _ in found]
+        return pd.DataFrame({"lang": pd.Series([x for _, x in found], dtype=object), "bin": np.array(bins, np.int32)})
+
+    found = rows.select("y", placed("text").alias("p")).groupBy("p.lang", "p.bin", "y").agg(F.count("*").alias("n"))
+    return pd.DataFrame([tuple(r) for r in found.collect()], columns=["lang", "bin", "y", "n"])
 
 
 def _languages(model: Model, texts: list[str], langs: list[str | None]) -> None:
@@ -256,11 +274,13 @@ def fit(
     most_chars: int = 8_000_000,
     shape: Shape = Shape(),
 ) -> Model:
-    """Trains on a bounded sample of the labelled rows and calibrates on a quarter of it that is kept apart.
+    """Trains on three quarters of a bounded sample of the labelled rows and calibrates on all others.
 
     Rows whose crc32 of the id as text modulo ``folds`` is ``held_out`` are not read. Of each class at most
     ``most_rows`` ids are drawn, in the order of a hash, and of those as many as stay within ``most_chars`` characters
-    of text; both bounds keep the driver's memory fixed. An id that is labelled more than once counts by its largest
+    of text; both bounds keep the driver's memory fixed. Every labelled row that was not trained on is scored on the
+    executors, so the thresholds see the classes in their real shares at any size of the input; only counts by language,
+    label and bin of the logit come to the driver. An id that is labelled more than once counts by its largest
     label; null ids and labels are left out. Without rows of either class the model scores by its start values.
     """
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull() & (crc32_mod(id_col, folds) != held_out))
@@ -289,7 +309,12 @@ def fit(
     own_texts = [r["text"] or "" for r in rows]
     model = train([t for t, k in zip(own_texts, kept, strict=True) if not k], y[~kept], shape)
     _languages(model, own_texts, [r["lang"] for r in rows])
-    calibrate(model, [t for t, k in zip(own_texts, kept, strict=True) if k], y[kept])
+    learnable = texts.filter(crc32_mod("key", folds) != held_out)
+    trained = sorted({r["key"] for r, k in zip(rows, kept, strict=True) if not k})
+    if trained:
+        drawn = spark.createDataFrame([(k,) for k in trained], own.select("key").schema)
+        own = own.join(F.broadcast(drawn), "key", "left_anti")
+    calibrate(model, _counts(learnable.join(own.hint("shuffle_hash"), "key").select("text", "y"), model))
     return model
 
 

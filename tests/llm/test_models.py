@@ -87,6 +87,27 @@ def test_toxicity_edges(spark):
     assert toxicity_cnn.score(docs.limit(0), model, out="s").count() == 0
 
 
+def test_toxicity_thresholds_see_all_rows(spark):
+    """Beyond the cap of the draw, thresholds come from the real shares of the classes, not from equal ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    own = toxicity_cnn.calibrate
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity_cnn, "calibrate", lambda model, counts, *a: (seen.append(counts), own(model, counts, *a)))
+        toxicity_cnn.fit(docs, labels, most_rows=20)
+    known = labels.filter("toxic is not null").filter(crc32_mod("doc_id", 3) != 1).join(docs, "doc_id").toPandas()
+    counts = seen[0].groupby("y").n.sum()
+    for y in (0, 1):
+        assert 0 <= (known.toxic == y).sum() - counts[y] <= 20
+    assert counts[0] > 3 * counts[1]
+
+
+def test_toxicity_threshold():
+    bins, hits, rows = np.array([-64, 0, 64, 128]), np.array([1, 2, 5, 5]), np.array([900, 60, 6, 5])
+    assert toxicity_cnn._threshold(bins, hits, rows) == (64 + 1) / 2 / 64
+    assert toxicity_cnn._threshold(bins, hits, np.array([30, 2, 5, 5])) == (0 - 63) / 2 / 64
+
+
 @pytest.fixture(scope="module")
 def pages_model():
     return page_graph.trained()
