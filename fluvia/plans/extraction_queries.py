@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import extract, ruleset
-from .registry import read, registrar
+from ..operators.ranges import row_number_by_key
+from .registry import BLOB, read, registrar
 
 QUERIES: dict = {}
 query = registrar(QUERIES)
@@ -150,7 +151,9 @@ def winevt_extract(spark, sf_dir):
 @query("SELECT user_id, count(*) AS n, sum(event_id) AS ids, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
 def xml_tags(spark, sf_dir):
     one = F.concat(F.lit('junk <ev id="'), _text("event_id"), F.lit('"><kind>'), "event_type", F.lit("</kind></ev> "))
-    texts = read(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.collect_list(one), "").alias("text"))
+    events = row_number_by_key(read(spark, sf_dir, "events").select("user_id", "event_id", one.alias("one")), ["user_id"], ["event_id"], "_at")
+    part = F.floor((F.col("_at") - 1) / BLOB).alias("_part")
+    texts = events.groupBy("user_id", part).agg(F.array_join(F.collect_list("one"), "").alias("text")).drop("_part")
     rows = extract.xml_rows(texts, "text", "id bigint, kind string", "ev")
     return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("id").alias("ids"), F.count_distinct("kind").alias("kinds"))
 

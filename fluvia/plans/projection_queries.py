@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import enrich
+from ..operators.ranges import row_number_by_key
 from ..sinks import writers
 from ..sources import readers
-from .registry import read, registrar
+from .registry import BLOB, read, registrar
 
 QUERIES: dict = {}
 query = registrar(QUERIES)
@@ -230,10 +232,16 @@ def frame_priority(spark, sf_dir):
     events = read(spark, sf_dir, "events")
     pri = (8 + F.col("event_id") % 8).cast("string")
     text = F.concat(F.lit("<"), pri, F.lit(">"), "event_type", F.lit("\nn="), F.col("event_id").cast("string"))
-    item = F.struct("event_id", text.alias("t"))
-    blobs = events.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("x"))
-    blob = blobs.select("user_id", F.concat(F.lit("junk before"), F.array_join(F.transform("x", lambda e: e["t"]), "")).alias("blob"))
-    return readers.frame_records(blob, "blob", "priority")
+    numbered = row_number_by_key(events.select("user_id", "event_id", text.alias("t")), ["user_id"], ["event_id"], "_at")
+    item = F.struct("event_id", "t")
+    blobs = numbered.groupBy("user_id", F.floor((F.col("_at") - 1) / BLOB).alias("_part")).agg(F.array_sort(F.collect_list(item)).alias("x"))
+    blob = blobs.select("user_id", "_part", F.concat(F.lit("junk before"), F.array_join(F.transform("x", lambda e: e["t"]), "")).alias("blob"))
+    framed = readers.frame_records(blob, "blob", "priority")
+    counts = framed.groupBy("user_id", "_part").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("user_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("user_id").alias("_user"), F.col("_part").alias("_own"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    placed = framed.join(before, F.col("user_id").eqNullSafe(F.col("_user")) & (F.col("_part") == F.col("_own")))
+    return placed.withColumn("record", F.col("record") + F.col("_before")).drop("_user", "_own", "_part", "_before")
 
 
 @query(
