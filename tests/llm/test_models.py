@@ -1,4 +1,4 @@
-"""Toxicity, language, pages and outliers: held-out accuracy, exactness and edge rows."""
+"""Toxicity, language and outliers: held-out accuracy, exactness and edge rows."""
 
 import math
 from collections import Counter, defaultdict
@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluvia.llm import language_ppm, page_graph, page_layouts, robust_outliers, toxicity_cnn
+from fluvia.llm import language_ppm, robust_outliers, toxicity_cnn
 from fluvia.llm.common import crc32_mod
 
 
@@ -108,63 +108,6 @@ def test_toxicity_threshold():
     assert toxicity_cnn._threshold(bins, hits, np.array([30, 2, 5, 5])) == (0 - 63) / 2 / 64
 
 
-@pytest.fixture(scope="module")
-def pages_model():
-    return page_graph.trained()
-
-
-def brute_marginals(model, nodes, features):
-    local, n = features @ model.unary, len(nodes)
-    total, one = 0.0, np.zeros(n)
-    for bits in range(1 << n):
-        y = [bits >> i & 1 for i in range(n)]
-        s = sum(local[i] * y[i] for i in range(n))
-        s += sum(model.pairs[page_graph._kind(nodes[i]), y[nodes[i].parent], y[i]] for i in range(1, n))
-        total += math.exp(s)
-        one += math.exp(s) * np.array(y)
-    return one / total
-
-
-def test_marginals_are_exact(pages_model):
-    nodes = page_graph.parse('<nav><a href="/">x</a></nav><article class=post><h1>T</h1><p>Some <b>bold</b> text</article><footer>c')
-    features = page_graph.unary_features(nodes)
-    assert np.allclose(pages_model.marginals(nodes, features)[0], brute_marginals(pages_model, nodes, features))
-
-
-def test_pages_held_out(pages_model):
-    right = n = 0
-    for page in page_layouts.labelled_pages(80, 4711):
-        nodes = page_graph.parse(page)
-        y, p = page_graph.labels(nodes), pages_model.marginals(nodes, page_graph.unary_features(nodes))[0]
-        for node, a, b in zip(nodes, y, p, strict=True):
-            if not node.tag:
-                n, right = n + 1, right + ((b >= 0.5) == a)
-    assert right / n > 0.97
-
-
-@pytest.mark.parametrize(
-    ("page", "text"),
-    [
-        (None, ""),
-        ("", ""),
-        ("<html><body></body></html>", ""),
-        ("<article><h1>A &amp; B</h1><p>one\n  two<br>three</p><p>in<b>lin</b>e <i>x</i></p></article><footer>&copy; z</footer>", "A & B one two three inline x"),
-        ("<nav><ul><li><a href=/>menu</a></li></ul></nav><article><h1>T</h1><p><b>open<br><p>next</article>", "T open next"),
-        ('<article><h1>T</h1><p>Body text here.</p><div class="comments"><p>a reader says</p></div></article>', "T Body text here."),
-        ('<script>var t="</p>";</script><article><!-- <p>no</p> --><p>yes &lt;b&gt; "a<5" end</article', 'yes <b> "a<5" end'),
-    ],
-)
-def test_pages(pages_model, page, text):
-    assert page_graph.extract(page, pages_model) == text
-
-
-def test_pages_on_spark(spark, pages_model):
-    pages = spark.createDataFrame([(1, "<article><p>x y</p></article>", "u"), (2, None, None)], "page_id long, html string, n_chars string")
-    assert sorted((r["page_id"], r["text"]) for r in page_graph.main_text(pages, pages_model).collect()) == [(1, "x y"), (2, "")]
-    assert page_graph.main_text(pages.limit(0), pages_model).count() == 0
-    assert page_graph.extract("<div>" * 3000 + "deep" + "<p" * 2000, pages_model) is not None
-
-
 def slow_repeats(words):
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
     return len({j for i in range(len(words) - 4) if windows[tuple(words[i : i + 5])] > 1 for j in range(i, i + 5)})
