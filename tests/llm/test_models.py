@@ -1,5 +1,6 @@
 """Toxicity, language and outliers: held-out accuracy, exactness and edge rows."""
 
+import itertools
 import math
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluvia.llm import language_ppm, robust_outliers, toxicity_cnn
-from fluvia.llm.common import crc32_mod
+from fluvia.llm.common import Tables, crc32_mod
 
 
 def brute_ppm(samples, order, text, seen):
@@ -133,20 +134,73 @@ def test_outliers(spark, sf):
     assert robust_outliers.judge(whole.limit(0)).count() == 0
 
 
-def test_estimates_find_the_bulk():
-    """The concentration on the nearest rows gives the centre of clean rows in spite of a third of far ones."""
-    import pandas as pd
-
-    rng = np.random.default_rng(1)
-    k = len(robust_outliers.STATS)
-    clean, far = rng.normal(0, 1, (3000, k)), rng.normal(9, 1, (900, k))
-    rows = np.concatenate((clean, far))
-    d2 = np.square(rows).sum(axis=1)
-    bins = np.minimum(np.maximum(np.floor(4 * (np.log2(np.maximum(d2, 2.0**-12)) + 12)), 0), robust_outliers.BINS - 1)
-    sums = []
-    for b in np.unique(bins):
-        own = rows[bins == b]
-        row = {"bin": b, "n": len(own)} | {f"m{i}": own[:, i].sum() for i in range(k)}
-        sums.append(row | {f"p{i}_{j}": (own[:, i] * own[:, j]).sum() for i, j in robust_outliers.PAIRS})
-    found = robust_outliers._estimates(pd.DataFrame(sums), 0.75)
-    assert max(abs(found[f"c{i}"]) for i in range(k)) < 0.1
+def test_least_determinant_against_all_subsets():
+    """On tiny groups the search finds the subset that going through all of them finds."""
+    least = np.full(5, 1e-6)
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        rows = rng.normal(0, 1, (13, 5))
+        rows[:3] += rng.normal(8, 1, (3, 5))
+        size = lambda x: robust_outliers.bounded(np.cov(rows[list(x)].T, bias=True), least)[1]  # noqa: B023, E731
+        best = min(itertools.combinations(range(13), 10), key=size)
+        found = robust_outliers.least_determinant(rows, 0.75, least, starts=150)
+        assert size(found) == pytest.approx(size(best), abs=1e-9)
+
+
+def test_chi_square():
+    assert robust_outliers.chi_cdf(11.0705, 5) == pytest.approx(0.95, abs=1e-5)
+    assert robust_outliers.chi_square(0.5, 2) == pytest.approx(2 * math.log(2), abs=1e-9)
+    rows = np.random.default_rng(3).normal(0, 1, (200_000, 3))
+    near = rows[np.argsort(np.square(rows).sum(axis=1))[:150_000]]
+    assert robust_outliers.consistency(0.75, 3) == pytest.approx(1 / np.diag(np.cov(near.T)).mean(), rel=0.01)
+
+
+def _rows(spark, values, lang="en", source="s"):
+    table = [(lang, source, *map(float, v)) for v in values]
+    return spark.createDataFrame(table, "lang string, source string, " + ", ".join(f"{s} double" for s in robust_outliers.STATS))
+
+
+def test_fit_against_plain_concentration(spark, tmp_path):
+    """Estimates on Spark equal those of the same steps in numpy from the same start, and normal rows lie at chi-square
+    distances in spite of a fifth of far ones."""
+    rng = np.random.default_rng(5)
+    mix = rng.normal(0, 1, (5, 5)) * 2
+    clean = rng.normal(0, 1, (1600, 5)) @ mix + 20
+    rows = np.concatenate((clean, rng.normal(80, 3, (400, 5))))
+    found = {r["grp"]: r for r in robust_outliers.fit(_rows(spark, rows), Tables(spark, "t"), sample=5000).collect()}
+    least = np.array(robust_outliers.LEAST)
+
+    def near(held, centre, inverse):
+        off = rows - centre
+        d2 = np.einsum("ij,jk,ik->i", off, inverse, off)
+        bins = np.minimum(np.floor(32 * (np.log2(np.maximum(d2, 2.0**-12)) + 12)), 768)
+        return bins <= np.sort(bins)[held - 1]
+
+    own = rows[np.lexsort(rows.T)]
+    at = own[robust_outliers.least_determinant(own, 0.75, least)]
+    size = None
+    while True:
+        kept = rows[near(1500, at.mean(axis=0), robust_outliers.bounded(np.cov(at.T, bias=True), least)[0])]
+        now = robust_outliers.bounded(np.cov(kept.T, bias=True), least)[1]
+        if size is not None and now >= size - robust_outliers.FALL:
+            break
+        at, size = kept, now
+    off = rows - at.mean(axis=0)
+    d2 = np.einsum("ij,jk,ik->i", off, robust_outliers.bounded(np.cov(at.T, bias=True), least)[0], off)
+    final = rows[d2 <= robust_outliers.chi_square(0.975, 5) * robust_outliers.consistency(0.75, 5)]
+    inverse = robust_outliers.bounded(np.cov(final.T, bias=True) * robust_outliers.consistency(0.975, 5), least)[0]
+    assert len(found) == 3
+    for r in found.values():
+        assert r["n"] == len(final)
+        assert np.allclose([r[f"c{i}"] for i in range(5)], final.mean(axis=0))
+        assert np.allclose([r[f"i{i}_{j}"] for i, j in robust_outliers.PAIRS], [inverse[i, j] * (1 if i == j else 2) for i, j in robust_outliers.PAIRS], rtol=1e-6)
+    off = clean - final.mean(axis=0)
+    assert np.median(np.einsum("ij,jk,ik->i", off, inverse, off)) == pytest.approx(robust_outliers.chi_square(0.5, 5), rel=0.1)
+
+
+def test_levels(spark):
+    texts = [(i, " ".join(f"w{(i * 31 + j * j) % 9973}" for j in range(20 + i % 37)), "en", f"s{i % 3 if i % 10 else 9}") for i in range(200)]
+    docs = spark.createDataFrame([*texts, (900, texts[0][1], "xx", None), (901, "short", "en", "s0")], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in robust_outliers.judge(docs, least_group=50).collect()}
+    assert got[1]["level"] == "source" and got[10]["level"] == "language" and got[900]["level"] == "all" and got[901]["level"] is None
+    assert all(got[i]["kept"] for i in range(200)) and not got[901]["kept"]
