@@ -18,12 +18,11 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .merges import Merges
-from .segments import SEGMENT, SPACE, Memo, clean
+from .segments import Memo, blocks, clean, segment_pattern, spelled_out
 
 _LOADED: dict[tuple[str, str], "BytePairs"] = {}
 
@@ -40,8 +39,7 @@ class BytePairs:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
-        inside = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
-        self.pattern = regex.compile(inside)
+        self.pattern, self.cut = spelled_out(pattern), segment_pattern()
         self.automaton = ahocorasick.Automaton()
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), i)
@@ -54,6 +52,7 @@ class BytePairs:
         self.apart: dict[tuple[int, int], bool] = {}
         self.pieces = Memo(self._piece)
         self.segments = Memo(self._segment)
+        self.decoded = Memo(self._bytes, longest=4 * 48)
 
     def _sound(self, token: int) -> bool:
         return self.merges.sound(self.tokens[token])
@@ -114,18 +113,40 @@ class BytePairs:
     def _piece(self, piece: str) -> list[int]:
         return self.backtrack(piece.encode("utf-8", "surrogatepass"))
 
-    def _segment(self, segment: str) -> bytes:
+    def _segment(self, segment: str) -> tuple[bytes, str]:
+        """Ids of a segment, and in decimal with a comma behind each."""
         ids: list[int] = []
         for piece in self.pattern.findall(segment):
             ids += self.pieces[piece]
-        return array("I", ids).tobytes()
+        return array("I", ids).tobytes(), "".join(f"{i}," for i in ids)
+
+    def _bytes(self, ids: bytes) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    def encoded(self, text: str | None) -> Iterator[list[tuple[bytes, str]]]:
+        """What ``_segment`` makes of the segments of a text, block by block."""
+        for found in blocks(self.cut, clean(text)):
+            yield list(map(self.segments.__getitem__, found))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.segments.__getitem__, SEGMENT.findall(clean(text))))
+        return b"".join(ids for block in self.encoded(text) for ids, _ in block)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        """The bytes that ids stand for. Raises ``KeyError`` on unknown ids."""
+        return b"".join(self._bytes(ids[i : i + 1_000_000]) for i in range(0, len(ids), 1_000_000))
+
+    def digests(self, text: str | None) -> tuple[int, str, str]:
+        """Tokens of a text, and the SHA-256 of its ids in decimal, joined by commas, and of its decoded ids."""
+        count, written, back, rest = 0, hashlib.sha256(), hashlib.sha256(), b""
+        for block in self.encoded(text):
+            ids = [x[0] for x in block]
+            count += sum(map(len, ids)) // 4
+            listed = rest + "".join([x[1] for x in block]).encode()
+            written.update(listed[:-1])
+            rest = listed[-1:]  # the comma, unless nothing follows
+            back.update(b"".join(map(self.decoded.__getitem__, ids)))
+        return count, written.hexdigest(), back.hexdigest()
 
 
 def byte_pairs(path: str, pattern: str) -> BytePairs:
@@ -162,22 +183,19 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
 def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     pairs = byte_pairs(path, pattern)
     for batch in batches:
-        counts, ids_sha, back_sha = [], [], []
-        for t in batch.column(1):
-            ids = pairs.encode(t.as_py())
-            numbers = np.frombuffer(ids, "<u4").tolist()
-            counts.append(len(numbers))
-            ids_sha.append(hashlib.sha256(",".join(map(str, numbers)).encode()).hexdigest())
-            back_sha.append(hashlib.sha256(pairs.decode(ids)).hexdigest())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(back_sha)],
-            ["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        found = list(zip(*(pairs.digests(t.as_py()) for t in batch.column(1)), strict=True)) or [[]] * 3
+        columns = [pa.array(x, kind) for x, kind in zip(found, (pa.int64(), pa.string(), pa.string()), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes every text in one pass: ``id_col, n_tokens, ids_sha256`` (of the decimal ids joined by
-    commas), ``decoded_sha256``. The digests are taken beside the encoder, so ids never leave the worker."""
+    commas), ``decoded_sha256``.
+
+    The digests are taken beside the encoder, so ids never leave the worker. Null texts are empty; empty texts have no
+    ids and the digests of nothing. Repeated rows stay rows, no rows give no rows, and other columns, whatever their
+    names, are not read. Texts are encoded in blocks, so one of any length needs little more than itself.
+    """
     own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     made = own.mapInArrow(

@@ -1,8 +1,12 @@
 """Packing, prefix counts and byte-level BPE against the public libraries."""
 
 import base64
+import hashlib
+import itertools
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -12,7 +16,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fluvia.llm import byte_bpe, packing, prefix_counts
+from fluvia.llm import byte_bpe, packing, prefix_counts, segments
 
 PIECES = [
     " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "a", "b", "the", "ing", "'s", "'ll", "1", "23", "é", "ß", "中", "文",
@@ -84,10 +88,73 @@ def test_prefix_counts_on_spark(spark, texts):
         assert len(library.encode(t[: counted[i]["fitting_chars"]])) <= 50
 
 
-def test_cut_is_whole():
-    for n in [*range(0, 3000, 7), 1024, 1023, 1, 31, 32]:
-        pieces = packing.cut(n, 1024, 32)
-        assert sum(pieces) == n and max(pieces, default=1) <= 1024 and sorted(pieces, reverse=True) == pieces
+def every_code_point():
+    """Code points, each between letters, behind a blank and a digit, and twice before a stop; some at a time. Of the
+    planes without a letter, number or blank every 97th, of the others all."""
+    spare = lambda c: 0x40000 <= c < 0xE0000 or c >= 0xF0000
+    tables = re.compile("[" + segments.covered(r"\p{L}") + segments.covered(r"\p{N}") + segments.covered(r"\s") + "]")
+    assert not any(tables.match(chr(c)) for c in range(0x40000, 0x110000))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not (spare(c) and c % 97)]
+    for i in range(0, len(points), 40_000):
+        yield "\n".join(f"a{c}b 1{c} {c}{c}!" for c in map(chr, points[i : i + 40_000]))
+
+
+def test_every_code_point():
+    """The cuts agree with both libraries on every code point, also those that Python's tables know otherwise."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = byte_bpe.byte_pairs(path, P.PATTERN)
+    other, packed = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    for text in every_code_point():
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode_ordinary(text)
+        assert np.frombuffer(packed.encode(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def test_blocks_are_findall(texts):
+    cut = segments.segment_pattern()
+    for t in [*texts[:400], "".join(texts[3:300])]:
+        for size in (1, 2, 7, 64):
+            assert [x for found in segments.blocks(cut, t, size) for x in found] == cut.findall(t)
+        assert "".join(cut.findall(t)) == t
+
+
+def test_very_long_texts():
+    """Some ten million characters, with and without blanks."""
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    own = byte_bpe.byte_pairs(path, P.PATTERN)
+    for text in ("The cat sat on the mat, 12 times. " * 300_000, "ab" * 1_000_000):
+        count, _, back = own.digests(text)
+        assert back == hashlib.sha256(text.encode()).hexdigest() and count < len(text)
+    ids = packing.encoder(P.path("byte_bpe_50k.json"), P.PATTERN).encode("The cat sat on the mat, 12 times. " * 300_000)
+    assert len(ids) // 4 == 300_000 * 10 + 1
+
+
+@pytest.mark.parametrize("sizes", [[1, 1024, 1025, 5000, 3], [300] * 400, [1] * 3000, [700] * 300, [], [40_000, 2, 600, 600]])
+def test_bins(sizes):
+    """All tokens lie in exactly one place, a bin holds the documents of one class, and little is cut."""
+    bins = packing.Bins(1024, 7)
+    for i, n in enumerate(sizes):
+        bins.add(i, np.full(n, i, "<u4").tobytes())
+        assert bins.held <= 33 * 1024 + max(sizes) and len(bins.gaps) <= 64
+    bins.finish()
+    seen = sorted((key, start, start + n) for key, start, n, _, _, _, _ in bins.done)
+    for i, n in enumerate(sizes):
+        own = [(a, b) for k, a, b in seen if k == i]
+        assert own[0][0] == 0 and own[-1][1] == n and all(x[1] == y[0] for x, y in itertools.pairwise(own))
+    used, whole = Counter(), 0
+    for _, start, n, doc, sequence, offset, ids in sorted(bins.done, key=lambda p: p[4:6]):
+        assert used[sequence] == offset and len(ids) == 4 * n
+        used[sequence] += n
+        whole += n == doc
+    assert sum(used.values()) == sum(sizes) and all(v <= 1024 for v in used.values())
+    assert sum(v < 1024 for v in used.values()) <= 1
+
+
+def test_short_documents_stay_whole(spark, sf):
+    made = packing.pack(spark.read.parquet(f"{sf}/documents.parquet"), P.path("byte_bpe_50k.json"), P.PATTERN).toPandas()
+    short = made[made.doc_tokens <= 1024]
+    assert (short.length == short.doc_tokens).sum() > 0.85 * short.doc_id.nunique()
 
 
 def test_packing(spark, texts):
