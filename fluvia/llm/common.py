@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,37 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_OPEN: list[list["Tables"]] = []
+
+
+@contextmanager
+def dropped_after() -> Iterator[None]:
+    """Deletes, at its end, the tables that operators wrote inside; what they returned must have been written by then."""
+    made: list[Tables] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for tables in made:
+            tables.drop_all()
+
+
+def free_name(columns: Iterable[str], wanted: str) -> str:
+    """``wanted``, lengthened until no column has that name."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 class Tables:
     """Written tables of one operator run; they cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
+        for made in _OPEN:
+            made.append(self)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
@@ -44,7 +72,14 @@ class Tables:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that this object wrote and nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
+        self._delete(df.written_path)
+
+    def drop_all(self) -> None:
+        """Delete all tables of this object."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

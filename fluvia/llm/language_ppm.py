@@ -17,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_mod
+from .common import crc32_mod, free_name
 
 UNKNOWN = "und"
 BLOCK = 1 << 16
@@ -111,14 +111,20 @@ class Trees:
             total += self._bits(self.order, keys).sum(axis=0, dtype=np.float64)
         return total
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language of the shortest code and its share of the likelihoods; ``und`` and 0 for a text without a
-        letter. The first language in order wins a tie."""
+    def measure(self, text: str | None) -> tuple[str, float, int, float]:
+        """The language of the shortest code, its bits, the bytes of the text, and its share of the likelihoods; ``und``
+        and zeros for a text without a letter. The first language in order wins a tie."""
         if not text or not self.langs or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        bits = self.code_lengths(text.encode("utf-8", "surrogatepass"))
+            return UNKNOWN, 0.0, 0, 0.0
+        data = text.encode("utf-8", "surrogatepass")
+        bits = self.code_lengths(data)
         best = int(bits.argmin())
-        return self.langs[best], float(1 / np.exp2(np.minimum(0, bits[best] - bits)).sum())
+        return self.langs[best], float(bits[best]), len(data), float(1 / np.exp2(np.minimum(0, bits[best] - bits)).sum())
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """The language and its share of the likelihoods."""
+        lang, _, _, share = self.measure(text)
+        return lang, share
 
 
 def fit(
@@ -132,28 +138,22 @@ def fit(
 ) -> Trees:
     """Trees from the rows of ``docs`` that have a language and a text.
 
-    ``sample_bytes`` bounds what each language gives: where it has more, rows are drawn by a hash of the id with the
-    share that the bound is of all its bytes, and the driver takes them in the order of that hash while they fit.
-    No rows give trees without languages, which answer ``und``.
+    ``sample_bytes`` bounds what each language gives. A text gives its first ``sample_bytes`` characters at most; where a
+    language has more, rows are drawn by a hash with the share that the bound is of all its bytes, and of those, in the
+    order of that hash, rows come to the driver up to the one that reaches the bound. No rows give trees without
+    languages, which answer ``und``.
     """
     known = docs.filter(F.col(lang).isNotNull() & (F.length(text) > 0)).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id_col), F.length(text)).alias("draw")
+        F.col(lang).alias("lang"), F.left(F.col(text), F.lit(sample_bytes)).alias("text"), F.xxhash64(F.col(id_col), F.length(text)).alias("draw")
     )
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    if not sizes:
-        return Trees({}, order, seen)
-    share = F.lit(0.0)
-    for x, n in sizes.items():
-        share = F.when(F.col("lang") == x, F.lit(min(1.0, sample_bytes / n))).otherwise(share)
-    drawn = known.filter(F.expr("(draw & 1048575) / 1048576D") < share).collect()
-    samples: dict[str, list[bytes]] = {x: [] for x in sizes}
-    room = dict.fromkeys(sizes, sample_bytes)
-    for r in sorted(drawn, key=lambda r: (r["draw"], r["text"])):
-        data = r["text"].encode("utf-8", "surrogatepass")
-        if len(data) <= room[r["lang"]] or not samples[r["lang"]]:
-            room[r["lang"]] -= len(data)
-            samples[r["lang"]].append(data)
-    return Trees({x: t for x, t in samples.items() if t}, order, seen)
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n"))
+    drawn = known.join(sizes, "lang").filter(F.expr(f"(draw & 1048575) / 1048576D < {sample_bytes} / n"))
+    sorted_ = Window.partitionBy("lang").orderBy("draw", "text").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("text")).over(sorted_), F.lit(0))
+    samples: dict[str, list[bytes]] = {}
+    for r in drawn.withColumn("before", before).filter(F.col("before") < sample_bytes).orderBy("lang", "draw", "text").collect():
+        samples.setdefault(r["lang"], []).append(r["text"].encode("utf-8", "surrogatepass"))
+    return Trees(samples, order, seen)
 
 
 def fit_on_rest(docs: DataFrame, folds: int = 4, held_out: int = 2, **options) -> Trees:
@@ -163,7 +163,8 @@ def fit_on_rest(docs: DataFrame, folds: int = 4, held_out: int = 2, **options) -
 
 def predict(docs: DataFrame, trees: Trees, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Adds the predicted language and its score to every row, from the whole text alone; columns of those names are
-    replaced. Null texts and texts without a letter are ``und`` with score 0. No rows give no rows."""
+    replaced. Null texts and texts without a letter are ``und`` with score 0. Repeated rows stay rows, no rows give no
+    rows. Long texts are scored in blocks."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("lang string, score double")
@@ -171,12 +172,50 @@ def predict(docs: DataFrame, trees: Trees, text: str = "text", lang_out: str = "
         own = shared.value
         return pd.DataFrame([own.predict(t) for t in texts], columns=["lang", "score"])
 
-    judged = docs.withColumn("_guess", guess(F.col(text)))
-    return judged.withColumns({lang_out: F.col("_guess.lang"), score_out: F.col("_guess.score")}).drop("_guess")
+    name = free_name([*docs.columns, lang_out, score_out], "guess")
+    judged = docs.withColumn(name, guess(F.col(text)))
+    return judged.withColumns({lang_out: F.col(f"{name}.lang"), score_out: F.col(f"{name}.score")}).drop(name)
+
+
+def usual_rates(docs: DataFrame, trees: Trees, text: str = "text", parts: int = 16) -> dict[str, float]:
+    """For each predicted language the middle, over all documents, of the bits a byte that their texts take: read off
+    counts by bins of ``1 / parts`` bit, which is all that comes to the driver."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    @F.pandas_udf("lang string, bin int")
+    def placed(texts: pd.Series) -> pd.DataFrame:
+        found = [shared.value.measure(t) for t in texts]
+        return pd.DataFrame({"lang": [x for x, *_ in found], "bin": [int(bits / max(1, n) * parts) for _, bits, n, _ in found]})
+
+    counts = docs.select(placed(F.col(text)).alias("p")).groupBy("p.lang", "p.bin").agg(F.count("*").alias("n")).collect()
+    out = {}
+    for lang in {r["lang"] for r in counts} - {UNKNOWN}:
+        own = sorted((r["bin"], r["n"]) for r in counts if r["lang"] == lang)
+        whole, seen = sum(n for _, n in own), 0
+        for at, n in own:
+            seen += n
+            if 2 * seen >= whole:
+                out[lang] = (at + 0.5) / parts
+                break
+    return out
 
 
-def keep_known(docs: DataFrame, trees: Trees, least: float = 0.5, text: str = "text") -> DataFrame:
-    """Documents stay if a language is found with at least ``least`` of the likelihood; the columns stay."""
-    columns = docs.columns
-    judged = predict(docs, trees, text, "_lang", "_score")
-    return judged.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select(*columns)
+def keep_known(
+    docs: DataFrame, trees: Trees, rates: dict[str, float], least: float = 0.5, times: float = 3.0, spare: int = 16, text: str = "text"
+) -> DataFrame:
+    """Documents stay if a language claims them: one has at least ``least`` of the likelihood, and the code of the text
+    in it takes at most ``times`` the usual bits a byte of that language (see ``usual_rates``), ``spare`` bytes more
+    granted for short texts. So foreign and garbled texts go, whose code is long in every learned language. Null texts and
+    texts without a letter go. The columns stay, whatever their names, and so do repeated rows; no rows give no rows."""
+    shared = docs.sparkSession.sparkContext.broadcast((trees, rates))
+
+    @F.pandas_udf("boolean")
+    def claimed(texts: pd.Series) -> pd.Series:
+        own, usual = shared.value
+        out = []
+        for t in texts:
+            lang, bits, n, share = own.measure(t)
+            out.append(lang != UNKNOWN and share >= least and bits <= times * usual.get(lang, 8.0) * (n + spare))
+        return pd.Series(out, dtype=bool)
+
+    return docs.filter(claimed(F.col(text)))

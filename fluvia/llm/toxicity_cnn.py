@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_mod
@@ -318,19 +318,28 @@ def fit(
     return model
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Adds the score of every whole text; null and empty texts score like texts without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scored(spark: SparkSession, model: Model, text: str) -> Column:
+    """The score of every whole text."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
+    def found(texts: pd.Series) -> pd.Series:
         own = shared.value
         return pd.Series([own.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn(out, scored(F.col(text)))
+    return found(F.col(text))
+
+
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """Adds ``out``, the score of every whole text (a column of that name is replaced).
+
+    Null and empty texts score like texts without words. Repeated rows and other columns stay, no rows give no rows.
+    The filters slide over blocks of a long text, so its words are all that is held beside it.
+    """
+    return docs.withColumn(out, scored(docs.sparkSession, model, text))
 
 
 def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Documents that score below the threshold stay, with their columns."""
-    columns = docs.columns
-    return score(docs, model, text, "_score").filter(F.col("_score") < CUT).select(*columns)
+    """Documents that score below the threshold stay, with their columns, whatever their names; null, empty and
+    repeated ones are scored like any other. No rows give no rows."""
+    return docs.filter(scored(docs.sparkSession, model, text) < CUT)

@@ -53,7 +53,7 @@ def test_ppm_edges(spark):
     got = {r["doc_id"]: r for r in language_ppm.predict(docs, trees, lang_out="l", score_out="s").collect()}
     assert [got[i]["l"] for i in (3, 4, 5)] == ["und"] * 3 and got[3]["s"] == 0
     assert got[1]["l"] == "en" and got[2]["l"] == "de" and 0 <= got[1]["s"] <= 1
-    assert language_ppm.keep_known(docs, trees).columns == docs.columns
+    assert language_ppm.keep_known(docs, trees, language_ppm.usual_rates(docs, trees)).columns == docs.columns
     empty = language_ppm.fit(docs.limit(0))
     assert empty.predict("anything") == ("und", 0.0)
 

@@ -1,10 +1,19 @@
 """Each stage of the pipeline against a plain version on the rows that came before it."""
 
+import os
+
 import corpus_pipeline
-from fluvia.llm import language_ppm, simhash, toxicity_cnn
+import pytest
+from fluvia.llm import common, language_ppm, toxicity_cnn
 from fluvia.llm.common import read
 
 
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    n = min(5, len(words))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
+
+
 def test_stages(spark, sf):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_dedup", "packing"]
     docs = read(spark, sf, "documents")
@@ -18,17 +27,22 @@ def test_stages(spark, sf):
 
     known = corpus_pipeline.language(spark, clean, sf).cache()
     trees = language_ppm.fit_on_rest(clean)
-    good = lambda t: (lambda lang, score: lang != "und" and score >= 0.5)(*trees.predict(t))
+    found = {i: trees.measure(texts[i]) for i in ids(clean)}
+    usual = {}
+    for lang in trees.langs:
+        rates = sorted(int(bits / n * 16) for own, bits, n, _ in found.values() if own == lang)
+        usual[lang] = (rates[(len(rates) - 1) // 2] + 0.5) / 16
+    good = lambda lang, bits, n, share: lang != "und" and share >= 0.5 and bits <= 3 * usual[lang] * (n + 16)
     assert known.columns == docs.columns
-    assert ids(known) == [i for i in ids(clean) if good(texts[i])]
+    assert ids(known) == [i for i in ids(clean) if good(*found[i])]
 
     single = corpus_pipeline.near_dedup(spark, known, sf).cache()
-    left, seen = ids(known), []
-    prints = {i: simhash.simhash(texts[i]) for i in left}
+    left = ids(known)
+    sets = {i: shingle_set(texts[i]) for i in left}
     groups = {i: i for i in left}
     for n, i in enumerate(left):  # ids ascend, so the first of a group is its smallest
         for j in left[:n]:
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
+            if groups[i] != groups[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
                 low, high = sorted((groups[i], groups[j]))
                 groups = {k: low if g == high else g for k, g in groups.items()}
     seen = sorted(set(groups.values()))
@@ -39,6 +53,59 @@ def test_stages(spark, sf):
     assert sorted({r["doc_id"] for r in pieces.collect()}) == seen
 
 
-def test_run(spark, sf):
+def test_run_leaves_only_its_result(spark, sf):
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
     rows = corpus_pipeline.run(spark, sf)
     assert rows.columns[0] == "doc_id" and rows.count() > 100
+    left = set(os.listdir(folder)) - before
+    assert [x.rsplit("-", 1)[0] for x in left] == ["pipeline"]
+    assert len([x for x in os.listdir(f"{folder}/{left.pop()}") if not x.startswith(".")]) == 1
+
+
+def test_foreign_and_garbled_texts_go(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    odd = ["Zażółć gęślą jaźń, a potem idziemy wszyscy razem do domu na obiad.", "这是一个中文句子，用于测试语言识别。" * 3, "xqzj kwvv 8s7df6g hjkl " * 20, "12 34", None, ""]
+    whole = docs.unionByName(spark.createDataFrame([(10_000 + i, t, None) for i, t in enumerate(odd)], docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, whole, sf).collect()}
+    assert not {10_000 + i for i in range(len(odd))} & kept
+    assert len(kept) > 0.95 * docs.count()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty texts and repeated rows, with extra columns named like what the stages use inside."""
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (2, None, None, None), (3, "", "en", ""), (None, text, "en", "b"), (4, "a", "xx", "c"), (4, "b", None, "c")]
+    names = ["_score", "_lang", "_guess", "_node", "_bands", "row", "id", "node", "bands", "guess", "score"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    from pyspark.sql import functions as F
+
+    return docs.select("*", *(F.lit(f"own {n}").alias(n) for n in names))
+
+
+def test_edges_of_filters(spark, sf, odd):
+    for stage in (corpus_pipeline.toxicity, corpus_pipeline.language, corpus_pipeline.near_dedup):
+        got = stage(spark, odd, sf)
+        assert got.columns == odd.columns
+        own = {tuple(r) for r in odd.collect()}
+        assert all(tuple(r) in own for r in got.collect())
+        assert stage(spark, odd.limit(0), sf).count() == 0
+    assert corpus_pipeline.toxicity(spark, odd, sf).count() == odd.count()
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.near_dedup(spark, odd, sf).collect())
+    text = odd.filter("doc_id = 1").first()["text"]
+    assert kept == sorted([(0, text), (1, text), (2, ""), (4, "a"), (4, "b")])
+
+
+def test_edges_of_packing(spark, sf, odd):
+    got = corpus_pipeline.packing(spark, odd, sf).collect()
+    assert sorted((r["doc_id"] or 0) for r in got if r["start"] == 0) == [0, 1, 1, 2, 3, 4, 4]
+    assert [r["length"] for r in got if r["doc_id"] in (2, 3)] == [1, 1]
+    assert corpus_pipeline.packing(spark, odd.limit(0), sf).count() == 0
+
+
+def test_predict_keeps_other_columns(spark, odd):
+    trees = language_ppm.fit(odd)
+    got = language_ppm.predict(odd, trees)
+    assert [r["guess"] for r in got.collect()] == ["own guess"] * odd.count()
+    assert set(got.columns) == {*odd.columns, "lang_pred"}
