@@ -314,7 +314,7 @@ def fit(
     if trained:
         drawn = spark.createDataFrame([(k,) for k in trained], own.select("key").schema)
         own = own.join(F.broadcast(drawn), "key", "left_anti")
-    calibrate(model, _counts(learnable.join(own.hint("shuffle_hash"), "key").select("text", "y"), model))
+    calibrate(model, _counts(learnable.join(own, "key").select("text", "y"), model))
     return model
 
 
