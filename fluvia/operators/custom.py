@@ -1,12 +1,26 @@
-"""User code on rows: functions from one row to none, one or many, over shuffled or grouped rows, and table functions."""
+"""User code on rows: functions from one row to none, one or many, over shuffled or grouped rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+def map_rows(df: DataFrame, work: Callable[[Iterator[list[dict]]], Iterator[list[dict]]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` on rows as dicts: values keep their types, so long integers beside nulls stay exact. Missing
+    fields are null."""
+    kind = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in work(batch.to_pylist() for batch in batches):
+            columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in kind]
+            yield pa.RecordBatch.from_arrays(columns, schema=kind)
+
+    return df.mapInArrow(run, schema)
 
 
 def bolt(
@@ -30,13 +44,12 @@ def bolt(
         raise ValueError(f"unknown wire {wire}")
     kind = T._parse_datatype_string(schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[list[dict]]) -> Iterator[list[dict]]:
         own = work() if fresh else work
-        for frame in frames:
-            made = [out for row in frame.to_dict("records") for out in own(row) or ()]
-            yield pd.DataFrame(made, columns=kind.names).astype("object")
+        for rows in batches:
+            yield [made for row in rows for made in own(row) or ()]
 
-    return df.mapInPandas(run, kind)
+    return map_rows(df, run, kind)
 
 
 def guarded(work: Callable, on_error: Callable[[dict, Exception], list[dict]]) -> Callable:

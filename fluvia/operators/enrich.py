@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,13 +96,13 @@ def sequence(df: DataFrame, order_by: Sequence[str], start: int = 0, out: str =
     """
     if not order_by:
         raise ValueError("a sequence needs an order")
-    parted = df.withColumn("_part", range_bucket(df, order_by))
-    counts = parted.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = before_each(counts, "_part", F.sum("_n"), "_before")
-    in_part = F.row_number().over(Window.partitionBy("_part").orderBy(*order_by))
-    joined = parted.withColumn("_in_part", in_part).join(before, "_part")
-    number = F.coalesce("_before", F.lit(0)) + F.col("_in_part") - 1 + start
-    return joined.withColumn(out, number.cast("long")).drop("_part", "_in_part", "_before")
+    parted = df.withColumn("__fluvia_part", range_bucket(df, order_by))
+    counts = parted.groupBy("__fluvia_part").agg(F.count("*").alias("__fluvia_n"))
+    before = before_each(counts, "__fluvia_part", F.sum("__fluvia_n"), "__fluvia_before")
+    in_part = F.row_number().over(Window.partitionBy("__fluvia_part").orderBy(*order_by))
+    joined = parted.withColumn("__fluvia_in_part", in_part).join(before, "__fluvia_part")
+    number = F.coalesce("__fluvia_before", F.lit(0)) + F.col("__fluvia_in_part") - 1 + start
+    return joined.withColumn(out, number.cast("long")).drop("__fluvia_part", "__fluvia_in_part", "__fluvia_before")
 
 
 def timestamp(df: DataFrame, out: str, source: Column | None = None, pattern: str | None = None, unix: bool = False) -> DataFrame:
@@ -124,7 +124,7 @@ def translate(df: DataFrame, fields: Mapping[str, str], dictionary: Mapping[str,
     the value itself.
 
     Up to ``literal_limit`` inline entries become a map literal. More entries, and a DataFrame ``(code, label)``, are
-    joined; Spark broadcasts the dictionary only below its size threshold. Codes should be unique.
+    joined; Spark broadcasts the dictionary only below its size threshold. Of a code's several labels the last in order counts.
     """
     if isinstance(dictionary, Mapping) and len(dictionary) <= literal_limit:
         entries = [F.lit(x) for kv in dictionary.items() for x in kv]
@@ -135,23 +135,59 @@ def translate(df: DataFrame, fields: Mapping[str, str], dictionary: Mapping[str,
     if isinstance(dictionary, Mapping):
         dictionary = df.sparkSession.createDataFrame(list(dictionary.items()), "code string, label string")
     star = F.lit(dictionary.filter(F.col("code") == "*").agg(F.max("label")).first()[0]).cast("string")
+    dictionary = dictionary.groupBy("code").agg(F.max("label").alias("label"))  # a code looked up gives one row
     for source, out in fields.items():
-        found = dictionary.select(F.col("code").alias("_code"), F.col("label").alias("_label"))
-        joined = df.join(found, F.col(source).cast("string") == F.col("_code"), "left")
-        df = joined.withColumn(out, F.coalesce(F.col("_label"), star, F.col(source).cast("string"))).drop("_code", "_label")
+        found = dictionary.select(F.col("code").alias("__fluvia_code"), F.col("label").alias("__fluvia_label"))
+        joined = df.join(found, F.col(source).cast("string") == F.col("__fluvia_code"), "left")
+        df = joined.withColumn(out, F.coalesce(F.col("__fluvia_label"), star, F.col(source).cast("string"))).drop("__fluvia_code", "__fluvia_label")
     return df
 
 
 def global_value(df: DataFrame, values: DataFrame, order_by: str, value: str, out: str, partition: Sequence[str] = ()) -> DataFrame:
     """The latest value that ``values`` had stored when each row came, in the order of ``order_by`` (a value stored at
-    the same place counts). ``partition`` names the keys of the store; without keys one task sees all rows in order.
+    the same place counts). ``partition`` names the keys of the store. Without keys rows are dealt by ranges of the order,
+    and the last value of each range, one row, is handed on to the ranges behind it; no task sees all rows.
     """
     keys = list(partition)
-    left = df.withColumns({"_value": F.lit(None).cast(values.schema[value].dataType), "_row": F.lit(1)})
-    right = values.select(*keys, order_by, F.col(value).alias("_value"), F.lit(0).alias("_row"))
-    order = Window.partitionBy(*keys).orderBy(order_by, "_row").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn(out, F.last("_value", ignorenulls=True).over(order))
-    return both.filter(F.col("_row") == 1).drop("_value", "_row")
+    left = df.withColumns({"__fluvia_value": F.lit(None).cast(values.schema[value].dataType), "__fluvia_row": F.lit(1)})
+    right = values.select(*keys, order_by, F.col(value).alias("__fluvia_value"), F.lit(0).alias("__fluvia_row"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    latest = lambda window: F.last("__fluvia_value", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    if keys:
+        found = both.withColumn(out, latest(Window.partitionBy(*keys).orderBy(order_by, "__fluvia_row")))
+        return found.filter(F.col("__fluvia_row") == 1).drop("__fluvia_value", "__fluvia_row")
+    parted = both.withColumn("__fluvia_part", range_bucket(both, [order_by]))
+    stored = parted.filter("__fluvia_row = 0 and __fluvia_value is not null")
+    ends = stored.groupBy("__fluvia_part").agg(F.max_by("__fluvia_value", order_by).alias("__fluvia_top"))
+    whole = parted.select("__fluvia_part").distinct().join(ends, "__fluvia_part", "left")
+    before = before_each(whole, "__fluvia_part", F.last("__fluvia_top", ignorenulls=True), "__fluvia_carry")
+    own = parted.withColumn("__fluvia_own", latest(Window.partitionBy("__fluvia_part").orderBy(order_by, "__fluvia_row")))
+    found = own.join(before, "__fluvia_part").withColumn(out, F.coalesce("__fluvia_own", "__fluvia_carry"))
+    hidden = [f"__fluvia_{x}" for x in ("value", "row", "part", "own", "carry")]
+    return found.filter(F.col("__fluvia_row") == 1).drop(*(x for x in hidden if x != out))
+
+
+def transform(df: DataFrame, source: Column, stages: Sequence[tuple[str, object]], out: str) -> DataFrame:
+    """Stages over the items of an array; a value that is none is the only item of one.
+
+    A stage is ``("add", fields)``, ``("project", fields)`` or ``("match", condition)``; fields map names to functions of
+    the item as the stages before left it. Each item that is left gives a row with it in ``out``; a row without one stays,
+    with null there, and so does a row whose source is null. Expressions that may fail should be ``try_`` ones, so that a
+    bad row passes instead of ending the job.
+    """
+    array = isinstance(df.select(source.alias("x")).schema["x"].dataType, T.ArrayType)
+    items = source if array else F.array(source)
+
+    def one(kind: str, work: object) -> Callable[[Column], Column]:
+        if kind == "project":
+            return lambda x: F.struct(*(f(x).alias(n) for n, f in work.items()))
+        if kind == "add":
+            return lambda x: reduce(lambda made, field: made.withField(field[0], field[1](x)), work.items(), x)
+        raise ValueError(f"unknown stage {kind}")
+
+    for kind, work in stages:
+        items = F.filter(items, work) if kind == "match" else F.transform(items, one(kind, work))
+    return df.select(*(c for c in df.columns if c != out), F.explode_outer(items).alias(out))
 
 
 def template(df: DataFrame, fields: Mapping[str, Column | str]) -> DataFrame:

@@ -28,14 +28,14 @@ def json_extract(df: DataFrame, source: str, schema: str, out: str | None = None
     Text that is not JSON of that shape leaves nulls and its own text in ``error``; null text is no error.
     """
     parsed = F.from_json(F.col(source), f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    df = df.withColumn("_parsed", parsed)
-    bad = F.when(F.col(source).isNotNull() & (F.col("_parsed").isNull() | F.col("_parsed._bad").isNotNull() | (F.trim(source) == "")), F.col(source))
+    df = df.withColumn("__fluvia_parsed", parsed)
+    bad = F.when(F.col(source).isNotNull() & (F.col("__fluvia_parsed").isNull() | F.col("__fluvia_parsed._bad").isNotNull() | (F.trim(source) == "")), F.col(source))
     df = df.withColumn(error, bad)
-    value = F.when(F.col(error).isNull(), F.col("_parsed").dropFields("_bad"))
+    value = F.when(F.col(error).isNull(), F.col("__fluvia_parsed").dropFields("_bad"))
     if out:
-        return df.withColumn(out, value).drop("_parsed")
-    names = [f for f in df.schema["_parsed"].dataType.names if f != "_bad"]
-    return df.withColumns({n: value.getField(n) for n in names}).drop("_parsed")
+        return df.withColumn(out, value).drop("__fluvia_parsed")
+    names = [f for f in df.schema["__fluvia_parsed"].dataType.names if f != "_bad"]
+    return df.withColumns({n: value.getField(n) for n in names}).drop("__fluvia_parsed")
 
 
 def json_variant(df: DataFrame, source: str, out: str, error: str = ERROR) -> DataFrame:
@@ -64,19 +64,20 @@ def unpack_dotted(df: DataFrame, source: str, shape: Mapping | Sequence, out: st
 def csv_extract(df: DataFrame, source: str, schema: str, out: str | None = None, options: Mapping[str, str] | None = None, error: str = ERROR) -> DataFrame:
     """Parses a CSV line by a schema; lines with too few columns or values of another type go to ``error``."""
     given = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"} | dict(options or {})
-    df = df.withColumn("_parsed", F.from_csv(F.col(source), f"{schema}, _bad string", given))
-    df = df.withColumn(error, F.when(F.col(source).isNotNull() & F.col("_parsed._bad").isNotNull(), F.col(source)))
-    value = F.when(F.col(error).isNull(), F.col("_parsed").dropFields("_bad"))
+    df = df.withColumn("__fluvia_parsed", F.from_csv(F.col(source), f"{schema}, _bad string", given))
+    df = df.withColumn(error, F.when(F.col(source).isNotNull() & F.col("__fluvia_parsed._bad").isNotNull(), F.col(source)))
+    value = F.when(F.col(error).isNull(), F.col("__fluvia_parsed").dropFields("_bad"))
     if out:
-        return df.withColumn(out, value).drop("_parsed")
-    names = [f for f in df.schema["_parsed"].dataType.names if f != "_bad"]
-    return df.withColumns({n: value.getField(n) for n in names}).drop("_parsed")
+        return df.withColumn(out, value).drop("__fluvia_parsed")
+    names = [f for f in df.schema["__fluvia_parsed"].dataType.names if f != "_bad"]
+    return df.withColumns({n: value.getField(n) for n in names}).drop("__fluvia_parsed")
 
 
 def xml_elements(source: Column, tag: str) -> Column:
-    """Every ``<tag ...>...</tag>`` of a text, in order; elements do not nest in themselves."""
+    """Every ``<tag ...>...</tag>`` and ``<tag .../>`` of a text, in order; elements do not nest in themselves."""
     name = re.escape(tag)
-    return F.regexp_extract_all(source, F.lit(rf"(?s)<{name}[ >](?:(?!</{name}>).)*</{name}>"), F.lit(0))
+    start = rf"<{name}(?:\s[^<>]*?)?"
+    return F.regexp_extract_all(source, F.lit(rf"(?s){start}(?:/>|(?<!/)>.*?</{name}\s*>)"), F.lit(0))
 
 
 def xml_extract(df: DataFrame, source: str, schema: str, out: str, tag: str | None = None, error: str = ERROR) -> DataFrame:
@@ -88,24 +89,24 @@ def xml_extract(df: DataFrame, source: str, schema: str, out: str, tag: str | No
     options = {"attributePrefix": "", "valueTag": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     one = lambda c: F.from_xml(c, f"{schema}, _bad string", options)
     if tag is None:
-        df = df.withColumn("_parsed", one(F.col(source)))
-        bad = F.col(source).isNotNull() & (F.col("_parsed").isNull() | F.col("_parsed._bad").isNotNull())
+        df = df.withColumn("__fluvia_parsed", one(F.col(source)))
+        bad = F.col(source).isNotNull() & (F.col("__fluvia_parsed").isNull() | F.col("__fluvia_parsed._bad").isNotNull())
         df = df.withColumn(error, F.when(bad, F.col(source)))
-        return df.withColumn(out, F.when(F.col(error).isNull(), F.col("_parsed").dropFields("_bad"))).drop("_parsed")
-    df = df.withColumn("_items", F.transform(xml_elements(F.col(source), tag), lambda x: F.struct(x.alias("xml"), one(x).alias("parsed"))))
-    bad = F.filter("_items", lambda x: x["parsed"].isNull() | x["parsed"]["_bad"].isNotNull())
+        return df.withColumn(out, F.when(F.col(error).isNull(), F.col("__fluvia_parsed").dropFields("_bad"))).drop("__fluvia_parsed")
+    df = df.withColumn("__fluvia_items", F.transform(xml_elements(F.col(source), tag), lambda x: F.struct(x.alias("xml"), one(x).alias("parsed"))))
+    bad = F.filter("__fluvia_items", lambda x: x["parsed"].isNull() | x["parsed"]["_bad"].isNotNull())
     df = df.withColumn(error, F.get(bad, F.lit(0))["xml"])
-    return df.withColumn(out, F.transform("_items", lambda x: x["parsed"].dropFields("_bad"))).drop("_items")
+    return df.withColumn(out, F.transform("__fluvia_items", lambda x: x["parsed"].dropFields("_bad"))).drop("__fluvia_items")
 
 
 def xml_rows(df: DataFrame, source: str, schema: str, tag: str, error: str = ERROR) -> DataFrame:
     """One row for each element named ``tag``, with its fields as columns; other columns stay, the text goes."""
     options = {"attributePrefix": "", "valueTag": "_", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    each = df.withColumn("_xml", F.explode(xml_elements(F.col(source), tag))).drop(source)
-    each = each.withColumn("_parsed", F.from_xml(F.col("_xml"), f"{schema}, _bad string", options))
-    each = each.withColumn(error, F.when(F.col("_parsed").isNull() | F.col("_parsed._bad").isNotNull(), F.col("_xml")))
-    names = [f for f in each.schema["_parsed"].dataType.names if f != "_bad"]
-    return each.withColumns({n: F.col("_parsed").getField(n) for n in names}).drop("_xml", "_parsed")
+    each = df.withColumn("__fluvia_xml", F.explode(xml_elements(F.col(source), tag))).drop(source)
+    each = each.withColumn("__fluvia_parsed", F.from_xml(F.col("__fluvia_xml"), f"{schema}, _bad string", options))
+    each = each.withColumn(error, F.when(F.col("__fluvia_parsed").isNull() | F.col("__fluvia_parsed._bad").isNotNull(), F.col("__fluvia_xml")))
+    names = [f for f in each.schema["__fluvia_parsed"].dataType.names if f != "_bad"]
+    return each.withColumns({n: F.col("__fluvia_parsed").getField(n) for n in names}).drop("__fluvia_xml", "__fluvia_parsed")
 
 
 WINEVT_SCHEMA = (
@@ -119,13 +120,13 @@ def winevt_extract(df: DataFrame, source: str, out: str = "event", error: str =
     """Windows event XML: the system fields with the event id and its qualifiers apart, the time again as
     ``SystemTime``, and the event data as a map by name. Unnamed items are keyed by their place; a single unnamed one is
     ``Message``."""
-    df = xml_extract(df, source, WINEVT_SCHEMA, "_event", error=error)
-    system, items = F.col("_event.System"), F.col("_event.EventData.Data")
+    df = xml_extract(df, source, WINEVT_SCHEMA, "__fluvia_event", error=error)
+    system, items = F.col("__fluvia_event.System"), F.col("__fluvia_event.EventData.Data")
     key = lambda x, i: F.coalesce(x["Name"], F.when(F.size(items) == 1, "Message").otherwise(i.cast("string")))
     data = array_to_map(F.transform(items, lambda x, i: F.struct(key(x, i).alias("k"), x["_"].alias("v"))))
     flat = system.withField("Qualifiers", system["EventID"]["Qualifiers"]).withField("EventID", system["EventID"]["_"])
     event = F.struct(flat.alias("System"), system["TimeCreated"]["SystemTime"].alias("SystemTime"), data.alias("Data"))
-    return df.withColumn(out, F.when(F.col("_event").isNotNull(), event)).drop("_event")
+    return df.withColumn(out, F.when(F.col("__fluvia_event").isNotNull(), event)).drop("__fluvia_event")
 
 
 def keyval_extract(df: DataFrame, source: str, out: str | None = None, fields: Sequence[str] = ()) -> DataFrame:
@@ -161,12 +162,12 @@ def regex_extract(df: DataFrame, source: str, pattern: str, fields: Sequence[str
     return df.withColumns({n: F.when(hit, c).otherwise(F.col(n) if n in there else F.lit(None)) for n, c in found.items()})
 
 
-_RFC5424 = (
-    r"(?s)^<(\d{1,3})>(\d{1,2}) (\S+) (\S+) (\S+) (\S+) (\S+) "
-    r"(-|(?:\[[^\s\]=\"]+(?: [^\s\]=\"]+=\"(?:[^\"\\\]]|\\.)*\")*\])+)(?: (?:\x{FEFF})?(.*))?$"
-)
+_PARAM = r" ([^\s\]=\"]+)=\"([^\"\\\]]*+(?:\\.[^\"\\\]]*+)*+)\""
+_SD = r"-|(?:\[[^\s\]=\"]++(?:" + _PARAM + r")*+\])++"
+_RFC5424 = r"(?s)^<\d{1,3}>\d{1,2} \S+ \S+ \S+ \S+ \S+ (?:" + _SD + r")(?: .*)?$"
 _BSD = r"(?s)^<(\d{1,3})>([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}|[A-Z][a-z]{2} \d \d{2}:\d{2}:\d{2}) (\S+) (?:([^\s:\[]+)(?:\[([^\]]*)\])?: ?)?(.*)$"
-_CEF = r"(?s)^(?:<(\d{1,3})>)?(.*?)(CEF:\d+)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|((?:[^|\\]|\\.)*)\|(.*)$"
+_CEF_FIELD = r"([^|\\]*+(?:\\.[^|\\]*+)*+)\|"
+_CEF = r"(?s)^(?:<\d{1,3}>)?.*?(CEF:\d+)\|" + 6 * _CEF_FIELD + r"(.*)$"
 _CEF_PAIR = r"(?s)([^\s=|]+)=(.*?)(?=\s+[^\s=|]+=|\s*$)"
 
 
@@ -175,27 +176,35 @@ def syslog_extract(df: DataFrame, source: str, out: str = "syslog") -> DataFrame
 
     Fields: ``prival, facilityval, levelval, facility, level, version, type, ts (text), host, app_name, pid, messageid,
     message, structured_data`` (array of maps with ``$id``), ``cef`` (struct) and ``fields`` (map of the CEF extension).
+
+    The kind is found once a line; an RFC 5424 header is then cut at its blanks, and only its structured data and what
+    the other kinds need are matched again. No expression recurses with the length of a field.
     """
-    c = F.col(source)
-    is_cef, is_5424, is_bsd = F.rlike(c, F.lit(_CEF)), F.rlike(c, F.lit(_RFC5424)), F.rlike(c, F.lit(_BSD))
-    kind = F.when(is_cef, "CEF").when(is_5424, "RFC5424").when(is_bsd, "BSD")
+    c, kind, parts, data = F.col(source), F.col("__fluvia_kind"), F.col("__fluvia_parts"), F.col("__fluvia_data")
+    found = F.when(F.contains(c, F.lit("CEF:")) & F.rlike(c, F.lit(_CEF)), "CEF")
+    found = found.when(F.startswith(c, F.lit("<")) & F.rlike(c, F.lit(_RFC5424)), "RFC5424").when(F.rlike(c, F.lit(_BSD)), "BSD")
+    df = df.withColumn("__fluvia_kind", found)
+    df = df.withColumn("__fluvia_parts", F.when(kind == "RFC5424", F.split(c, " ", 7)))
+    df = df.withColumn("__fluvia_data", F.regexp_extract(parts[6], f"^(?:{_SD})", 0))
     group = lambda p, i: F.regexp_extract(c, p, i)
     nil = lambda x: F.when((x != "-") & (x != ""), x)
-    prival = F.regexp_extract(c, r"^<(\d{1,3})>", 1).try_cast("int")
+    prival = F.regexp_extract(F.left(c, F.lit(5)), r"^<(\d{1,3})>", 1).try_cast("int")
     named = lambda names, i: F.get(F.array(*map(F.lit, names)), i)
-    sd = F.regexp_extract_all(group(_RFC5424, 8), F.lit(r'\[([^\s\]="]+)((?: [^\s\]="]+="(?:[^"\\\]]|\\.)*")*)\]'), F.lit(0))
+    sd = F.regexp_extract_all(data, F.lit(r"\[[^\s\]=\"]++(?:" + _PARAM + r")*+\]"), F.lit(0))
+    # the message stands behind one blank, with or without a byte order mark
+    message = F.regexp_replace(F.substr(parts[6], F.length(data) + 2), "^\\x{FEFF}", "")
 
     def element(x: Column) -> Column:
-        keys = F.regexp_extract_all(x, F.lit(r' ([^\s\]="]+)="((?:[^"\\\]]|\\.)*)"'), F.lit(1))
-        values = F.regexp_extract_all(x, F.lit(r' ([^\s\]="]+)="((?:[^"\\\]]|\\.)*)"'), F.lit(2))
+        keys = F.regexp_extract_all(x, F.lit(_PARAM), F.lit(1))
+        values = F.regexp_extract_all(x, F.lit(_PARAM), F.lit(2))
         pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), F.regexp_replace(v, r'\\(["\\\]])', "$1").alias("v")))
         own = F.array(F.struct(F.lit("$id").alias("k"), F.regexp_extract(x, r"^\[([^\s\]]+)", 1).alias("v")))
         return array_to_map(F.concat(own, pairs))
 
     cef_names = ("version", "device_vendor", "device_product", "device_version", "device_event_class_id", "name", "severity", "extension")
-    cef = F.struct(*(group(_CEF, i + 3).alias(n) for i, n in enumerate(cef_names)))
-    keys = F.regexp_extract_all(group(_CEF, 10), F.lit(_CEF_PAIR), F.lit(1))
-    values = F.regexp_extract_all(group(_CEF, 10), F.lit(_CEF_PAIR), F.lit(2))
+    cef = F.struct(*(group(_CEF, i + 1).alias(n) for i, n in enumerate(cef_names)))
+    keys = F.regexp_extract_all(group(_CEF, 8), F.lit(_CEF_PAIR), F.lit(1))
+    values = F.regexp_extract_all(group(_CEF, 8), F.lit(_CEF_PAIR), F.lit(2))
     pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
     by = lambda rfc, bsd=None, cef=None: F.when(kind == "RFC5424", rfc).when(kind == "BSD", bsd).when(kind == "CEF", cef)
     none = F.lit(None).cast("string")
@@ -205,19 +214,19 @@ def syslog_extract(df: DataFrame, source: str, out: str = "syslog") -> DataFrame
         (prival % 8).cast("int").alias("levelval"),
         named(FACILITIES, F.floor(prival / 8).cast("int")).alias("facility"),
         named(LEVELS, (prival % 8).cast("int")).alias("level"),
-        F.when(kind == "RFC5424", group(_RFC5424, 2).try_cast("int")).alias("version"),
+        F.split_part(parts[0], F.lit(">"), F.lit(2)).try_cast("int").alias("version"),
         kind.alias("type"),
-        by(nil(group(_RFC5424, 3)), group(_BSD, 2), none).alias("ts"),
-        by(nil(group(_RFC5424, 4)), group(_BSD, 3), none).alias("host"),
-        by(nil(group(_RFC5424, 5)), nil(group(_BSD, 4)), none).alias("app_name"),
-        by(nil(group(_RFC5424, 6)), nil(group(_BSD, 5)), none).alias("pid"),
-        F.when(kind == "RFC5424", nil(group(_RFC5424, 7))).alias("messageid"),
-        by(group(_RFC5424, 9), group(_BSD, 6), c).alias("message"),
+        by(nil(parts[1]), group(_BSD, 2), none).alias("ts"),
+        by(nil(parts[2]), group(_BSD, 3), none).alias("host"),
+        by(nil(parts[3]), nil(group(_BSD, 4)), none).alias("app_name"),
+        by(nil(parts[4]), nil(group(_BSD, 5)), none).alias("pid"),
+        nil(parts[5]).alias("messageid"),
+        by(message, group(_BSD, 6), c).alias("message"),
         F.when(kind == "RFC5424", F.transform(sd, element)).alias("structured_data"),
         F.when(kind == "CEF", cef).alias("cef"),
         F.when(kind == "CEF", array_to_map(pairs)).alias("fields"),
     )
-    return df.withColumn(out, F.when(kind.isNotNull(), parsed))
+    return df.withColumn(out, F.when(kind.isNotNull(), parsed)).drop("__fluvia_kind", "__fluvia_parts", "__fluvia_data")
 
 
 def split_array(df: DataFrame, source: str, separator: str, out: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .custom import map_rows
 from .enrich import sequence
 from .extract import xml_elements
 from .ranges import before_each, range_bucket, row_number_by_key
@@ -56,24 +57,24 @@ def every_n(
     if ts:
         since = F.first(F.col(ts)).over(last_n)
         fields.append((F.unix_millis(F.col(ts).cast("timestamp")) - F.unix_millis(since.cast("timestamp"))).alias("dts"))
-    numbered = accept(df, when).select("*", F.row_number().over(ordered).alias("_rn"), F.struct(*fields).alias(out))
-    done = (F.col("_rn") == 1) | ((F.col("_rn") - 1) % n == 0) if first else F.col("_rn") % n == 0
-    return numbered.filter(done).drop("_rn")
+    numbered = accept(df, when).select("*", F.row_number().over(ordered).alias("__fluvia_rn"), F.struct(*fields).alias(out))
+    done = (F.col("__fluvia_rn") == 1) | ((F.col("__fluvia_rn") - 1) % n == 0) if first else F.col("__fluvia_rn") % n == 0
+    return numbered.filter(done).drop("__fluvia_rn")
 
 
 def _every_n_spread(rows: DataFrame, n: int, aggregates: Mapping[str, Column], order_by: Sequence[str], key: list[str], first: bool, ts: str | None, out: str) -> DataFrame:
-    numbered = row_number_by_key(rows, key, order_by, "_rn") if key else sequence(rows, order_by, 1, "_rn")
-    group = F.ceil((F.col("_rn") - 1) / n) if first else F.floor((F.col("_rn") - 1) / n)
-    sums = [F.sum(c).alias(f"_sum_{k}") for k, c in aggregates.items()]
+    numbered = row_number_by_key(rows, key, order_by, "__fluvia_rn") if key else sequence(rows, order_by, 1, "__fluvia_rn")
+    group = F.ceil((F.col("__fluvia_rn") - 1) / n) if first else F.floor((F.col("__fluvia_rn") - 1) / n)
+    sums = [F.sum(c).alias(f"__fluvia_sum_{k}") for k, c in aggregates.items()]
     whole = F.struct(*rows.columns)
-    grouped = numbered.withColumn("_group", group).groupBy(*([F.struct(*key).alias("_key")] if key else []), "_group")
-    made = grouped.agg(F.count("*").alias("_size"), F.max_by(whole, "_rn").alias("_last"), F.min_by(whole, "_rn").alias("_first"), *sums)
-    fields = [F.col(f"_sum_{k}").alias(k) for k in aggregates]
+    grouped = numbered.withColumn("__fluvia_group", group).groupBy(*([F.struct(*key).alias("__fluvia_key")] if key else []), "__fluvia_group")
+    made = grouped.agg(F.count("*").alias("__fluvia_size"), F.max_by(whole, "__fluvia_rn").alias("__fluvia_last"), F.min_by(whole, "__fluvia_rn").alias("__fluvia_first"), *sums)
+    fields = [F.col(f"__fluvia_sum_{k}").alias(k) for k in aggregates]
     if ts:
         ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
-        fields.append((ms(f"_last.{ts}") - ms(f"_first.{ts}")).alias("dts"))
-    done = (F.col("_size") == n) | (F.col("_group") == 0) if first else F.col("_size") == n
-    return made.filter(done).select("_last.*", F.struct(*fields).alias(out))
+        fields.append((ms(f"__fluvia_last.{ts}") - ms(f"__fluvia_first.{ts}")).alias("dts"))
+    done = (F.col("__fluvia_size") == n) | (F.col("__fluvia_group") == 0) if first else F.col("__fluvia_size") == n
+    return made.filter(done).select("__fluvia_last.*", F.struct(*fields).alias(out))
 
 
 def replay(df: DataFrame, key: Sequence[str], order_by: Sequence[str], schema: T.StructType, start: Callable[[], object]) -> DataFrame:
@@ -81,26 +82,22 @@ def replay(df: DataFrame, key: Sequence[str], order_by: Sequence[str], schema: T
     ``end() -> list of dicts``. Batches stream through, so a key of any size needs memory for its state alone."""
     keys = list(key)
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[list[dict]]) -> Iterator[list[dict]]:
         state, last = None, None
-        for frame in frames:
+        for rows in batches:
             made: list[dict] = []
-            for row in frame.to_dict("records"):
-                own = tuple(None if pd.isna(row[k]) else row[k] for k in keys)
+            for row in rows:
+                own = tuple(row[k] for k in keys)
                 if state is None or own != last:
                     made += state.end() if state else []
                     state, last = start(), own
                 made += state.row(row)
-            yield _frame(made, schema)
+            yield made
         if state:
-            yield _frame(state.end(), schema)
+            yield state.end()
 
     dealt = df.repartition(*keys) if keys else df.coalesce(1)
-    return dealt.sortWithinPartitions(*keys, *order_by).mapInPandas(work, schema)
-
-
-def _frame(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=schema.names).astype("object")
+    return map_rows(dealt.sortWithinPartitions(*keys, *order_by), work, schema)
 
 
 class _EveryTtl:
@@ -118,9 +115,9 @@ class _EveryTtl:
         return out
 
     def row(self, row: dict) -> list[dict]:
-        now = row.pop("_ms")
+        now = row.pop("__fluvia_ms")
         out = self._flush() if self.since is not None and now - self.since >= self.ttl else []
-        added = {k: row.pop(f"_{k}") for k in self.names}
+        added = {k: row.pop(f"__fluvia_{k}") for k in self.names}
         self.head = self.head or row
         for k, v in added.items():
             self.data[k] += 0 if pd.isna(v) else v
@@ -151,8 +148,8 @@ def every_n_ttl(
     """``every_n`` whose unfinished groups come out, too: once a row comes ``ttl_ms`` or more after the first row that
     was held back, what is held comes out with the fields of the key's first row (``flushed``), and the key starts
     anew. ``tail`` does so at the end of the rows. Sums are doubles in columns of their own."""
-    added = {f"_{k}": c.cast("double") for k, c in aggregates.items()}
-    rows = accept(df, when).withColumns(added | {"_ms": F.unix_millis(F.col(ts).cast("timestamp"))})
+    added = {f"__fluvia_{k}": c.cast("double") for k, c in aggregates.items()}
+    rows = accept(df, when).withColumns(added | {"__fluvia_ms": F.unix_millis(F.col(ts).cast("timestamp"))})
     fields = [*df.schema.fields, *(T.StructField(k, T.DoubleType()) for k in aggregates), T.StructField("flushed", T.BooleanType())]
     names = list(aggregates)
     return replay(rows, key, order_by, T.StructType(fields), lambda: _EveryTtl(n, names, first, ttl_ms, tail))
@@ -166,16 +163,16 @@ def array_by_size(
     ranges, so no task holds all rows of a key."""
     _ordered(order_by)
     if key and spread:
-        numbered = row_number_by_key(df, key, order_by, "_n").withColumn("_n", F.col("_n") - 1)
+        numbered = row_number_by_key(df, key, order_by, "__fluvia_n").withColumn("__fluvia_n", F.col("__fluvia_n") - 1)
     elif key:
-        numbered = df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order_by)) - 1)
+        numbered = df.withColumn("__fluvia_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order_by)) - 1)
     else:
-        numbered = sequence(df, order_by, out="_n")
-    chunked = numbered.withColumn("batch", F.floor(F.col("_n") / size))
-    items = F.struct(F.col("_n"), F.struct(*df.columns).alias("row"))
-    made = chunked.groupBy(*key, "batch").agg(F.array_sort(F.collect_list(items)).alias("_items"))
-    whole = made if tail else made.filter(F.size("_items") == size)
-    return whole.select(*key, "batch", F.transform("_items", lambda x: x["row"]).alias(out))
+        numbered = sequence(df, order_by, out="__fluvia_n")
+    chunked = numbered.withColumn("batch", F.floor(F.col("__fluvia_n") / size))
+    items = F.struct(F.col("__fluvia_n"), F.struct(*df.columns).alias("row"))
+    made = chunked.groupBy(*key, "batch").agg(F.array_sort(F.collect_list(items)).alias("__fluvia_items"))
+    whole = made if tail else made.filter(F.size("__fluvia_items") == size)
+    return whole.select(*key, "batch", F.transform("__fluvia_items", lambda x: x["row"]).alias(out))
 
 
 def array_by_time(df: DataFrame, interval: str, size: int, ts: str, order_by: Sequence[str], out: str = "rows") -> DataFrame:
@@ -183,10 +180,10 @@ def array_by_time(df: DataFrame, interval: str, size: int, ts: str, order_by: Se
     same interval. Returns ``start, batch`` and the array."""
     _ordered(order_by)
     windowed = df.withColumn("start", F.window(F.col(ts).cast("timestamp"), interval)["start"])
-    numbered = windowed.withColumn("_n", F.row_number().over(Window.partitionBy("start").orderBy(*order_by)) - 1)
-    items = F.struct(F.col("_n"), F.struct(*df.columns).alias("row"))
-    made = numbered.groupBy("start", F.floor(F.col("_n") / size).alias("batch")).agg(F.array_sort(F.collect_list(items)).alias("_items"))
-    return made.select("start", "batch", F.transform("_items", lambda x: x["row"]).alias(out))
+    numbered = windowed.withColumn("__fluvia_n", F.row_number().over(Window.partitionBy("start").orderBy(*order_by)) - 1)
+    items = F.struct(F.col("__fluvia_n"), F.struct(*df.columns).alias("row"))
+    made = numbered.groupBy("start", F.floor(F.col("__fluvia_n") / size).alias("batch")).agg(F.array_sort(F.collect_list(items)).alias("__fluvia_items"))
+    return made.select("start", "batch", F.transform("__fluvia_items", lambda x: x["row"]).alias(out))
 
 
 def join_lines(
@@ -210,14 +207,14 @@ def join_lines(
     if wait_ms is not None:
         ms = F.unix_millis(F.col(ts).cast("timestamp"))
         begins = begins | F.coalesce(ms - F.lag(ms).over(ordered) > wait_ms, F.lit(False))
-    marked = df.withColumns({"_b": begins.cast("int"), "_n": F.row_number().over(ordered)})
-    grouped = marked.withColumn("_g", F.sum("_b").over(ordered))
+    marked = df.withColumns({"__fluvia_b": begins.cast("int"), "__fluvia_n": F.row_number().over(ordered)})
+    grouped = marked.withColumn("__fluvia_g", F.sum("__fluvia_b").over(ordered))
     row = F.struct(*(c for c in df.columns))
-    item = F.struct("_n", F.coalesce(F.col(line), F.lit("")).alias("t"))
-    made = grouped.groupBy(*key, "_g").agg(F.array_sort(F.collect_list(item)).alias("_lines"), F.max_by(row, "_n").alias("_last"))
-    newest = F.slice("_lines", F.greatest(F.size("_lines") - most, F.lit(0)) + 1, most)
+    item = F.struct("__fluvia_n", F.coalesce(F.col(line), F.lit("")).alias("t"))
+    made = grouped.groupBy(*key, "__fluvia_g").agg(F.array_sort(F.collect_list(item)).alias("__fluvia_lines"), F.max_by(row, "__fluvia_n").alias("__fluvia_last"))
+    newest = F.slice("__fluvia_lines", F.greatest(F.size("__fluvia_lines") - most, F.lit(0)) + 1, most)
     joined = F.array_join(F.transform(newest, lambda x: x["t"]), delimiter)
-    return made.select("_last.*", joined.alias(out))
+    return made.select("__fluvia_last.*", joined.alias(out))
 
 
 def assemble_xml(df: DataFrame, text: str, tag: str, order_by: Sequence[str], key: Sequence[str] = (), out: str = "xml") -> DataFrame:
@@ -229,8 +226,8 @@ def assemble_xml(df: DataFrame, text: str, tag: str, order_by: Sequence[str], ke
     before = F.coalesce(F.sum((closing > 0).cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     item = F.struct(F.row_number().over(ordered).alias("n"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     grouped = df.select(*key, before.alias("part"), item.alias("item")).groupBy(*key, "part").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    whole = grouped.withColumn("_text", F.array_join(F.transform("items", lambda x: x["t"]), ""))
-    return whole.select(*key, "part", F.posexplode(xml_elements(F.col("_text"), tag)).alias("at", out))
+    whole = grouped.withColumn("__fluvia_text", F.array_join(F.transform("items", lambda x: x["t"]), ""))
+    return whole.select(*key, "part", F.posexplode(xml_elements(F.col("__fluvia_text"), tag)).alias("at", out))
 
 
 def flow_counts(df: DataFrame, flows: str, ts: str, interval: str = "10 seconds") -> DataFrame:
@@ -246,7 +243,7 @@ class _Alert:
         self.total = 0.0
 
     def row(self, row: dict) -> list[dict]:
-        now, amount = row.pop("_us"), row.pop("_amount")
+        now, amount = row.pop("__fluvia_us"), row.pop("__fluvia_amount")
         amount = 0.0 if pd.isna(amount) else amount
         while self.time is not None and self.rows and self.rows[0][0] < now - self.time:
             self.total -= self.rows.popleft()[1]
@@ -290,12 +287,12 @@ def window_alert(
     length = None if time is None else int(pd.Timedelta(time) / pd.Timedelta(microseconds=1))
     if not reset and (time is None or size is None):
         if time is not None:
-            frame = Window.partitionBy(*key).orderBy("_us").rangeBetween(-length, 0)
+            frame = Window.partitionBy(*key).orderBy("__fluvia_us").rangeBetween(-length, 0)
         else:
             frame = Window.partitionBy(*key).orderBy(*order_by).rowsBetween(1 - size, 0)
-        valued = df.withColumn("_us", us).withColumn("window_value", F.sum(value).over(frame)).drop("_us")
+        valued = df.withColumn("__fluvia_us", us).withColumn("window_value", F.sum(value).over(frame)).drop("__fluvia_us")
         return valued.filter(F.col("window_value") >= threshold)
-    rows = df.withColumns({"_us": us, "_amount": value})
+    rows = df.withColumns({"__fluvia_us": us, "__fluvia_amount": value})
     schema = T.StructType([*df.schema.fields, T.StructField("window_value", T.DoubleType())])
     return replay(rows, key, order_by, schema, lambda: _Alert(length, size, threshold, reset))
 
@@ -324,16 +321,16 @@ def throttle(df: DataFrame, interval_ms: int, ts: str, order_by: Sequence[str],
     _ordered(order_by)
     t = interval_ms
     tick = F.ceil(F.unix_millis(F.col(ts).cast("timestamp")) / t) * t
-    ordered = Window.partitionBy("_part").orderBy(*order_by)
-    numbered = df.withColumn("_part", range_bucket(df, order_by)).withColumn("_i", F.row_number().over(ordered) - 1)
-    lead = numbered.withColumn("_x", tick - t * F.col("_i"))
-    running = lead.withColumn("_own", F.max("_x").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-    totals = lead.groupBy("_part").agg(F.count("*").alias("_rows"), F.max("_x").alias("_top"))
-    offsets = totals.join(before_each(totals, "_part", F.sum("_rows"), "_rows_before"), "_part")
-    offset = F.coalesce("_rows_before", F.lit(0))
-    tops = offsets.select("_part", offset.alias("_offset"), (F.col("_top") - t * offset).alias("_reach"))
-    before = tops.select("_part", "_offset").join(before_each(tops, "_part", F.max("_reach"), "_carry"), "_part")
-    own = F.col("_own") - t * F.col("_offset")
-    release = F.greatest(own, F.coalesce("_carry", own)) + t * (F.col("_offset") + F.col("_i"))
-    joined = running.join(before, "_part").withColumn(out, release.cast("long"))
-    return joined.drop("_part", "_i", "_x", "_own", "_offset", "_carry")
+    ordered = Window.partitionBy("__fluvia_part").orderBy(*order_by)
+    numbered = df.withColumn("__fluvia_part", range_bucket(df, order_by)).withColumn("__fluvia_i", F.row_number().over(ordered) - 1)
+    lead = numbered.withColumn("__fluvia_x", tick - t * F.col("__fluvia_i"))
+    running = lead.withColumn("__fluvia_own", F.max("__fluvia_x").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = lead.groupBy("__fluvia_part").agg(F.count("*").alias("__fluvia_rows"), F.max("__fluvia_x").alias("__fluvia_top"))
+    offsets = totals.join(before_each(totals, "__fluvia_part", F.sum("__fluvia_rows"), "__fluvia_rows_before"), "__fluvia_part")
+    offset = F.coalesce("__fluvia_rows_before", F.lit(0))
+    tops = offsets.select("__fluvia_part", offset.alias("__fluvia_offset"), (F.col("__fluvia_top") - t * offset).alias("__fluvia_reach"))
+    before = tops.select("__fluvia_part", "__fluvia_offset").join(before_each(tops, "__fluvia_part", F.max("__fluvia_reach"), "__fluvia_carry"), "__fluvia_part")
+    own = F.col("__fluvia_own") - t * F.col("__fluvia_offset")
+    release = F.greatest(own, F.coalesce("__fluvia_carry", own)) + t * (F.col("__fluvia_offset") + F.col("__fluvia_i"))
+    joined = running.join(before, "__fluvia_part").withColumn(out, release.cast("long"))
+    return joined.drop("__fluvia_part", "__fluvia_i", "__fluvia_x", "__fluvia_own", "__fluvia_offset", "__fluvia_carry")

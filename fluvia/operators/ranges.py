@@ -45,10 +45,10 @@ def row_number_by_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str]
     ranges, so no task holds it whole. Only counts by range and key are added up. Null keys are one key."""
     from pyspark.sql import Window
 
-    parted = df.select("*", range_bucket(df, [*key, *order_by]).alias("_part"), F.struct(*key).alias("_key"))
-    in_part = F.row_number().over(Window.partitionBy("_part", "_key").orderBy(*order_by))
-    counts = parted.groupBy("_part", "_key").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_part", "_key", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    joined = parted.withColumn("_in_part", in_part).join(before, ["_part", "_key"])
-    return joined.withColumn(out, F.col("_before") + F.col("_in_part")).drop("_part", "_key", "_in_part", "_before")
+    parted = df.select("*", range_bucket(df, [*key, *order_by]).alias("__fluvia_part"), F.struct(*key).alias("__fluvia_key"))
+    in_part = F.row_number().over(Window.partitionBy("__fluvia_part", "__fluvia_key").orderBy(*order_by))
+    counts = parted.groupBy("__fluvia_part", "__fluvia_key").agg(F.count("*").alias("__fluvia_n"))
+    earlier = Window.partitionBy("__fluvia_key").orderBy("__fluvia_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__fluvia_part", "__fluvia_key", F.coalesce(F.sum("__fluvia_n").over(earlier), F.lit(0)).alias("__fluvia_before"))
+    joined = parted.withColumn("__fluvia_in_part", in_part).join(before, ["__fluvia_part", "__fluvia_key"])
+    return joined.withColumn(out, F.col("__fluvia_before") + F.col("__fluvia_in_part")).drop("__fluvia_part", "__fluvia_key", "__fluvia_in_part", "__fluvia_before")

@@ -9,13 +9,17 @@ to one SQL expression; the others run in Python over Arrow batches, with the exp
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections import ChainMap
+from collections.abc import Generator, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .custom import map_rows
+
 START = "start"
 #: Names of values that an ended line does not keep.
 UNNAMED = ("", "text", "void")
@@ -70,52 +74,106 @@ def _python(pattern: str) -> re.Pattern[str]:
     return re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern))
 
 
-def _fill(template: str, values: Mapping[str, str | None]) -> str:
-    return re.sub(r"\$\{([^}]*)\}", lambda m: values.get(m.group(1)) or "", template)
-
-
-def matcher(rules: RuleSet) -> Callable[[str | None, str], tuple[list[tuple[str, str | None]] | None, str]]:
-    """A function from a line and a state to the pairs found (None: rejected) and the state after it."""
-    compiled = {s: [(_python(r.pattern), r) for r in own] for s, own in rules.states.items()}
-    begin = compiled.get(START, [])
-
-    def parse(line: str | None, state: str = START) -> tuple[list[tuple[str, str | None]] | None, str]:
-        rest = (line or "").strip() if rules.trim else (line or "")
-        found: list[tuple[str, str | None]] = []
-        values: dict[str, str | None] = {"_": rest, "__": rest}
-        while rest:
-            for pattern, rule in compiled.get(state, begin):
-                if m := pattern.search(rest):
-                    break
-            else:
-                if state == START:
-                    return [x for x in found if x[0] not in UNNAMED], state
-                state = START
-                continue
+#: What templates call the whole line, and what was left of it behind the match.
+WHOLE, REST = "_", "__"
+
+
+class Step(NamedTuple):
+    """A rule that matched, where, and the line behind the match."""
+
+    rule: Rule
+    match: re.Match[str]
+    rest: str
+
+
+class Ending(NamedTuple):
+    """How a walk over a line ended: ``spent`` (nothing left, or nothing consumed), ``lost`` (no rule matches) or
+    ``rejected``; and the state for the next line."""
+
+    how: str
+    state: str
+
+
+class Machine:
+    """A rule set with its expressions compiled."""
+
+    def __init__(self, rules: RuleSet) -> None:
+        self.rules = rules
+        compiled = {s: [(_python(r.pattern), r, s) for r in own] for s, own in rules.states.items()}
+        self.start = compiled.get(START, [])
+        # where a state's own rules find nothing those of the start go on, so both are tried in turn
+        self.tried = {s: own if s == START else own + self.start for s, own in compiled.items()}
+
+    def steps(self, line: str, state: str) -> Generator[Step, None, Ending]:
+        """The steps over one line; the ending is the generator's value."""
+        while line:
+            found = ((p.search(line), rule, home) for p, rule, home in self.tried.get(state, self.start))
+            match, rule, home = next((x for x in found if x[0]), (None, None, START))
+            if match is None:
+                return Ending("lost", START)
             if rule.reject:
-                return None, state
-            before, rest = rest, rest[m.end() :]
-            values["__"] = rest
-            state = rule.next or state
-            if rule.named:
-                found += m.groupdict().items()
-            for i, name in enumerate(rule.names):
-                if i == 0:
-                    value = m.group(1) if pattern.groups else m.group()
-                else:
-                    value = (m.group(i + 1) if i < pattern.groups else None) or (rest if rules.empty is None else rules.empty)
-                value = value.strip() if value is not None else None
-                found.append((name, value))
-                values[name] = value
-            for key, template in rule.set:
-                pair = (_fill(key, values), _fill(template, values))
-                found.append(pair)
-                values[pair[0]] = pair[1]
-            if rest == before:  # nothing was consumed: leave the line here
+                return Ending("rejected", home)
+            left = line[match.end() :]
+            yield Step(rule, match, left)
+            state = rule.next or (home if state in self.tried else state)
+            if left == line:
                 break
-        return found, state
+            line = left
+        return Ending("spent", state)
+
+    def values(self, step: Step, known: Mapping[str, str | None]) -> Iterator[tuple[str, str | None]]:
+        """The pairs that a step gives; ``known`` holds those before it, for templates."""
+        rule, match, rest = step
+        if rule.named:
+            yield from match.groupdict().items()
+        groups = match.groups()
+        instead = rest if self.rules.empty is None else self.rules.empty
+        own: dict[str, str | None] = {}
+        for i, name in enumerate(rule.names):
+            value = (groups[i] if i < len(groups) else None) or instead if i else groups[0] if groups else match.group()
+            own[name] = value if value is None else value.strip()
+            yield name, own[name]
+        if rule.set:
+            seen = ChainMap({REST: rest}, own, known)
+            for templates in rule.set:
+                key, value = (re.sub(r"\$\{([^}]*)\}", lambda m: seen.get(m.group(1)) or "", t) for t in templates)
+                seen[key] = value
+                yield key, value
+
+    def read(self, line: str | None, state: str = START) -> tuple[list[tuple[str, str | None]] | None, str]:
+        """The pairs of a line (None: rejected) and the state after it."""
+        text = line or ""
+        text = text.strip() if self.rules.trim else text
+        known: dict[str, str | None] = {WHOLE: text}
+        pairs: list[tuple[str, str | None]] = []
+        walk = self.steps(text, state)
+        while True:
+            try:
+                step = next(walk)
+            except StopIteration as end:
+                how, state = end.value
+                break
+            made = list(self.values(step, known))
+            pairs += made
+            known |= dict(made)
+        if how == "rejected":
+            return None, state
+        return [x for x in pairs if how != "lost" or x[0] not in UNNAMED], state
+
+
+_MACHINES: dict[str, Machine] = {}
+
+
+def machine(rules: RuleSet) -> Machine:
+    """The machine of a rule set, made once per worker."""
+    name = repr(rules)
+    if name not in _MACHINES:
+        _MACHINES[name] = Machine(rules)
+    return _MACHINES[name]
+
 
-    return parse
+def _as_items(pairs: list[tuple[str, str | None]] | None) -> list[dict] | None:
+    return None if pairs is None else [{"name": k, "value": v} for k, v in pairs]
 
 
 def extract(df: DataFrame, source: str, rules: RuleSet, out: str = "parsed") -> DataFrame:
@@ -123,9 +181,8 @@ def extract(df: DataFrame, source: str, rules: RuleSet, out: str = "parsed") ->
 
     @F.pandas_udf(PARSED)
     def parsed(lines: pd.Series) -> pd.Series:
-        parse = matcher(rules)
-        found = (parse(x)[0] for x in lines)
-        return pd.Series([None if f is None else [{"name": k, "value": v} for k, v in f] for f in found], dtype="object")
+        own = machine(rules)
+        return pd.Series([_as_items(own.read(x)[0]) for x in lines], dtype="object")
 
     return df.withColumn(out, parsed(F.col(source))).filter(F.col(out).isNotNull())
 
@@ -136,20 +193,21 @@ def extract_lines(df: DataFrame, source: str, rules: RuleSet, key: Sequence[str]
     schema = df.withColumn(out, F.lit(None).cast(PARSED)).schema
     keys = list(key)
 
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parse, state, last = matcher(rules), START, None
-        for frame in frames:
-            found = []
-            for line, *own in frame[[source, *keys]].itertuples(index=False, name=None):
-                if own != last:
-                    state, last = START, own
-                pairs, state = parse(line, state)
-                found.append(None if pairs is None else [{"name": k, "value": v} for k, v in pairs])
-            frame[out] = pd.Series(found, index=frame.index, dtype="object")
-            yield frame[frame[out].notna()]
+    def walk(batches: Iterator[list[dict]]) -> Iterator[list[dict]]:
+        own, state, last = machine(rules), START, None
+        for rows in batches:
+            kept = []
+            for row in rows:
+                at = [row[k] for k in keys]
+                if at != last:
+                    state, last = START, at
+                pairs, state = own.read(row[source], state)
+                if pairs is not None:
+                    kept.append(row | {out: _as_items(pairs)})
+            yield kept
 
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order_by)
-    return dealt.mapInPandas(walk, schema)
+    return map_rows(dealt, walk, schema)
 
 
 def as_map(df: DataFrame, parsed: str, single: bool = True) -> DataFrame:

@@ -165,23 +165,25 @@ def xml_array(spark, sf_dir):
     return rows.select("event_id", F.size("evs").alias("n"), F.col("evs")[0]["id"].alias("first_id"), F.col("evs")[1]["kind"].alias("second_kind"))
 
 
-THREAT = [
-    {"src": "start", "dst": "data", "re": r"(?<timestamp>\d{4}-\d{2}-\d{2}) (?<res>\S+)"},
-    {"src": "data", "dst": "message", "re": r"status=(?<status>\w) "},
-    {"src": "message", "re": r"(?<message>.*$)"},
-]
-
-
 def _order_lines(spark, sf_dir):
     parts = ["<13> ", F.date_format("o_orderdate", "yyyy-MM-dd"), " key", _text("o_orderkey"), " - status=", F.col("o_orderstatus"), " prio ", F.col("o_orderpriority")]
     line = F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     return read(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS timestamp, 'key' || o_orderkey AS res, o_orderstatus AS status, 'prio ' || o_orderpriority AS message FROM orders")
+#: A rule set over lines of orders: the key, then the priority behind whatever comes between; finished orders go.
+ORDER_RULES = [
+    {"re": r" key(?<order>[0-9]+)", "dst": "state"},
+    {"src": "state", "re": r"status=F", "reject": True},
+    {"src": "state", "re": r"status=(?<letter>[A-Z])", "dst": "tail"},
+    {"src": "tail", "re": r"(?<rank>[1-5])-(?<rest>[A-Z ]+)"},
+]
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS \"order\", o_orderstatus AS letter, left(o_orderpriority, 1) AS rank, substr(o_orderpriority, 3) AS rest FROM orders WHERE o_orderstatus <> 'F'")
 def ruleset_inline(spark, sf_dir):
-    found = ruleset.as_map(ruleset.extract(_order_lines(spark, sf_dir), "line", ruleset.inline(THREAT)), "parsed")
-    return found.select("o_orderkey", *(F.col("parsed")[n].alias(n) for n in ("timestamp", "res", "status", "message")))
+    found = ruleset.as_map(ruleset.extract(_order_lines(spark, sf_dir), "line", ruleset.inline(ORDER_RULES)), "parsed")
+    return found.select("o_orderkey", *(F.col("parsed")[n].alias(n) for n in ("order", "letter", "rank", "rest")))
 
 
 RULES = {
@@ -216,7 +218,11 @@ def ruleset_reject(spark, sf_dir):
     return found.select("o_orderkey", F.col("parsed")["status"].alias("status"), F.col("parsed")["state"].alias("state"))
 
 
-@query()
+@query(
+    "WITH n AS (SELECT count(*) AS n, count(DISTINCT user_id % 250) AS hosts, count(DISTINCT event_id) AS ids, count(DISTINCT event_type) AS types FROM events) "
+    "SELECT unnest(['token.timestamp', 'keyword.language', 'keyword.operator', 'constant.comment', 'keyword.comment', 'param.key', 'param.value']) AS name, n, "
+    "unnest([1, 1, hosts, 1, ids, 1, types]) AS kinds FROM n"
+)
 def token_census(spark, sf_dir):
     """Tokens of each kind over log lines, by the general rule set."""
     parts = ["2024-01-12 06:30:00 [web] GET /p/", _text("user_id"), " from 10.0.0.", (F.col("user_id") % 250).cast("string"), ":80 took ", _text("event_id"), "ms ERROR: kind=", F.col("event_type")]

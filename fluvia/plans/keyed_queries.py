@@ -66,7 +66,18 @@ def every_n_pipeline(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, round(value * 100) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, "
+    "count(*) OVER (PARTITION BY user_id) AS total FROM events), "
+    "r AS (SELECT user_id, event_id, rn, total, false AS late, CAST(NULL AS BIGINT) AS old_head, CAST(0 AS DOUBLE) AS old_n, CAST(0 AS DOUBLE) AS old_c, true AS done, "
+    "CAST(1 AS DOUBLE) AS done_n, CAST(c AS DOUBLE) AS done_c, event_id AS head, CAST(NULL AS BIGINT) AS since, CAST(0 AS DOUBLE) AS n, CAST(0 AS DOUBLE) AS cents FROM e WHERE rn = 1 "
+    "UNION ALL SELECT user_id, event_id, rn, total, late, old_head, old_n, old_c, late OR old_n + 1 >= 10, CASE WHEN late THEN 1 ELSE old_n + 1 END, CASE WHEN late THEN c ELSE old_c + c END, "
+    "CASE WHEN late THEN event_id ELSE old_head END, CASE WHEN late THEN NULL WHEN old_n + 1 >= 10 THEN since ELSE coalesce(since, ms) END, "
+    "CASE WHEN late OR old_n + 1 >= 10 THEN 0 ELSE old_n + 1 END, CASE WHEN late OR old_n + 1 >= 10 THEN 0 ELSE old_c + c END "
+    "FROM (SELECT e.*, coalesce(e.ms - r.since >= 21600000, false) AS late, r.head AS old_head, r.n AS old_n, r.cents AS old_c, r.since FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)) "
+    "SELECT user_id, event_id, done_n AS n, done_c AS cents, false AS flushed FROM r WHERE done UNION ALL SELECT user_id, old_head, old_n, old_c, true FROM r WHERE late "
+    "UNION ALL SELECT user_id, head, n, cents, true FROM r WHERE rn = total AND since IS NOT NULL AND n > 0"
+)
 def every_n_ttl_batch(spark, sf_dir):
     sums = {"n": F.lit(1), "cents": _cents()}
     out = keyed.every_n_ttl(read(spark, sf_dir, "events"), 10, 6 * 3600 * 1000, sums, ["event_id"], ["user_id"], "ts")
@@ -155,7 +166,13 @@ def window_size_threshold(spark, sf_dir):
     return keyed.window_alert(events, 40000, ["user_id"], "ts", ["event_id"], size=5, amount=_cents()).select("user_id", "event_id", "window_value")
 
 
-@query()
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), "
+    "r AS (SELECT user_id, event_id, rn, [us] AS w FROM e WHERE rn = 1 UNION ALL "
+    "SELECT e.user_id, e.event_id, e.rn, list_append(list_filter(CASE WHEN len(r.w) >= 4 THEN [] ELSE r.w END, lambda x: x >= e.us - 43200000000), e.us) "
+    "FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) "
+    "SELECT user_id, event_id, CAST(len(w) AS DOUBLE) AS window_value FROM r WHERE len(w) >= 4"
+)
 def window_reset(spark, sf_dir):
     events = read(spark, sf_dir, "events").select("user_id", "event_id", "ts")
     return keyed.window_alert(events, 4, ["user_id"], "ts", ["event_id"], time="12 hours", size=100, reset=True).select("user_id", "event_id", "window_value")

@@ -184,18 +184,20 @@ def expressions(spark, sf_dir):
 
 
 @query(
-    "SELECT event_id, event_type AS kind, CAST(user_id AS VARCHAR) AS usr, '_' AS empty, 'user' AS head FROM events"
+    "WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), "
+    "t AS (SELECT p_partkey, upper(w) AS word, length(w) AS size, left(w, 1) AS initial FROM w WHERE length(w) > 4) "
+    "SELECT p.p_partkey, word, CAST(size AS BIGINT) AS size, initial FROM part p LEFT JOIN t ON p.p_partkey = t.p_partkey"
 )
 def transform_pipeline(spark, sf_dir):
-    """The stages of a transform: find the comma, split head and content, and turn ``key: value`` items into a map."""
-    message = F.concat(F.lit("user, kind: "), F.col("event_type"), F.lit(", usr: old, usr: "), F.col("user_id").cast("string"), F.lit(", none"))
-    rows = read(spark, sf_dir, "events").select("event_id", message.alias("message"))
-    step1 = rows.withColumn("idx", fn.index_of_bytes(F.col("message"), ","))
-    step2 = step1.withColumns({"head": F.trim(fn.substr(F.col("message"), 0, F.col("idx"))), "content": F.trim(fn.substr(F.col("message"), F.col("idx") + 1, -1))})
-    pairs = F.transform(fn.split_literal(F.col("content"), ", "), lambda x: fn.split_literal(x, ": "))
-    step3 = step2.withColumn("csv", fn.pairs_to_map(pairs))
-    named = lambda k, a: F.col("csv")[k].alias(a)
-    return step3.select("event_id", named("kind", "kind"), named("usr", "usr"), named("none", "empty"), "head")
+    """Long words of part names: stages over an array whose results become rows."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
+    stages = [
+        ("project", {"word": lambda w: w, "size": lambda w: F.length(w).cast("long")}),
+        ("match", lambda x: x["size"] > 4),
+        ("add", {"initial": lambda x: F.left(x["word"], F.lit(1))}),
+        ("add", {"word": lambda x: F.upper(x["word"])}),
+    ]
+    return enrich.transform(parts, F.col("words"), stages, "found").select("p_partkey", "found.word", "found.size", "found.initial")
 
 
 @query(

@@ -49,8 +49,8 @@ def topic_partition(df: DataFrame, partitions: int, mode: str = "hashed", field:
     elif mode == "roundrobin":
         from ..operators.enrich import sequence
 
-        numbered = sequence(df, order_by, out="_n")
-        return numbered.withColumn(out, F.pmod("_n", F.lit(partitions)).cast("int")).drop("_n")
+        numbered = sequence(df, order_by, out="__fluvia_n")
+        return numbered.withColumn(out, F.pmod("__fluvia_n", F.lit(partitions)).cast("int")).drop("__fluvia_n")
     else:
         part = F.lit(0)
     return df.withColumn(out, part.cast("int"))

@@ -98,23 +98,38 @@ def frame_records(df: DataFrame, blob: str, by: str = "linebreak", out: str = "o
 
 @dataclass
 class Mark:
-    """The last value that an incremental pull has read; None before the first."""
+    """The last value that an incremental pull has read, None before the first, and those of its ``ties``."""
 
     value: object = None
+    ties: tuple = ()
 
 
 def pull(source: DataFrame, column: str, mark: Mark, batch: int | None = None, ties: Sequence[str] = ()) -> tuple[DataFrame, Mark]:
-    """Rows above the mark in ascending order, at most ``batch``, and the mark behind them.
+    """Rows above the mark in ascending order, and the mark behind them. Rows without a value are not read.
 
-    The bound is a filter on the source, so it reaches files and databases. With ``batch`` the column should be unique
-    (``ties`` only orders equal ones): rows equal to the last one read are not read again.
+    The bound is a filter on the source, so it reaches files and databases. With ``batch`` about so many rows are read:
+    ``column`` and ``ties`` together put rows in order, and all rows equal to the last one of the batch come along, so
+    none is left behind. ``ties`` must not be null. Read the rows before the source changes, or write them first: the
+    bounds of both ends are fixed, but rows that are added later between them would be read, too.
     """
-    fresh = source if mark.value is None else source.filter(F.col(column) > F.lit(mark.value))
-    fresh = fresh.filter(F.col(column).isNotNull())
-    if batch is not None:
-        fresh = fresh.orderBy(column, *ties).limit(batch)
-    last = fresh.agg(F.max(column)).first()[0]
-    return fresh, Mark(mark.value if last is None else last)
+    order = [column, *ties]
+    after = lambda name, value: F.col(name) > F.lit(value)
+    fresh = source.filter(F.col(column).isNotNull())
+    if mark.value is not None:
+        known = list(zip(order, (mark.value, *mark.ties), strict=False))
+        above = F.lit(False)
+        for name, value in reversed(known):
+            above = after(name, value) | ((F.col(name) == F.lit(value)) & above)
+        fresh = fresh.filter(F.col(column) >= F.lit(mark.value)).filter(above)
+    named = F.struct(*order)
+    ends = fresh.select(*order) if batch is None else fresh.select(*order).orderBy(*order).limit(batch)
+    last = ends.agg(F.max(named)).first()[0]
+    if last is None:
+        return fresh.limit(0), mark
+    upto = F.lit(True)
+    for name in reversed(order):
+        upto = (F.col(name) < F.lit(last[name])) | ((F.col(name) == F.lit(last[name])) & upto)
+    return fresh.filter(F.col(column) <= F.lit(last[column])).filter(upto).orderBy(*order), Mark(last[column], tuple(last)[1:])
 
 
 def pull_tables(sources: Mapping[str, DataFrame], pattern: str, column: str, marks: Mapping[str, Mark], batch: int | None = None) -> tuple[DataFrame | None, dict[str, Mark]]:
@@ -134,16 +149,10 @@ def load_marks(spark: SparkSession, path: str) -> dict[str, Mark]:
     files = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
         return {}
-    return {r["name"]: Mark(r["value"]) for r in spark.read.json(path, "name string, value string").collect()}
+    rows = spark.read.json(path, "name string, value string, ties array<string>").collect()
+    return {r["name"]: Mark(r["value"], tuple(r["ties"] or ())) for r in rows}
 
 
 def save_marks(spark: SparkSession, path: str, marks: Mapping[str, Mark]) -> None:
-    rows = [(k, None if m.value is None else str(m.value)) for k, m in marks.items()]
-    spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(path)
-
-
-def tagged(df: DataFrame, key: Column | None, name: str, kind: str) -> DataFrame:
-    """``envelope`` under the name that sources use."""
-    from ..operators.enrich import envelope
-
-    return envelope(df, name, kind, key)
+    rows = [(k, None if m.value is None else str(m.value), [str(t) for t in m.ties]) for k, m in marks.items()]
+    spark.createDataFrame(rows, "name string, value string, ties array<string>").coalesce(1).write.mode("overwrite").json(path)

@@ -42,7 +42,7 @@ class _Machine(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
         machine = pickle.loads(self.state.get()[0]) if self.state.exists() else self.start()
-        for row in sorted((r.asDict() for r in rows), key=lambda r: tuple(r[c] for c in self.order_by)):
+        for row in sorted((r.asDict() for r in rows), key=lambda r: [(r[c] is not None, r[c]) for c in self.order_by]):  # nulls first
             yield from self._rows(machine.row(row))
         self.state.update((pickle.dumps(machine),))
         if self.idle_ms is not None:
@@ -93,8 +93,8 @@ def every_n(
     the clock, when no row comes.
     """
     ms = F.unix_millis(F.col(ts).cast("timestamp")) if ts else F.lit(0).cast("long")
-    added = {f"_{k}": c.cast("double") for k, c in aggregates.items()}
-    rows = accept(df, when).withColumns(added | {"_ms": ms})
+    added = {f"__fluvia_{k}": c.cast("double") for k, c in aggregates.items()}
+    rows = accept(df, when).withColumns(added | {"__fluvia_ms": ms})
     fields = [*df.schema.fields, *(T.StructField(k, T.DoubleType()) for k in aggregates), T.StructField("flushed", T.BooleanType())]
     names, ttl = list(aggregates), ttl_ms if ttl_ms is not None else FOREVER
     return machine_stream(rows, key, order_by, T.StructType(fields), lambda: _EveryTtl(n, names, first, ttl, True), idle_ms)
@@ -113,7 +113,7 @@ def window_alert(
 ) -> DataFrame:
     """Alerts of sliding windows, as ``keyed.window_alert``."""
     length = None if time is None else int(pd.Timedelta(time) / pd.Timedelta(microseconds=1))
-    rows = df.withColumns({"_us": F.unix_micros(F.col(ts).cast("timestamp")), "_amount": F.lit(1.0) if amount is None else amount.cast("double")})
+    rows = df.withColumns({"__fluvia_us": F.unix_micros(F.col(ts).cast("timestamp")), "__fluvia_amount": F.lit(1.0) if amount is None else amount.cast("double")})
     schema = T.StructType([*df.schema.fields, T.StructField("window_value", T.DoubleType())])
     return machine_stream(rows, key, order_by, schema, lambda: _Alert(length, size, threshold, reset))
 
@@ -126,7 +126,7 @@ class _Join:
         self.at = 0
 
     def row(self, row: dict) -> list[dict]:
-        begins, now = row.pop("_begins"), row.pop("_ms")
+        begins, now = row.pop("_begins"), row.pop("__fluvia_ms")
         late = self.wait is not None and self.last is not None and now - self.at > self.wait
         out = self.end() if self.last is not None and (begins or late) else []
         self.lines = [*self.lines, row[self.line] or ""][-self.most :]
@@ -157,7 +157,7 @@ def join_lines(
     """Multi-line events, as ``keyed.join_lines``. The last event of a key comes out once no row has come for
     ``idle_ms`` of the clock; with None it waits for the next boundary."""
     ms = F.unix_millis(F.col(ts).cast("timestamp")) if ts else F.lit(0).cast("long")
-    rows = df.withColumns({"_begins": holds(boundary), "_ms": ms})
+    rows = df.withColumns({"_begins": holds(boundary), "__fluvia_ms": ms})
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType())])
     return machine_stream(rows, key, order_by, schema, lambda: _Join(line, delimiter, most, wait_ms, out), idle_ms)
 
@@ -191,7 +191,7 @@ class _Latest:
         self.out, self.value = out, None
 
     def row(self, row: dict) -> list[dict]:
-        value, stored = row.pop("_value"), row.pop("_stored")
+        value, stored = row.pop("__fluvia_value"), row.pop("_stored")
         if stored:
             self.value = self.value if _missing(value) else value
             return []
@@ -204,8 +204,8 @@ class _Latest:
 def global_value(df: DataFrame, stores: Predicate, value: Column, key: Sequence[str], order_by: Sequence[str], out: str) -> DataFrame:
     """One stream of rows that store a value (where ``stores`` holds; they do not come out) and rows that read the
     latest one of their key."""
-    rows = df.withColumns({"_value": value, "_stored": holds(stores)})
-    schema = T.StructType([*df.schema.fields, T.StructField(out, rows.schema["_value"].dataType)])
+    rows = df.withColumns({"__fluvia_value": value, "_stored": holds(stores)})
+    schema = T.StructType([*df.schema.fields, T.StructField(out, rows.schema["__fluvia_value"].dataType)])
     return machine_stream(rows, key, order_by, schema, lambda: _Latest(out))
 
 

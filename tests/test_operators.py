@@ -179,14 +179,14 @@ def test_syslog_edges(spark):
 
 
 def test_rule_sets():
-    parse = ruleset.matcher(ruleset.from_document([{"regex": "a(b)?(c)?", "name": ["x", "y", "z"]}]))
-    assert parse("zzab 12") == ([("x", "b"), ("y", "12"), ("z", "12")], "start")
-    loop = ruleset.matcher(ruleset.from_document({"start": [{"regex": "k", "name": "text", "next": "s"}], "s": [{"regex": "^v", "name": "v"}]}))
-    assert loop("k v") == ([], "start")  # falls back to start, which drops unnamed values when it ends
-    assert loop("k") == ([("text", "k")], "s")  # the line was used up
-    assert loop(None) == ([], "start")
-    reject = ruleset.matcher(ruleset.from_document([{"regex": "no", "reject": True}]))
-    assert reject("a no b")[0] is None
+    parse = ruleset.machine(ruleset.from_document([{"regex": "a(b)?(c)?", "name": ["x", "y", "z"]}]))
+    assert parse.read("zzab 12") == ([("x", "b"), ("y", "12"), ("z", "12")], "start")
+    loop = ruleset.machine(ruleset.from_document({"start": [{"regex": "k", "name": "text", "next": "s"}], "s": [{"regex": "^v", "name": "v"}]}))
+    assert loop.read("k v") == ([], "start")  # falls back to start, which drops unnamed values when it ends
+    assert loop.read("k") == ([("text", "k")], "s")  # the line was used up
+    assert loop.read(None) == ([], "start")
+    reject = ruleset.machine(ruleset.from_document([{"regex": "no", "reject": True}]))
+    assert reject.read("a no b")[0] is None
 
 
 def test_rule_set_over_lines(spark):
