@@ -209,11 +209,12 @@ def join_lines(
         begins = begins | F.coalesce(ms - F.lag(ms).over(ordered) > wait_ms, F.lit(False))
     marked = df.withColumns({"__fluvia_b": begins.cast("int"), "__fluvia_n": F.row_number().over(ordered)})
     grouped = marked.withColumn("__fluvia_g", F.sum("__fluvia_b").over(ordered))
+    back = F.row_number().over(Window.partitionBy(*key, "__fluvia_g").orderBy(F.desc("__fluvia_n")))
+    newest = grouped.withColumn("__fluvia_back", back).filter(F.col("__fluvia_back") <= most)  # before lines are collected
     row = F.struct(*(c for c in df.columns))
     item = F.struct("__fluvia_n", F.coalesce(F.col(line), F.lit("")).alias("t"))
-    made = grouped.groupBy(*key, "__fluvia_g").agg(F.array_sort(F.collect_list(item)).alias("__fluvia_lines"), F.max_by(row, "__fluvia_n").alias("__fluvia_last"))
-    newest = F.slice("__fluvia_lines", F.greatest(F.size("__fluvia_lines") - most, F.lit(0)) + 1, most)
-    joined = F.array_join(F.transform(newest, lambda x: x["t"]), delimiter)
+    made = newest.groupBy(*key, "__fluvia_g").agg(F.array_sort(F.collect_list(item)).alias("__fluvia_lines"), F.max_by(row, "__fluvia_n").alias("__fluvia_last"))
+    joined = F.array_join(F.transform("__fluvia_lines", lambda x: x["t"]), delimiter)
     return made.select("__fluvia_last.*", joined.alias(out))
 
 
