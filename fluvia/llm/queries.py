@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    ball_tree,
     byte_bpe,
     language_ppm,
     link_trust,
@@ -94,6 +95,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item among all documents."""
+    return ball_tree.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
@@ -106,8 +112,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe_round_trip": op8_byte_bpe_round_trip,
         "op9_page_graph": op9_page_graph,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_ball_tree_search": op11_ball_tree_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_ball_tree_search": ball_tree.SQL}
