@@ -20,6 +20,7 @@ from . import (
     robust_outliers,
     simhash,
     toxicity_cnn,
+    turn_repair,
 )
 from .common import crc32_mod, read
 
@@ -100,6 +101,11 @@ def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_tree.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every damaged conversation."""
+    return turn_repair.repair(read(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
@@ -113,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_page_graph": op9_page_graph,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "op11_ball_tree_search": op11_ball_tree_search,
+        "op12_turn_repair": op12_turn_repair,
     }
 
 
