@@ -18,6 +18,7 @@ from . import (
     page_graph,
     prefix_counts,
     robust_outliers,
+    set_join,
     simhash,
     toxicity_cnn,
     turn_repair,
@@ -106,6 +107,11 @@ def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(read(spark, sf_dir, "conversations"))
 
 
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose four-word shingle sets have a Jaccard similarity of 0.85 or more."""
+    return set_join.join(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_harmonic_packing": op1_harmonic_packing,
@@ -120,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "op11_ball_tree_search": op11_ball_tree_search,
         "op12_turn_repair": op12_turn_repair,
+        "op13_set_join": op13_set_join,
     }
 
 
