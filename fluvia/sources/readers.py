@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -10,35 +9,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE = "path string, filename string, ln long, original_message string"
-
-
-def _named(df: DataFrame) -> DataFrame:
-    return df.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("filename"))
+from .numbered import excluded, named, numbered_lines, text_of
 
-
-def _excluded(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
-    for glob in exclude:
-        df = df.filter(~F.rlike("path", F.lit(fnmatch.translate(glob).replace(r"\Z", "$"))) & ~F.rlike("filename", F.lit(fnmatch.translate(glob).replace(r"\Z", "$"))))
-    return df
+LINE = "path string, filename string, ln long, original_message string"
 
 
 def line_files(spark: SparkSession, glob: str, exclude: Sequence[str] = (), encoding: str = "UTF-8", since: str | None = None) -> DataFrame:
     """One row a line with the file's path and name and the line's number from 1: ``path, filename, ln,
     original_message``.
 
-    Line numbers need a file in one task. ``since`` reads only files changed after a time (``2024-01-01T00:00:00``).
+    Large files are numbered by ranges of bytes that many tasks read (see ``numbered``). ``encoding`` is one in which a
+    line break is one byte. ``since`` reads only files changed after a time (``2024-01-01T00:00:00``).
     """
-    options = {"encoding": encoding} | ({"modifiedAfter": since} if since else {})
-    whole = _excluded(_named(spark.read.options(**options).text(glob, wholetext=True)), exclude)
-    text = F.regexp_replace("value", r"\r?\n\z", "")
-    lines = whole.filter(F.length("value") > 0).select("path", "filename", F.posexplode(F.split(text, r"\r?\n", -1)).alias("n", "original_message"))
-    return lines.select("path", "filename", (F.col("n") + 1).cast("long").alias("ln"), "original_message")
+    rows = numbered_lines(spark, glob, exclude, since)
+    return rows.select("path", "filename", "ln", text_of(encoding=encoding).alias("original_message"))
 
 
 def lines(spark: SparkSession, glob: str, exclude: Sequence[str] = ()) -> DataFrame:
     """One row a line without numbers; files of any size are split over tasks."""
-    return _excluded(_named(spark.read.text(glob)), exclude).select("path", "filename", F.col("value").alias("original_message"))
+    return excluded(named(spark.read.text(glob)), exclude).select("path", "filename", F.col("value").alias("original_message"))
 
 
 def line_stream(spark: SparkSession, folder: str, glob: str = "*", most_files: int | None = None) -> DataFrame:
@@ -46,7 +35,7 @@ def line_stream(spark: SparkSession, folder: str, glob: str = "*", most_files: i
     reader = spark.readStream.option("pathGlobFilter", glob)
     if most_files:
         reader = reader.option("maxFilesPerTrigger", most_files)
-    return _named(reader.text(folder)).select("path", "filename", F.col("value").alias("original_message"))
+    return named(reader.text(folder)).select("path", "filename", F.col("value").alias("original_message"))
 
 
 def topic_options(servers: str, topics: Sequence[str] | str, offset: str = "latest", group: str | None = None, extra: Mapping[str, str] | None = None) -> dict[str, str]:
