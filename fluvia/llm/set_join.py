@@ -1,15 +1,18 @@
 """Exact Jaccard join of word shingle sets with skipping by set relations, down to components.
 
-Two sets of sizes a and b link when 100 * common >= 85 * joint, that is when they have at least 17(a + b)/37 in common.
-
-1. *Who may have a partner.* In the order of shingle hashes, partners share at least ``_NEEDED`` of their first
-   ``_first`` shingles. Those first shingles are packed into arrays, shuffled by ranges of hashes, and each text learns
-   how many of its own some other text has. A key that several texts of one batch have is sent once, so a frequent
-   shingle costs one entry a batch. Texts with too few shared ones are done.
-2. The same over whole sets of what is left: 85 % of a set must be in other sets.
-3. *Blocks.* Sets that share a first shingle are candidates; components of candidates are dealt to blocks of about
-   ``BLOCK`` shingles. A component that is larger gets several blocks, each with the same few hubs, so that what is
-   near a hub is joined at once; what is left outside a component's largest part meets all its blocks.
+Two sets of sizes a and b link when common / joint is a fraction p/q or more, that is when they have at least
+p(a + b)/(p + q) in common. Everything is counted in integers.
+
+1. *Who may have a partner.* In the order of shingle hashes, partners share at least ``Rule.needed`` of their first
+   ``Rule.first`` shingles. Those first shingles are packed into arrays, shuffled by ranges of hashes, and each batch of
+   texts learns how many of each text's some other text has. A key that several texts of one batch have is sent once, so
+   a frequent shingle costs one entry a batch. Texts with too few shared ones are done.
+2. The same over whole sets of what is left: p/q of a set must be in other sets.
+3. *Blocks.* Partners differ in so few shingles that, with the hashes cut into a few more ranges than that, they agree
+   in all of a range that is not empty. Sets that do are candidates; common passages alone seldom fill a range. A set
+   with too many empty ranges is also a candidate by its first shingles. Components of candidates are dealt to blocks
+   of about ``BLOCK`` shingles. A component that is larger gets several blocks, each with the same few hubs, so that
+   what is near a hub is joined at once; what is left outside a component's largest part meets all its blocks.
 4. *Within a block*, inverted lists hold each shingle's sets by position, in short runs with the bounds of their sizes
    and positions; a run is skipped when no set of it can reach the overlap from there. Only leaders search the lists,
    with a slack; the answers of sets that differ from a leader in no more than that slack are derived from the leader's
@@ -22,18 +25,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Tables
 from .components import components
 from .segments import Memo
 
-SHINGLE, SEED = 4, 42
+SEED = 42
 #: Shingles of a block, and hashes of a packed batch and range.
 BLOCK = 1 << 20
 #: Entries of a run of an inverted list.
@@ -49,20 +54,33 @@ _PLAIN = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in r
 _FACTOR, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _least_common(n: int) -> int:
-    """What a set of ``n`` has at least in common with any partner."""
-    return -(-17 * n // 20)
+class Rule(NamedTuple):
+    """Shingles of ``size`` words, linked at a similarity of ``p/q`` or more."""
 
+    size: int = 4
+    p: int = 17
+    q: int = 20
 
-def _first(n: int) -> int:
-    """How many first shingles of a set of ``n`` are compared in step 1."""
-    p = n - _least_common(n) + 1
-    return min(n, p + p // 4)
+    def least_common(self, n: int) -> int:
+        """What a set of ``n`` has at least in common with any partner."""
+        return -(-self.p * n // self.q)
 
+    def prefix(self, n: int) -> int:
+        """So many first shingles, in any order common to all, hold one of any partner's."""
+        return n - self.least_common(n) + 1
 
-#: How many of them some partner shares, in SQL: a partner has at least 17/20 of the size, and of the first shingles of
-#: both, one more than the smaller set's surplus over its prefix is common.
-_NEEDED = "((3 * ((17 * n + 19) div 20)) div 20 + 1) div 4 + 1"
+    def first(self, n: int) -> int:
+        """How many first shingles of a set of ``n`` are compared in step 1."""
+        return min(n, self.prefix(n) + self.prefix(n) // 4)
+
+    def needed(self, n: str = "n") -> str:
+        """How many of them some partner shares, in SQL: a partner has at least p/q of the size, and of the first
+        shingles of both, one more than what the smaller set's first ones go beyond its prefix is common."""
+        least = f"(({self.p} * {n} + {self.q - 1}) div {self.q})"
+        return f"({least} - ({self.p} * {least} + {self.q - 1}) div {self.q} + 1) div 4 + 1"
+
+    def near(self, common: np.ndarray, n: int, others: np.ndarray) -> np.ndarray:
+        return (self.p + self.q) * common >= self.p * (n + others)
 
 
 @cache
@@ -70,7 +88,7 @@ def _words() -> Memo:
     return Memo(lambda word: xxhash.xxh64_intdigest(word, SEED), 1 << 20)
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, size: int) -> np.ndarray:
     """The distinct hashes of all runs of ``size`` words (split at ASCII white space, A-Z lower-cased), ascending. Fewer
     words are one shingle; no words, none."""
     plain, at, parts, known = (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN), 0, [], _words()
@@ -99,39 +117,41 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
 
 
-def _signed(docs: DataFrame) -> DataFrame:
-    """``docs(id, text, h1, h2)`` -> ``(id, h1, h2, node, n, keys)``: the hash of a text's set, its size and its first
-    shingles."""
+def signed(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Rows with their ``text`` replaced by ``node``, ``n`` and ``keys``: the hash of the text's set, its size and its
+    first shingles. Texts without words share a node."""
+    others = [c for c in docs.columns if c != "text"]
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column("text")]
+            sets = [shingles(t.as_py(), rule.size) for t in batch.column("text")]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
-            keys = _lists([s[: _first(len(s))] for s in sets])
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "h1", "h2")), pa.array(nodes), pa.array(sizes), keys], ["id", "h1", "h2", "node", "n", "keys"]
-            )
+            keys = _lists([s[: rule.first(len(s))] for s in sets])
+            columns = [*(batch.column(c) for c in others), pa.array(nodes), pa.array(sizes), keys]
+            yield pa.RecordBatch.from_arrays(columns, [*others, "node", "n", "keys"])
 
-    kind = f"id {docs.schema['id'].dataType.simpleString()}, h1 long, h2 long, node long, n long, keys array<long>"
-    return docs.mapInArrow(sign, kind)
+    kept = T.StructType([docs.schema[c] for c in others]).add("node", T.LongType()).add("n", T.LongType()).add("keys", T.ArrayType(T.LongType()))
+    return docs.mapInArrow(sign, kept)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """``docs(text)`` -> ``(node, n, hashes)``."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column("text")]
+            sets = [shingles(t.as_py(), rule.size) for t in batch.column("text")]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["node", "n", "hashes"])
 
     return docs.select("text").mapInArrow(sign, "node long, n long, hashes array<long>")
 
 
+_PACKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("keys", "rows", "told", "counts"))])
+
+
 def _pack(parts: int):
-    """Rows ``(row, keys)`` -> entries by ranges of keys, some batches at a time."""
-    kind = pa.schema([("part", pa.int32()), ("keys", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+    """Rows ``(row, keys)`` -> entries by ranges of keys, each key once a batch; a batch is named by its first row."""
 
     def flush(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(waiting)
@@ -142,31 +162,22 @@ def _pack(parts: int):
         keys, rows = keys[order], rows[order]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(keys)))
-        own, shared = np.unique(rows[np.repeat(counts > 1, counts)], return_counts=True)
+        told, shared = np.unique(rows[np.repeat(counts > 1, counts)], return_counts=True)  # what the batch itself tells
         sent, owner = keys[starts], np.where(counts > 1, -1, rows[starts])
         place = ((sent.view(np.uint64) * _FACTOR >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         used, at = np.unique(place[order], return_index=True)
-        ks, rs = np.split(sent[order], at[1:]), np.split(owner[order], at[1:])
-        none = np.zeros(0, np.int64)
-        # what the batch itself has told goes along with ranges, an equal share with each
-        shares = np.array_split(np.arange(len(own)), max(1, len(used)))
-        ks, rs, cs = (list(x) for x in (ks, rs, [none] * len(used)))
-        for i, share in zip(used.tolist(), shares, strict=False):
-            if len(share):
-                used = np.append(used, i)
-                ks.append(none)
-                rs.append(own[share])
-                cs.append(shared[share])
-        if not len(sent):
-            used, ks, rs, cs = used[:0], [], [], []
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), _lists(ks), _lists(rs), _lists(cs)], schema=kind)
+        shares = np.array_split(np.arange(len(told)), max(1, len(used)))[: len(used)]
+        columns = [np.split(x[order], at[1:]) if len(used) else [] for x in (sent, owner)] + [[x[i] for i in shares] for x in (told, shared)]
+        batch = np.full(len(used), table["row"][0].as_py(), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(batch), *map(_lists, columns)], schema=_PACKED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for batch in batches:
-            waiting.append(batch)
-            size += len(batch.column("keys").flatten())
+            if batch.num_rows:
+                waiting.append(batch)
+                size += len(batch.column("keys").flatten())
             if size >= BLOCK:
                 yield flush(waiting)
                 waiting, size = [], 0
@@ -177,19 +188,27 @@ def _pack(parts: int):
 
 
 def _meet(group: pa.Table) -> pa.Table:
-    """Of one range of keys, how many keys of each row others have too."""
-    keys = group["keys"].combine_chunks().flatten().to_numpy()
-    told = np.asarray(pa.compute.list_value_length(group["counts"])) > 0
-    rows = group.filter(pa.array(~told))["rows"].combine_chunks().flatten().to_numpy()
+    """Of one range of keys: of each batch, how many keys of each of its rows others have too."""
+    lists = group["keys"].combine_chunks()
+    keys, ends = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
     order = np.argsort(keys, kind="stable")
-    keys, rows = keys[order], rows[order]
-    same = keys[1:] == keys[:-1]
-    shared = np.append(same, False) | np.insert(same, 0, False) if len(keys) else np.zeros(0, bool)
-    own, counts = np.unique(rows[shared & (rows >= 0)], return_counts=True)
-    before = group.filter(pa.array(told))
-    rows = np.concatenate([own, before["rows"].combine_chunks().flatten().to_numpy()])
-    counts = np.concatenate([counts, before["counts"].combine_chunks().flatten().to_numpy()])
-    return pa.table({"row": pa.array(rows, pa.int64()), "shared": pa.array(counts, pa.int64())})
+    same = keys[order][1:] == keys[order][:-1]
+    shared = np.zeros(len(keys), bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    rows, counts = [], []
+    parts = [np.split(x, ends[:-1]) for x in (shared, group["rows"].combine_chunks().flatten().to_numpy())]
+    for mark, own, told, told_counts in zip(*parts, group["told"], group["counts"], strict=True):
+        found, n = np.unique(own[mark & (own >= 0)], return_counts=True)
+        rows.append(np.concatenate([found, np.array(told.as_py(), np.int64)]))
+        counts.append(np.concatenate([n, np.array(told_counts.as_py(), np.int64)]))
+    return pa.table({"batch": group["batch"], "rows": _lists(rows), "counts": _lists(counts)})
+
+
+def _add(group: pa.Table) -> pa.Table:
+    """The counts of a batch's rows over all ranges."""
+    rows, counts = (group[c].combine_chunks().flatten().to_numpy() for c in ("rows", "counts"))
+    own, at = np.unique(rows, return_inverse=True)
+    return pa.table({"row": pa.array(own, pa.int64()), "shared": pa.array(np.bincount(at, counts, len(own)).astype(np.int64))})
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -197,15 +216,16 @@ def _shared(rows: DataFrame) -> DataFrame:
     without any are left out."""
     total = rows.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK))
-    packed = rows.select("row", "keys").mapInArrow(_pack(parts), "part int, keys array<long>, rows array<long>, counts array<long>")
-    met = packed.groupBy("part").applyInArrow(_meet, "row long, shared long")
-    return met.groupBy("row").agg(F.sum("shared").alias("shared"))
+    kind = "part int, batch long, keys array<long>, rows array<long>, told array<long>, counts array<long>"
+    met = rows.select("row", "keys").mapInArrow(_pack(parts), kind).groupBy("part").applyInArrow(_meet, "batch long, rows array<long>, counts array<long>")
+    return met.groupBy("batch").applyInArrow(_add, "row long, shared long")
 
 
 class Block:
     """Sets of a block with inverted lists by position; ``roots`` are the components of its links."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    def __init__(self, sets: list[np.ndarray], rule: Rule) -> None:
+        self.rule = rule
         self.order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
         self.n = np.array([len(sets[i]) for i in self.order], np.int64)
         self.ends = np.cumsum(self.n)
@@ -255,19 +275,20 @@ class Block:
         """What may be a partner of any set that differs from set ``i`` in at most ``slack`` shingles either way, and how
         much each has in common with ``i``."""
         n, mine = int(self.n[i]), self.own(i)
-        first = mine[: n - _least_common(n - slack) + slack + 1]
+        p, q = self.rule.p, self.rule.q
+        first = mine[: n - self.rule.least_common(n - slack) + slack + 1]
         spans = self.run_heads[first + 1] - self.run_heads[first]
         runs = np.arange(int(spans.sum())) + np.repeat(self.run_heads[first] - (np.cumsum(spans) - spans), spans)
         left = n - np.repeat(np.arange(len(first)), spans)  # of set i from this shingle on
         least = self.run_least[runs]
-        good = (37 * (left + slack) >= 17 * (n - slack + least)) & (37 * (self.run_most[runs] - self.run_place[runs] + slack) >= 17 * (n - slack + least))
-        good &= (20 * self.run_most[runs] >= 17 * (n - slack)) & (20 * (n + slack) >= 17 * least)
+        good = self.rule.near(left + slack, n - slack, least) & self.rule.near(self.run_most[runs] - self.run_place[runs] + slack, n - slack, least)
+        good &= (q * self.run_most[runs] >= p * (n - slack)) & (q * (n + slack) >= p * least)
         runs, left = runs[good], left[good]
         sizes = self.run_ends[runs] - self.runs[runs]
         at = np.arange(int(sizes.sum())) + np.repeat(self.runs[runs] - (np.cumsum(sizes) - sizes), sizes)
         z = self.sets[at]
         reach = np.minimum(np.repeat(left, sizes), self.n[z] - self.places[at]) + slack
-        z = np.unique(z[37 * reach >= 17 * (n - slack + self.n[z])])
+        z = np.unique(z[self.rule.near(reach, n - slack, self.n[z])])
         self.marked[mine] = True
         sizes = self.n[z]
         at = np.arange(int(sizes.sum())) + np.repeat(self.ends[z] - sizes - (np.cumsum(sizes) - sizes), sizes)
@@ -292,14 +313,14 @@ class Block:
             z, common = self.search(i, slack)
             self.searched += 1
             done[i] = True
-            self._link(i, z[37 * common >= 17 * (n + self.n[z])])
+            self._link(i, z[self.rule.near(common, n, self.n[z])])
             # the answers of sets that are as near as the slack follow from these
             mine = self.own(i)
             for j in z[(self.n[z] - common <= slack) & (n - common <= slack) & ~done[z]].tolist():
                 theirs = self.own(j)
                 more, less = (np.setdiff1d(a, b, assume_unique=True) for a, b in ((theirs, mine), (mine, theirs)))
                 found = common + self._counted(more)[z] - self._counted(less)[z]
-                self._link(j, z[37 * found >= 17 * (self.n[j] + self.n[z])])
+                self._link(j, z[self.rule.near(found, int(self.n[j]), self.n[z])])
                 done[j] = True
                 self.derived += 1
         out = np.empty(len(self.n), np.int64)
@@ -307,29 +328,118 @@ class Block:
         return out
 
 
-def _block_links(group: pa.Table) -> pa.Table:
-    """The sets ``(node, hashes)`` of a block -> ``(a, b)``: each node to one of its component."""
-    lists, nodes = group["hashes"].combine_chunks(), group["node"].to_numpy()
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    sets = np.split(lists.flatten().to_numpy(), np.cumsum(sizes)[:-1])
-    roots = nodes[Block(sets).join()]
-    linked = roots != nodes
-    return pa.table({"a": nodes[linked], "b": roots[linked]})
+def _joined(members: DataFrame, sets: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
+    """The links of ``members(block, node)``, found block by block: each node to one of its component."""
 
+    def links(group: pa.Table) -> pa.Table:
+        lists, nodes = group["hashes"].combine_chunks(), group["node"].to_numpy()
+        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+        own = np.split(lists.flatten().to_numpy(), np.cumsum(sizes)[:-1])
+        roots = nodes[Block(own, rule).join()]
+        linked = roots != nodes
+        return pa.table({"a": nodes[linked], "b": roots[linked]})
 
-def _joined(members: DataFrame, sets: DataFrame, tables: Tables) -> DataFrame:
-    """The links of ``members(block, node)``, found block by block."""
     dealt = members.join(sets.select("node", "hashes"), "node").select("block", "node", "hashes")
-    return tables.write(dealt.groupBy("block").applyInArrow(_block_links, "a long, b long"))
+    return tables.write(dealt.groupBy("block").applyInArrow(links, "a long, b long"))
+
+
+@cache
+def _classes(rule: Rule) -> list[int]:
+    """Least sizes of size classes: partners are in the same or in neighbouring classes."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(rule.q * out[-1] // rule.p + 1)
+    return out
+
+
+def _range_keys(hashes: np.ndarray, c: int, rule: Rule) -> tuple[np.ndarray, bool]:
+    """The keys of a set for pairs whose smaller set has size class ``c``: one for each range of hashes that is not
+    empty. And whether so many are empty that a pair of such sets could agree in empty ones only."""
+    differ = (rule.q - rule.p) * (_classes(rule)[c + 1] - 1) // rule.p
+    if not differ:  # only equal sets are partners
+        return hashes[:0], False
+    spare = 2 + differ // 16
+    parts = differ + 1 + spare
+    place = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    heads = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    sums = np.add.reduceat((hashes ^ hashes >> np.uint64(31)) * _MIX, heads)
+    tags = (place[heads].astype(np.uint64) + np.uint64(c + 1 << 40)) * _FACTOR
+    keys = (sums ^ tags) * _MIX
+    return keys ^ keys >> np.uint64(30), parts - len(heads) > spare
+
+
+def candidate_keys(hashes: np.ndarray, rule: Rule) -> np.ndarray:
+    """Keys of which any two partners of different sets share one."""
+    own = int(np.searchsorted(_classes(rule), len(hashes), side="right")) - 1
+    found = [_range_keys(hashes, c, rule) for c in (own, own - 1) if c >= 0]
+    keys = [k for k, _ in found]
+    if any(sparse for _, sparse in found):
+        keys.append((hashes[: rule.prefix(len(hashes))] * _FACTOR) ^ _MIX)
+    return np.unique(np.concatenate(keys))
+
+
+def _to_least(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries: the distinct keys and the least node of each; and links of other nodes to those, without repeats."""
+    order = np.lexsort((nodes, keys))
+    keys, nodes = keys[order], nodes[order]
+    heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    least = np.repeat(nodes[heads], np.diff(np.append(heads, len(keys))))
+    pairs = np.unique(np.stack([nodes, least], axis=1)[nodes != least], axis=0)
+    return keys[heads], nodes[heads], pairs[:, 0], pairs[:, 1]
+
+
+_STARS = pa.schema([("part", pa.int32()), *((c, pa.list_(pa.int64())) for c in ("keys", "nodes", "a", "b"))])
+
+
+def _spread_keys(parts: int, rule: Rule):
+    """``(node, hashes)`` -> candidate keys by ranges, each once a batch, with the links that the batch has told."""
+
+    def flush(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        flat = np.concatenate(keys).view(np.int64)
+        flat, owners, a, b = _to_least(flat, np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]))
+        place = ((flat.view(np.uint64) * _FACTOR >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(place, kind="stable")
+        used, at = np.unique(place[order], return_index=True)
+        shares = np.array_split(np.arange(len(a)), max(1, len(used)))[: len(used)]
+        columns = [np.split(x[order], at[1:]) if len(used) else [] for x in (flat, owners)] + [[x[i] for i in shares] for x in (a, b)]
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *map(_lists, columns)], schema=_STARS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, size = [], [], 0
+        for batch in batches:
+            lists = batch.column("hashes")
+            hashes, ends = lists.flatten().to_numpy().view(np.uint64), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            for node, own in zip(batch.column("node").to_pylist(), np.split(hashes, ends[:-1]), strict=True):
+                keys.append(candidate_keys(own, rule))
+                nodes.append(node)
+                size += len(keys[-1])
+                if size >= BLOCK:
+                    yield flush(keys, nodes)
+                    keys, nodes, size = [], [], 0
+        if keys:
+            yield flush(keys, nodes)
+
+    return run
+
 
+def _meet_keys(group: pa.Table) -> pa.Table:
+    flat = [group[c].combine_chunks().flatten().to_numpy() for c in ("keys", "nodes", "a", "b")]
+    _, _, a, b = _to_least(flat[0], flat[1])
+    return pa.table({"a": np.concatenate([flat[2], a]), "b": np.concatenate([flat[3], b])})
 
-def _components(sets: DataFrame, tables: Tables) -> DataFrame:
+
+def _candidates(sets: DataFrame, rule: Rule) -> DataFrame:
+    """Links ``(a, b)`` that bring together all sets that share a candidate key."""
+    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (2 * BLOCK)))
+    kind = "part int, keys array<long>, nodes array<long>, a array<long>, b array<long>"
+    dealt = sets.select("node", "hashes").mapInArrow(_spread_keys(parts, rule), kind)
+    return dealt.groupBy("part").applyInArrow(_meet_keys, "a long, b long").distinct()
+
+
+def _components(sets: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
     """``sets(node, n, hashes)`` -> ``(node, root)`` of nodes that have a link."""
-    prefix = F.expr("slice(hashes, 1, cast(n - ceil(17 * n / 20) + 1 as int))")
-    ball = sets.select("node", F.explode(prefix).alias("key"))
-    heads = ball.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("most")).filter("b < most").select("key", "b")
-    edges = ball.join(heads, "key").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    placed = components(edges, tables).withColumnRenamed("root", "candidate")
+    placed = components(_candidates(sets, rule), tables).withColumnRenamed("root", "candidate")
     placed = tables.write(placed.join(sets.select("node", "n"), "node"))
     sized = placed.groupBy("candidate").agg(F.sum("n").alias("total"))
     sized = sized.select("candidate", "total", F.expr(f"cast(if(total > {BLOCK}, ceil(2 * total / {BLOCK}), 0) as bigint)").alias("parts"))
@@ -341,7 +451,7 @@ def _components(sets: DataFrame, tables: Tables) -> DataFrame:
     own_hub = large.groupBy("candidate", F.expr(f"pmod(xxhash64(node, 2), {HUBS})").alias("h")).agg(F.min_by("node", F.xxhash64("node")).alias("node"))
     hubs = large.select("candidate", "block").distinct().join(own_hub, "candidate").select("block", "node")
     members = placed.select("block", "node").unionByName(hubs).distinct()
-    links = _joined(members, sets, tables)
+    links = _joined(members, sets, rule, tables)
     found = components(links, tables)
     if large.isEmpty():
         return found
@@ -356,11 +466,31 @@ def _components(sets: DataFrame, tables: Tables) -> DataFrame:
     met = chunked.join(blocks, "candidate").select(F.xxhash64("candidate", "own", "chunk").alias("block"), "node")
     kinds = chunked.select("candidate", "chunk").distinct()
     other = labels.join(kinds, "candidate").select(F.xxhash64("candidate", "block", "chunk").alias("block"), "node")
-    more = _joined(met.unionByName(other).distinct(), sets, tables)
+    more = _joined(met.unionByName(other).distinct(), sets, rule, tables)
     return components(links.unionByName(more), tables)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", name: str = "set_join") -> DataFrame:
+def text_hashes(text: str = "text") -> dict[str, Column]:
+    """Two hashes by which a text is found again."""
+    return {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), F.col(text))}
+
+
+def links(base: DataFrame, texts: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
+    """``(node, root)`` of nodes that have a link, from a written table ``base(row, node, n, keys, h1, h2)`` and the
+    ``texts(h1, h2, text)`` that it was made of, which are read once more where they may have a partner."""
+    shared = tables.write(_shared(base.filter("n > 0")))
+    rich = base.join(shared, "row").filter(f"shared >= {rule.needed()}").groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h"))
+    lead = tables.write(rich.select("h.h1", "h.h2"))
+    few = lead.count() <= SENT
+    again = texts.join(F.broadcast(lead) if few else lead, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    sets = tables.write(_sets(again, rule).withColumn("row", F.monotonically_increasing_id()))
+    rich = _shared(sets.select("row", F.col("hashes").alias("keys"))).join(sets.select("row", "n"), "row").filter(f"{rule.q} * shared >= {rule.p} * n")
+    left = tables.write(sets.join(rich.select("row"), "row", "left_semi").select("node", "n", "hashes"))
+    tables.drop(sets)
+    return _components(left, rule, tables)
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rule: Rule = Rule(), name: str = "set_join") -> DataFrame:
     """One row per document: ``id_col, n_shingles, component_id``, the smallest id that links reach.
 
     Documents of equal sets are linked and compared once. Those without words, null texts included, are linked with
@@ -368,23 +498,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", name: str
     No rows give no rows; other columns, whatever their names, are not read. Of a long text 8 bytes a word are held.
     """
     tables = Tables(docs.sparkSession, name)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    own = own.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(1), F.col("text"))})
-    base = tables.write(_signed(own).withColumn("row", F.monotonically_increasing_id()))
-    shared = tables.write(_shared(base.filter("n > 0")))
-    rich = base.join(shared, "row").filter(f"shared >= {_NEEDED}").groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h"))
-    lead = tables.write(rich.select("h.h1", "h.h2"))
-    few = lead.count() <= SENT
-    texts = own.select("h1", "h2", "text").join(F.broadcast(lead) if few else lead, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    sets = tables.write(_sets(texts).withColumn("row", F.monotonically_increasing_id()))
-    rich = _shared(sets.select("row", F.col("hashes").alias("keys"))).join(sets.select("row", "node", "n"), "row").filter("20 * shared >= 17 * n")
-    left = tables.write(sets.join(rich.select("row"), "row", "left_semi").select("node", "n", "hashes"))
-    tables.drop(sets)
-    links = _components(left, tables)
-    nodes = base.filter("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(links, "node", "left")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumns(text_hashes())
+    base = tables.write(signed(own, rule).withColumn("row", F.monotonically_increasing_id()))
+    found = links(base, own.select("h1", "h2", "text"), rule, tables)
+    nodes = base.filter("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(found, "node", "left")
     nodes = tables.write(nodes.select("node", "least", F.coalesce("root", "node").alias("root")))
     least = nodes.groupBy("root").agg(F.min("least").alias("component"))
     reach = tables.write(nodes.join(least, "root").select("node", "component"))
-    found = base.select("id", "node", "n").join(reach, "node", "left")
+    joined = base.select("id", "node", "n").join(reach, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

@@ -7,6 +7,8 @@ import pytest
 
 from fluvia.llm import queries, set_join
 
+RULE = set_join.Rule()
+
 
 def brute_set(text):
     words = (text or "").encode().lower().split()
@@ -71,10 +73,10 @@ def check(spark, rows):
 def test_shingles(monkeypatch):
     texts = [None, "", " \n", "One", "a B c d", "a b c d e f a b c d", "é ü x y\x0bz " * 9, "\xa0 a"]
     for t in texts:
-        assert len(set_join.shingles(t)) == len(brute_set(t))
-    whole = [set_join.shingles(t).tolist() for t in texts]
+        assert len(set_join.shingles(t, 4)) == len(brute_set(t))
+    whole = [set_join.shingles(t, 4).tolist() for t in texts]
     monkeypatch.setattr(set_join, "TEXT_BLOCK", 3)
-    assert [set_join.shingles(t).tolist() for t in texts] == whole
+    assert [set_join.shingles(t, 4).tolist() for t in texts] == whole
 
 
 def test_first_and_needed():
@@ -90,17 +92,32 @@ def test_first_and_needed():
         if 100 * common < 85 * (len(a) + len(b) - common):
             continue
         order = {x: rng.random() for x in {*a, *b}}
-        heads = [set(sorted(s, key=order.get)[: set_join._first(len(s))]) for s in (a, b)]
+        heads = [set(sorted(s, key=order.get)[: RULE.first(len(s))]) for s in (a, b)]
         assert len(heads[0] & heads[1]) >= max(needed(len(a)), needed(len(b)))
 
 
+def test_candidate_keys():
+    """Partners at the limit share a key, small sets and crowded hashes included."""
+    rng = np.random.default_rng(5)
+    for _ in range(4000):
+        n = int(rng.integers(1, 120))
+        high = 2**64 if rng.random() < 0.7 else int(rng.choice([2**58, 2**61]))  # crowded: most ranges are empty
+        a = rng.integers(0, high, n, dtype=np.uint64)
+        gone, new = int(rng.integers(0, n // 6 + 1)), int(rng.integers(0, n // 6 + 1))
+        b = np.unique(np.concatenate([a[gone:], rng.integers(0, high, new, dtype=np.uint64)]))
+        a = np.unique(a)
+        common = len(np.intersect1d(a, b))
+        if len(b) and 100 * common >= 85 * (len(a) + len(b) - common) and a.tolist() != b.tolist():
+            assert len(np.intersect1d(set_join.candidate_keys(a, RULE), set_join.candidate_keys(b, RULE)))
+
+
 def test_block():
     rng = random.Random(7)
     for _ in range(6):
         texts = made(rng)
-        sets = {s.tobytes(): s for s in map(set_join.shingles, texts) if len(s)}
+        sets = {s.tobytes(): s for s in (set_join.shingles(t, 4) for t in texts) if len(s)}
         sets = [s.view(np.int64) for s in sets.values()]
-        block = set_join.Block(sets)
+        block = set_join.Block(sets, RULE)
         got, plain = block.join().tolist(), [set(s.tolist()) for s in sets]
         want = list(range(len(sets)))
         for i in range(len(sets)):
