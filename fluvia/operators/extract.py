@@ -74,10 +74,28 @@ def csv_extract(df: DataFrame, source: str, schema: str, out: str | None = None,
 
 
 def xml_elements(source: Column, tag: str) -> Column:
-    """Every ``<tag ...>...</tag>`` and ``<tag .../>`` of a text, in order; elements do not nest in themselves."""
+    """Every outermost ``<tag ...>...</tag>`` and ``<tag .../>`` of a text, in order.
+
+    One match of a pattern finds them where none nests in itself. Where one does, the text is cut at its tags, and a
+    fold over the cuts counts how many are open.
+    """
     name = re.escape(tag)
-    start = rf"<{name}(?:\s[^<>]*?)?"
-    return F.regexp_extract_all(source, F.lit(rf"(?s){start}(?:/>|(?<!/)>.*?</{name}\s*>)"), F.lit(0))
+    opened = rf"<{name}(?:\s[^<>]*?)?"
+    plain = F.regexp_extract_all(source, F.lit(rf"(?s){opened}(?:/>|(?<!/)>.*?</{name}\s*>)"), F.lit(0))
+    nested = F.exists(plain, lambda x: F.regexp_count(x, F.lit(rf"{opened}(?<!/)>")) > 1)
+    cuts = F.regexp_extract_all(source, F.lit(rf"(?s).*?(?:{opened}/?>|</{name}\s*>)"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("open"), F.array().cast("array<string>").alias("found"))
+
+    def step(state: Column, cut: Column) -> Column:
+        token = F.regexp_extract(cut, rf"(?:{opened}/?>|</{name}\s*>)\z", 0)
+        ends, alone = token.startswith("</"), token.endswith("/>")
+        depth = F.greatest(state["depth"] + F.when(ends, -1).when(alone, 0).otherwise(1), F.lit(0))
+        text = F.concat(state["open"], F.when(state["depth"] > 0, cut).when(ends, "").otherwise(token))
+        done = (depth == 0) & (text != "")
+        found = F.when(done, F.array_append(state["found"], text)).otherwise(state["found"])
+        return F.struct(depth.alias("depth"), F.when(done, "").otherwise(text).alias("open"), found.alias("found"))
+
+    return F.when(nested, F.aggregate(cuts, start, step, lambda s: s["found"])).otherwise(plain)
 
 
 def xml_extract(df: DataFrame, source: str, schema: str, out: str, tag: str | None = None, error: str = ERROR) -> DataFrame:
@@ -135,10 +153,11 @@ def keyval_extract(df: DataFrame, source: str, out: str | None = None, fields: S
     Values run to the next blank, so they may hold ``=``; of equal keys the last one counts; a key alone is ignored.
     """
     text = F.coalesce(F.col(source), F.lit(""))
-    keys = F.regexp_extract_all(text, F.lit(r'([^ =]+)=("[^"]*"|[^ ]*)'), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(r'([^ =]+)=("[^"]*"|[^ ]*)'), F.lit(2))
+    found = F.regexp_extract_all(text, F.lit(r'([^ =]+)=("[^"]*"|[^ ]*)'), F.lit(0))
+    cut = lambda p: F.split(p, "=", 2)
     bare = lambda v: F.when(v.startswith('"') & v.endswith('"') & (F.length(v) >= 2), F.substr(v, F.lit(2), F.length(v) - 2)).otherwise(v)
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), bare(v).alias("v")))
+    halves = F.transform(found, cut)
+    pairs = F.transform(halves, lambda h: F.struct(h[0].alias("k"), bare(h[1]).alias("v")))
     if out:
         return df.withColumn(out, F.when(F.col(source).isNotNull(), array_to_map(pairs)))
 

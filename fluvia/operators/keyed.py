@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,9 +18,10 @@ from pyspark.sql import types as T
 
 from .custom import map_rows
 from .enrich import sequence
-from .extract import xml_elements
-from .ranges import before_each, range_bucket, row_number_by_key
+from .parallel_replay import replay_by_ranges
+from .ranges import before_each, range_bucket, row_number_by_key, running, split_hot
 from .route import Predicate, accept, holds
+from .xml_scan import ElementScanner
 
 
 def _ordered(order_by: Sequence[str]) -> None:
@@ -37,7 +39,7 @@ def every_n(
     first: bool = True,
     ts: str | None = None,
     out: str = "aggregate",
-    spread: bool = False,
+    spread: bool | None = None,
 ) -> DataFrame:
     """Of the rows where ``when`` holds, each key's every ``n``-th one with sums over the ``n`` rows up to it.
 
@@ -45,10 +47,14 @@ def every_n(
     numbers that are added up; with ``ts`` the struct also has ``dts``, the milliseconds from the first of those rows.
     Rows of an unfinished group do not come out.
 
-    Each key's rows pass through one task. Where a key may hold a large share of all rows, or there is none, ``spread``
-    numbers them by ranges and adds up each group of ``n`` on its own: two balanced shuffles instead of one.
+    A key's rows pass through one task. With ``spread`` they are numbered by ranges and each group of ``n`` is added up
+    on its own: two balanced shuffles instead of one. By default only keys with very many rows are (``split_hot``).
     """
     _ordered(order_by)
+    if spread is None and key:
+        few, many = split_hot(accept(df, when), key)
+        made = every_n(few, n, aggregates, order_by, key, "true", first, ts, out, False)
+        return made if many is None else made.unionByName(every_n(many, n, aggregates, order_by, key, "true", first, ts, out, True))
     if spread:
         return _every_n_spread(accept(df, when), n, aggregates, order_by, list(key), first, ts, out)
     ordered = Window.partitionBy(*key).orderBy(*order_by)
@@ -100,6 +106,20 @@ def replay(df: DataFrame, key: Sequence[str], order_by: Sequence[str], schema: T
     return map_rows(dealt.sortWithinPartitions(*keys, *order_by), work, schema)
 
 
+def replay_spread(df: DataFrame, key: Sequence[str], order_by: Sequence[str], schema: T.StructType, start: Callable[[], object]) -> DataFrame:
+    """``replay``, where keys with very many rows are replayed by ranges side by side (``parallel_replay``)."""
+    few, many = split_hot(df, key)
+    out = replay(few, key, order_by, schema, start)
+    if many is None:
+        return out
+    made, rest = replay_by_ranges(many, key, order_by, schema, start)
+    out = out.unionByName(made)
+    if rest:
+        same = lambda row: reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(v).cast(df.schema[k].dataType)) for k, v in zip(key, row, strict=True)))
+        out = out.unionByName(replay(many.filter(reduce(lambda a, b: a | b, map(same, rest))), key, order_by, schema, start))
+    return out
+
+
 class _EveryTtl:
     def __init__(self, n: int, names: Sequence[str], first: bool, ttl: int, tail: bool) -> None:
         self.n, self.names, self.first, self.ttl, self.tail = n, names, first, ttl, tail
@@ -120,7 +140,7 @@ class _EveryTtl:
         added = {k: row.pop(f"__fluvia_{k}") for k in self.names}
         self.head = self.head or row
         for k, v in added.items():
-            self.data[k] += 0 if pd.isna(v) else v
+            self.data[k] += 0 if v is None else v
         self.size += 1
         if self.early or self.size >= self.n:
             out.append(row | self.data | {"flushed": False})
@@ -152,7 +172,7 @@ def every_n_ttl(
     rows = accept(df, when).withColumns(added | {"__fluvia_ms": F.unix_millis(F.col(ts).cast("timestamp"))})
     fields = [*df.schema.fields, *(T.StructField(k, T.DoubleType()) for k in aggregates), T.StructField("flushed", T.BooleanType())]
     names = list(aggregates)
-    return replay(rows, key, order_by, T.StructType(fields), lambda: _EveryTtl(n, names, first, ttl_ms, tail))
+    return replay_spread(rows, key, order_by, T.StructType(fields), lambda: _EveryTtl(n, names, first, ttl_ms, tail))
 
 
 def array_by_size(
@@ -177,10 +197,13 @@ def array_by_size(
 
 def array_by_time(df: DataFrame, interval: str, size: int, ts: str, order_by: Sequence[str], out: str = "rows") -> DataFrame:
     """The rows of each interval of time as arrays of at most ``size``; what is over goes to further arrays of the
-    same interval. Returns ``start, batch`` and the array."""
+    same interval. Returns ``start, batch`` and the array. Intervals with very many rows are numbered by ranges."""
     _ordered(order_by)
     windowed = df.withColumn("start", F.window(F.col(ts).cast("timestamp"), interval)["start"])
-    numbered = windowed.withColumn("__fluvia_n", F.row_number().over(Window.partitionBy("start").orderBy(*order_by)) - 1)
+    few, many = split_hot(windowed, ["start"])
+    numbered = few.withColumn("__fluvia_n", F.row_number().over(Window.partitionBy("start").orderBy(*order_by)).cast("long") - 1)
+    if many is not None:
+        numbered = numbered.unionByName(row_number_by_key(many, ["start"], order_by, "__fluvia_n").withColumn("__fluvia_n", F.col("__fluvia_n") - 1))
     items = F.struct(F.col("__fluvia_n"), F.struct(*df.columns).alias("row"))
     made = numbered.groupBy("start", F.floor(F.col("__fluvia_n") / size).alias("batch")).agg(F.array_sort(F.collect_list(items)).alias("__fluvia_items"))
     return made.select("start", "batch", F.transform("__fluvia_items", lambda x: x["row"]).alias(out))
@@ -200,8 +223,41 @@ def join_lines(
 ) -> DataFrame:
     """Multi-line events: a row where ``boundary`` holds begins one, the rows up to the next belong to it, and so does
     a gap of more than ``wait_ms`` in ``ts`` end it. The last row comes out with the newest ``most`` lines joined.
-    Rows before the first boundary are an event, too; null lines count as empty."""
+    Rows before the first boundary are an event, too; null lines count as empty. Keys with very many rows are cut into
+    events by ranges of their rows."""
     _ordered(order_by)
+    if key:
+        df, many = split_hot(df, key)
+        if many is not None:
+            made = join_lines_spread(many, line, boundary, order_by, key, delimiter, most, wait_ms, ts, out)
+            return _join_lines(df, line, boundary, order_by, key, delimiter, most, wait_ms, ts, out).unionByName(made)
+        return _join_lines(df, line, boundary, order_by, key, delimiter, most, wait_ms, ts, out)
+    return join_lines_spread(df, line, boundary, order_by, key, delimiter, most, wait_ms, ts, out)
+
+
+def join_lines_spread(
+    df: DataFrame, line: str, boundary: Predicate, order_by: Sequence[str], key: Sequence[str], delimiter: str, most: int, wait_ms: int | None, ts: str | None, out: str
+) -> DataFrame:
+    """``join_lines`` whose events are numbered by running sums over ranges; only an event's newest lines meet."""
+    own = list(key) or ["__fluvia_all"]
+    rows = df if key else df.withColumn("__fluvia_all", F.lit(0))
+    starts = holds(boundary).cast("long")
+    if wait_ms is not None:
+        ms = F.unix_millis(F.col(ts).cast("timestamp"))
+        rows = running(rows.withColumn("__fluvia_ms", ms), own, order_by, {}, {"__fluvia_prev": F.col("__fluvia_ms")})
+        starts = (holds(boundary) | F.coalesce(F.col("__fluvia_ms") - F.col("__fluvia_prev") > wait_ms, F.lit(False))).cast("long")
+    numbered = running(rows, own, order_by, {"__fluvia_g": starts, "__fluvia_n": F.lit(1).cast("long")})
+    last = numbered.groupBy(F.struct(*own, "__fluvia_g").alias("__fluvia_event")).agg(F.max("__fluvia_n").alias("__fluvia_end"))
+    ended = numbered.withColumn("__fluvia_event", F.struct(*own, "__fluvia_g")).join(last, "__fluvia_event").drop("__fluvia_event")
+    newest = ended.filter(F.col("__fluvia_n") > F.col("__fluvia_end") - most)
+    item = F.struct("__fluvia_n", F.coalesce(F.col(line), F.lit("")).alias("t"))
+    made = newest.groupBy(*own, "__fluvia_g").agg(F.array_sort(F.collect_list(item)).alias("__fluvia_lines"), F.max_by(F.struct(*df.columns), "__fluvia_n").alias("__fluvia_last"))
+    return made.select("__fluvia_last.*", F.array_join(F.transform("__fluvia_lines", lambda x: x["t"]), delimiter).alias(out))
+
+
+def _join_lines(
+    df: DataFrame, line: str, boundary: Predicate, order_by: Sequence[str], key: Sequence[str], delimiter: str, most: int, wait_ms: int | None, ts: str | None, out: str
+) -> DataFrame:
     ordered = Window.partitionBy(*key).orderBy(*order_by)
     begins = holds(boundary)
     if wait_ms is not None:
@@ -218,17 +274,36 @@ def join_lines(
     return made.select("__fluvia_last.*", joined.alias(out))
 
 
+class _Pieces:
+    def __init__(self, text: str, tag: str, keep: Sequence[str]) -> None:
+        self.text, self.keep, self.scan, self.n = text, list(keep), ElementScanner(tag), 0
+
+    def row(self, row: dict) -> list[dict]:
+        own = {k: row[k] for k in self.keep}
+        made = [own | {"part": i, "__fluvia_n": self.n, "__fluvia_text": t, "__fluvia_whole": w} for i, t, w in self.scan.feed(row[self.text])]
+        self.n += 1
+        return made
+
+    def end(self) -> list[dict]:
+        return []
+
+
 def assemble_xml(df: DataFrame, text: str, tag: str, order_by: Sequence[str], key: Sequence[str] = (), out: str = "xml") -> DataFrame:
-    """Joins rows until the text holds a whole ``<tag>...</tag>`` and gives one row for each such element. Rows after
-    the last whole element do not come out."""
+    """Elements ``<tag ...>...</tag>`` and ``<tag .../>`` whose text is spread over rows, one row each, with their number
+    from 0 in ``part``; they may nest in themselves. What belongs to no whole element does not come out.
+
+    Rows of a key stream past a scanner that knows the depth of open tags and cuts them by element. Only pieces of
+    whole elements are collected, so rows without an end tag, however many, are never held together.
+    """
     _ordered(order_by)
-    ordered = Window.partitionBy(*key).orderBy(*order_by)
-    closing = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(f"</{tag}>")).cast("long")
-    before = F.coalesce(F.sum((closing > 0).cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    item = F.struct(F.row_number().over(ordered).alias("n"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    grouped = df.select(*key, before.alias("part"), item.alias("item")).groupBy(*key, "part").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    whole = grouped.withColumn("__fluvia_text", F.array_join(F.transform("items", lambda x: x["t"]), ""))
-    return whole.select(*key, "part", F.posexplode(xml_elements(F.col("__fluvia_text"), tag)).alias("at", out))
+    fields = [*(df.schema[k] for k in key), T.StructField("part", T.LongType()), T.StructField("__fluvia_n", T.LongType())]
+    schema = T.StructType([*fields, T.StructField("__fluvia_text", T.StringType()), T.StructField("__fluvia_whole", T.BooleanType())])
+    pieces = replay(df.select(*dict.fromkeys([*key, *order_by, text])), key, order_by, schema, lambda: _Pieces(text, tag, key))
+    whole = F.max("__fluvia_whole").over(Window.partitionBy(*key, "part"))
+    kept = pieces.withColumn("__fluvia_whole", whole).filter("__fluvia_whole")
+    item = F.struct(F.col("__fluvia_n").alias("n"), F.col("__fluvia_text").alias("t"))
+    made = kept.groupBy(*key, "part").agg(F.array_sort(F.collect_list(item)).alias("__fluvia_items"))
+    return made.select(*key, "part", F.array_join(F.transform("__fluvia_items", lambda x: x["t"]), "").alias(out))
 
 
 def flow_counts(df: DataFrame, flows: str, ts: str, interval: str = "10 seconds") -> DataFrame:
@@ -245,7 +320,7 @@ class _Alert:
 
     def row(self, row: dict) -> list[dict]:
         now, amount = row.pop("__fluvia_us"), row.pop("__fluvia_amount")
-        amount = 0.0 if pd.isna(amount) else amount
+        amount = 0.0 if amount is None else amount
         while self.time is not None and self.rows and self.rows[0][0] < now - self.time:
             self.total -= self.rows.popleft()[1]
         self.rows.append((now, amount))
@@ -264,6 +339,36 @@ class _Alert:
         return []
 
 
+def _window_values(df: DataFrame, value: Column, key: Sequence[str], order_by: Sequence[str], length: int | None, size: int | None) -> DataFrame:
+    by = Window.partitionBy(*key)
+    frame = by.orderBy(*order_by).rowsBetween(1 - size, 0) if length is None else by.orderBy("__fluvia_us").rangeBetween(-length, 0)
+    return df.withColumn("window_value", F.sum(value).over(frame)).drop("__fluvia_us")
+
+
+def _with_row_halo(df: DataFrame, key: Sequence[str], order_by: Sequence[str], size: int, rows: int = 100_000) -> DataFrame:
+    """Rows by ``__fluvia_part``, each of some ``rows`` of a key, with copies of the last rows of the part before."""
+    width = max(rows, 4 * size)
+    numbered = row_number_by_key(df, key, order_by, "__fluvia_rn").withColumn("__fluvia_rn", F.col("__fluvia_rn") - 1)
+    part, late = F.floor(F.col("__fluvia_rn") / width), F.col("__fluvia_rn") % width > width - size
+    places = F.when(late, F.array(part, part + 1)).otherwise(F.array(part))
+    each = numbered.withColumn("__fluvia_own", part).withColumn("__fluvia_part", F.explode(places))
+    return each.withColumn("__fluvia_halo", F.col("__fluvia_own") != F.col("__fluvia_part")).drop("__fluvia_own", "__fluvia_rn")
+
+
+def _with_time_halo(df: DataFrame, key: Sequence[str], length: int) -> DataFrame:
+    """Rows by ``__fluvia_part``, ranges of key and time, with copies of the rows that a part's windows reach back to.
+    There are as many parts as ranges and keys, so what is known of them is sent to all tasks."""
+    parted = df.withColumn("__fluvia_own", range_bucket(df, [*key, "__fluvia_us"]))
+    begins = parted.groupBy(*key, "__fluvia_own").agg(F.min("__fluvia_us").alias("begin"))
+    listed = begins.groupBy(*(F.col(k).alias(f"__fluvia_k{i}") for i, k in enumerate(key))).agg(F.collect_list(F.struct("begin", F.col("__fluvia_own").alias("part"))).alias("__fluvia_parts"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"__fluvia_k{i}")) for i, k in enumerate(key)))
+    joined = parted.join(F.broadcast(listed), same)
+    us, own = F.col("__fluvia_us"), F.col("__fluvia_own")
+    reached = F.filter("__fluvia_parts", lambda p: (p["part"] > own) & (p["begin"] - length <= us))
+    each = joined.withColumn("__fluvia_part", F.explode(F.concat(F.array(own), F.coalesce(F.transform(reached, lambda p: p["part"]), F.array().cast("array<int>")))))
+    return each.withColumn("__fluvia_halo", F.col("__fluvia_part") != own).select(*df.columns, "__fluvia_part", "__fluvia_halo")
+
+
 def window_alert(
     df: DataFrame,
     threshold: float,
@@ -279,7 +384,8 @@ def window_alert(
     in ``window_value``. The rows are those of the last ``time`` (an interval like ``1 hour``; a row exactly that old
     is in) and at most the newest ``size``. With ``reset`` an alert empties the window.
 
-    Without reset, and with one bound only, this is a window aggregation; else rows are replayed by key.
+    Without reset, and with one bound only, this is a window aggregation; keys with very many rows are cut into parts
+    that overlap by what a window reaches back. Else rows are replayed by key.
     """
     if time is None and size is None:
         raise ValueError("a window needs a time or a size")
@@ -287,15 +393,17 @@ def window_alert(
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     length = None if time is None else int(pd.Timedelta(time) / pd.Timedelta(microseconds=1))
     if not reset and (time is None or size is None):
-        if time is not None:
-            frame = Window.partitionBy(*key).orderBy("__fluvia_us").rangeBetween(-length, 0)
-        else:
-            frame = Window.partitionBy(*key).orderBy(*order_by).rowsBetween(1 - size, 0)
-        valued = df.withColumn("__fluvia_us", us).withColumn("window_value", F.sum(value).over(frame)).drop("__fluvia_us")
+        few, many = split_hot(df, key)
+        valued = _window_values(few.withColumn("__fluvia_us", us), value, key, order_by, length, size)
+        if many is not None:
+            timed = many.withColumn("__fluvia_us", us)
+            halo = _with_time_halo(timed, key, length) if length is not None else _with_row_halo(timed, key, order_by, size)
+            wide = _window_values(halo, value, [*key, "__fluvia_part"], order_by, length, size)
+            valued = valued.unionByName(wide.filter("not __fluvia_halo").drop("__fluvia_part", "__fluvia_halo"))
         return valued.filter(F.col("window_value") >= threshold)
     rows = df.withColumns({"__fluvia_us": us, "__fluvia_amount": value})
     schema = T.StructType([*df.schema.fields, T.StructField("window_value", T.DoubleType())])
-    return replay(rows, key, order_by, schema, lambda: _Alert(length, size, threshold, reset))
+    return replay_spread(rows, key, order_by, schema, lambda: _Alert(length, size, threshold, reset))
 
 
 def rules(df: DataFrame, specs: Mapping[str, Mapping], ts: str, order_by: Sequence[str]) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of one key that any task takes; only keys with more, and with more than an even task's share, are split.
+TASK_ROWS = 1_000_000
+
 
 def range_bucket(df: DataFrame, order_by: Sequence[str], parts: int | None = None, per_part: int = 40) -> Column:
     """The number of the range that a row falls in, ascending with ``order_by``, as an expression on the row.
@@ -34,21 +38,51 @@ def range_bucket(df: DataFrame, order_by: Sequence[str], parts: int | None = Non
 
 def before_each(totals: DataFrame, part: str, value: Column, out: str) -> DataFrame:
     """``part`` with ``value`` aggregated over all earlier parts (null for the first); ``totals`` has a row a range."""
-    from pyspark.sql import Window
-
     earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return totals.select(part, value.over(earlier).alias(out))
 
 
+def split_hot(df: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and those of keys with so many rows that one task should not take them (None if there are
+    none). Counts every key once, on the key's columns alone; there are at most as many hot keys as shuffle partitions."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(*key).agg(F.count("*").alias("__fluvia_rows"))
+    total, most = counts.agg(F.coalesce(F.sum("__fluvia_rows"), F.lit(0)), F.coalesce(F.max("__fluvia_rows"), F.lit(0))).first()
+    limit = max(TASK_ROWS, total // parts)
+    if most <= limit:
+        return df, None
+    found = counts.filter(F.col("__fluvia_rows") > limit).select(*key).collect()
+    same = lambda row: reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(v).cast(df.schema[k].dataType)) for k, v in zip(key, row, strict=True)))
+    hot = reduce(lambda a, b: a | b, map(same, found))
+    return df.filter(~hot), df.filter(hot)
+
+
+def running(df: DataFrame, key: Sequence[str], order_by: Sequence[str], sums: Mapping[str, Column], before: Mapping[str, Column] | None = None) -> DataFrame:
+    """Running sums by key up to each row, and values of the row before it (null for a key's first), dealt by ranges of
+    key and order: a key with many rows lies in several ranges, so no task holds it whole. Of each range and key only
+    the sums and the last row's values meet others. Null keys are one key."""
+    before = dict(before or {})
+    parted = df.withColumns({f"__fluvia_v{i}": c for i, c in enumerate([*sums.values(), *before.values()])})
+    parted = parted.select("*", range_bucket(df, [*key, *order_by]).alias("__fluvia_part"), F.struct(*key).alias("__fluvia_key"))
+    values, lasts = [f"__fluvia_v{i}" for i in range(len(sums))], [f"__fluvia_v{i}" for i in range(len(sums), len(sums) + len(before))]
+    order = F.struct(*order_by)
+    totals = parted.groupBy("__fluvia_part", "__fluvia_key").agg(*(F.sum(v).alias(v) for v in values), *(F.max_by(v, order).alias(v) for v in lasts), F.count("*").alias("__fluvia_n"))
+    parts = Window.partitionBy("__fluvia_key").orderBy("__fluvia_part")
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    carried = [F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"{v}_b") for v in values] + [F.lag(v).over(parts).alias(f"{v}_b") for v in lasts]
+    carry = totals.select("__fluvia_part", "__fluvia_key", *carried)
+    inside = Window.partitionBy("__fluvia_part", "__fluvia_key").orderBy(*order_by)
+    own = parted.withColumns(
+        {f"{v}_o": F.sum(v).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for v in values}
+        | {f"{v}_o": F.lag(v).over(inside) for v in lasts}
+        | ({"__fluvia_i": F.row_number().over(inside)} if lasts else {})
+    )
+    joined = own.join(carry, ["__fluvia_part", "__fluvia_key"])
+    out = {n: F.col(f"{v}_o") + F.col(f"{v}_b") for n, v in zip(sums, values, strict=True)}
+    out |= {n: F.when(F.col("__fluvia_i") == 1, F.col(f"{v}_b")).otherwise(F.col(f"{v}_o")) for n, v in zip(before, lasts, strict=True)}
+    return joined.select(*df.columns, *(c.alias(n) for n, c in out.items()))
+
+
 def row_number_by_key(df: DataFrame, key: Sequence[str], order_by: Sequence[str], out: str) -> DataFrame:
-    """Row numbers from 1 within each key, dealt by ranges of key and order: a key with many rows lies in several
-    ranges, so no task holds it whole. Only counts by range and key are added up. Null keys are one key."""
-    from pyspark.sql import Window
-
-    parted = df.select("*", range_bucket(df, [*key, *order_by]).alias("__fluvia_part"), F.struct(*key).alias("__fluvia_key"))
-    in_part = F.row_number().over(Window.partitionBy("__fluvia_part", "__fluvia_key").orderBy(*order_by))
-    counts = parted.groupBy("__fluvia_part", "__fluvia_key").agg(F.count("*").alias("__fluvia_n"))
-    earlier = Window.partitionBy("__fluvia_key").orderBy("__fluvia_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("__fluvia_part", "__fluvia_key", F.coalesce(F.sum("__fluvia_n").over(earlier), F.lit(0)).alias("__fluvia_before"))
-    joined = parted.withColumn("__fluvia_in_part", in_part).join(before, ["__fluvia_part", "__fluvia_key"])
-    return joined.withColumn(out, F.col("__fluvia_before") + F.col("__fluvia_in_part")).drop("__fluvia_part", "__fluvia_key", "__fluvia_in_part", "__fluvia_before")
+    """Row numbers from 1 within each key, dealt by ranges (see ``running``)."""
+    return running(df, key, order_by, {out: F.lit(1).cast("long")})
