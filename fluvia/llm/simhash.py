@@ -101,12 +101,3 @@ def near_duplicates(
 def hex16(fp: str = "fp"):
     """The 16 lower-case hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component stays: that with the smallest id (of repeated rows with that id, one). Rows
-    whose id is null cannot be named by a component and stay."""
-    found = near_duplicates(docs, id_col, text)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.join(kept, docs[id_col] == kept["_kept"], "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from fluvia.llm import near_text
+import pytest
+from fluvia.llm import near_text, set_join
 
 
 def brute(text):
@@ -33,11 +34,6 @@ def edited(rng, words, changes):
     return words
 
 
-def test_shingles():
-    for t in [None, "", " \n", "One", "a B c d", "a b c d e f a b c d e", "é ü x y z " * 9]:
-        assert len(near_text.shingles(t)) == len(brute(t))
-
-
 def test_stage_keeps_one_of_near_copies(spark):
     rng, texts = random.Random(3), []
     for _ in range(12):  # similarity about 0.85 to the first, and chains of small steps
@@ -55,17 +51,16 @@ def test_stage_keeps_one_of_near_copies(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted({*want, len(texts) - 2})
 
 
-def test_open_pairs(spark, monkeypatch):
-    """Members of a bucket that are near each other but not its leader, by stars alone and by all pairs."""
+@pytest.mark.parametrize("block", [set_join.BLOCK, 3000])
+def test_near_each_other_but_not_all(spark, monkeypatch, block):
+    """Copies of which many are below the limit of each other, in one block and in many."""
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
     texts = [edited(rng, words, 4) for _ in range(40)] + [edited(rng, words, 9) for _ in range(20)]
     texts = [" ".join(t) for t in texts]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = sorted(set(groups([brute(t) for t in texts])))
-    assert sorted(r["doc_id"] for r in near_text.keep_one(docs).collect()) == want
-    monkeypatch.setattr(near_text, "OPEN_PAIRS", 0)
-    assert sorted(r["doc_id"] for r in near_text.keep_one(docs).collect()) == want
+    monkeypatch.setattr(set_join, "BLOCK", block)
+    assert sorted(r["doc_id"] for r in near_text.keep_one(docs).collect()) == sorted(set(groups([brute(t) for t in texts])))
 
 
 def test_repeated_and_null_ids(spark):
@@ -74,3 +69,13 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["text"]) for r in near_text.keep_one(docs).collect())
     assert got == sorted([(0, a), (1, a), (1, b)])
+
+
+def test_equal_rows_and_columns_of_any_kind(spark):
+    a, b = " ".join(map(str, range(50))), "one two three four five six"
+    rows = [(1, a, None, "x", {"p": 1, "q": 2}), (1, a, "x", None, {"p": 1, "q": 2}), (2, b, "x", "x", {"p": 1}), (2, b, "x", "x", {"p": 1}), (3, None, "x", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, d1 string, row string, m map<string,int>")
+    got = [tuple(r) for r in near_text.keep_one(docs).collect()]
+    assert len(got) == 3 and sorted(r[0] for r in got) == [1, 2, 3] and all(r in rows for r in got)
+    assert near_text.keep_one(docs.limit(0)).count() == 0
+    assert near_text.keep_one(docs).columns == docs.columns
