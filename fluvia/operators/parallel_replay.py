@@ -132,18 +132,23 @@ def replay_by_ranges(df: DataFrame, key: Sequence[str], order_by: Sequence[str],
         dealt = both.repartition(_PART).sortWithinPartitions(_PART, _ROWS, *keys, *order_by)
         return map_rows(dealt, _Ranges(visit, keys), out)
 
-    by_part, kept = Window.orderBy("part"), []  # a row for each range
+    by_part = Window.orderBy("part")  # a row for each range
 
     def hold(found: DataFrame) -> DataFrame:
-        kept.append(found.persist())
-        return kept[-1]
+        """The table with its past cut off: as rows from the driver if they are few bytes, else persisted."""
+        held = found.persist()
+        if not _small(held):
+            return held
+        rows = held.collect()
+        held.unpersist()
+        return df.sparkSession.createDataFrame(rows, found.schema)
 
     def starts(ends: DataFrame) -> DataFrame:
         own = F.lag("last").over(by_part) == F.col("first")
         over = F.coalesce(F.lead("first").over(by_part) != F.col("last"), F.lit(True))
         return ends.select("*", F.when(own, F.lag("state").over(by_part)).alias("new"), over.alias("ends"))
 
-    ends = hold(fed(None, lambda part, given: _Assume(part, start), _ENDS)).withColumn("old", F.lit(None).cast("binary"))
+    ends = hold(fed(None, lambda part, given: _Assume(part, start), _ENDS).withColumn("old", F.lit(None).cast("binary")))
     for _ in range(rounds):
         now = hold(starts(ends))
         changed = now.filter(~F.col("new").eqNullSafe(F.col("old"))).select("part", "old", "new")
@@ -155,13 +160,11 @@ def replay_by_ranges(df: DataFrame, key: Sequence[str], order_by: Sequence[str],
     open_keys = now.filter(~F.col("new").eqNullSafe(F.col("old"))).select("first").distinct().collect()
     skip = frozenset(bytes(r["first"]) for r in open_keys)
     given = now.select("part", F.col("old").alias("new"), "ends")
-    given = df.sparkSession.createDataFrame(given.collect(), given.schema) if _small(now) else given
     found = fed(given, lambda part, g: _Give(start, g, skip), schema)
-    for table in kept:
-        table.unpersist()
     return found, [pickle.loads(k) for k in skip]
 
 
-def _small(now: DataFrame, most: int = 64 << 20) -> bool:
-    """Whether the ranges' states together are few bytes, so that the last pass need not derive them again."""
-    return (now.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("old"), F.lit(0)) + F.lit(100)), F.lit(0))).first()[0]) <= most
+def _small(ends: DataFrame, most: int = 64 << 20) -> bool:
+    """Whether the states of all ranges together are few bytes."""
+    each = F.lit(200) + sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ends.columns if c in ("first", "last", "state", "old", "new"))
+    return ends.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0] <= most

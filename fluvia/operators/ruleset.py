@@ -237,16 +237,18 @@ def extract_native(df: DataFrame, source: str, rules: RuleSet, out: str) -> Data
     order = chain(rules)
     if order is None:
         raise ValueError("only a chain of single rules has a native form")
-    rest, fields = F.trim(source) if rules.trim else F.col(source), []
-    for rule in order:
+    # what each rule leaves is a column of its own, so that the next rule does not work it out again for every name
+    df = df.withColumn("__fluvia_rest0", F.trim(source) if rules.trim else F.col(source))
+    fields = []
+    for at, rule in enumerate(order):
+        rest, groups = F.col(f"__fluvia_rest{at}"), _python(rule.pattern).groups
         hit = F.rlike(rest, F.lit(rule.pattern))
-        groups = _python(rule.pattern).groups
         for i, name in enumerate(rule.names):
             value = F.regexp_extract(rest, rule.pattern, i + 1 if groups else 0)
             fields.append(F.when(hit, F.trim(value)).alias(name))
         after = F.regexp_extract(rest, rf"(?s)^.*?(?:{rule.pattern})(.*)$", groups + 1)
-        rest = F.when(hit, after)
-    return df.withColumn(out, F.struct(*fields))
+        df = df.withColumn(f"__fluvia_rest{at + 1}", F.when(hit, after))
+    return df.withColumn(out, F.struct(*fields)).drop(*(f"__fluvia_rest{i}" for i in range(len(order) + 1)))
 
 
 #: The general tokenizer for unknown log lines, as a rule set in JSON form.

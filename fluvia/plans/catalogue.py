@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extraction_queries, keyed_queries, projection_queries, routing_queries
+from . import extraction_queries, keyed_queries, projection_queries, routing_queries, storage_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (routing_queries, projection_queries, extraction_queries, keyed_queries)
+_MODULES = (routing_queries, projection_queries, extraction_queries, keyed_queries, storage_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 Sink = Callable[[DataFrame], None]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that driver and executors share, ``spark.checkpoint.dir``. Only a local session without
+    the setting gets a temporary folder; a cluster without it is an error."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def routed_files(df: DataFrame, path: str, route: dict[str, Column], line: Column | None = None, fmt: str = "text", mode: str = "append") -> None:
     """Files in folders named by the values of ``route``; ``line`` is the text of a row (default: the row as JSON)."""
     if fmt == "text":
@@ -41,7 +57,7 @@ def string_hash(c: Column) -> Column:
 
 def topic_partition(df: DataFrame, partitions: int, mode: str = "hashed", field: Column | None = None, out: str = "partition", order_by: Sequence[str] = ()) -> DataFrame:
     """The partition of each row: ``hashed`` by the text hash of ``field``, ``fixed`` by its number, or ``roundrobin``
-    in the order of ``order_by`` (one task a topic), else 0."""
+    in the order of ``order_by``, numbered by ranges, else 0."""
     if mode == "hashed":
         part = F.pmod(string_hash(field), F.lit(partitions))
     elif mode == "fixed":
@@ -76,22 +92,21 @@ def collections(df: DataFrame, path: str, collection: Column, batch_id: int | No
 
 
 def all_of(sinks: Sequence[Sink], serial: bool = False) -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch`` that writes a batch to every sink. ``serial`` stops at the first that fails;
-    else all are tried and the first error is raised afterwards."""
+    """A function for ``foreachBatch`` that writes a batch to every sink. ``serial`` writes one after the other and stops
+    at the first that fails; else all write the same persisted batch at once, each from a thread of its own, and the
+    first error is raised when all are done."""
 
     def write(batch: DataFrame, batch_id: int = 0) -> None:
         batch.persist()
         try:
-            failed = []
-            for sink in sinks:
-                try:
+            if serial:
+                for sink in sinks:
                     sink(batch)
-                except Exception as error:
-                    if serial:
-                        raise
-                    failed.append(error)
-            if failed:
-                raise failed[0]
+                return
+            with ThreadPoolExecutor(max(1, len(sinks))) as pool:
+                jobs = [pool.submit(inheritable_thread_target(batch.sparkSession)(sink), batch) for sink in sinks]
+            for error in filter(None, (job.exception() for job in jobs)):
+                raise error
         finally:
             batch.unpersist()
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date, datetime
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,15 +135,76 @@ def pull_tables(sources: Mapping[str, DataFrame], pattern: str, column: str, mar
     return out, after
 
 
-def load_marks(spark: SparkSession, path: str) -> dict[str, Mark]:
-    """Marks that ``save_marks`` wrote, as text by name; empty if there are none yet."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
-        return {}
-    rows = spark.read.json(path, "name string, value string, ties array<string>").collect()
-    return {r["name"]: Mark(r["value"], tuple(r["ties"] or ())) for r in rows}
+_KINDS = {
+    "int": (str, int),
+    "float": (repr, float),
+    "str": (str, str),
+    "bool": (str, lambda v: v == "True"),
+    "Decimal": (str, Decimal),
+    "datetime": (datetime.isoformat, datetime.fromisoformat),
+    "date": (date.isoformat, date.fromisoformat),
+    "bytes": (bytes.hex, bytes.fromhex),
+}
+_MARKS = "name string, kinds array<string>, parts array<string>"
+
+
+def _written(value: object) -> tuple[str, str | None]:
+    kind = type(value).__name__
+    if value is None:
+        return "None", None
+    if kind not in _KINDS:
+        raise TypeError(f"a mark cannot be a {kind}")
+    return kind, _KINDS[kind][0](value)
 
 
-def save_marks(spark: SparkSession, path: str, marks: Mapping[str, Mark]) -> None:
-    rows = [(k, None if m.value is None else str(m.value), [str(t) for t in m.ties]) for k, m in marks.items()]
-    spark.createDataFrame(rows, "name string, value string, ties array<string>").coalesce(1).write.mode("overwrite").json(path)
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Complete versions of a mark log, oldest first."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    found = [str(x.getPath().toString()) for x in fs.listStatus(top)]
+    numbered = [(int(m[1]), f) for f in found if (m := re.search(r"/version=(\d+)$", f))]
+    return sorted(x for x in numbered if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{x[1]}/_SUCCESS")))
+
+
+def load_marks(spark: SparkSession, path: str) -> dict[str, Mark]:
+    """The marks of the latest complete version that ``save_marks`` wrote, by name, with their types; empty if there is
+    none yet. A version that was cut off while it was written does not count."""
+    versions = _versions(spark, path)
+    if not versions:
+        return {}
+    rows = spark.read.schema(_MARKS).json(versions[-1][1]).collect()
+    read = lambda kind, text: None if kind == "None" else _KINDS[kind][1](text)
+    values = {r["name"]: [read(k, t) for k, t in zip(r["kinds"], r["parts"], strict=True)] for r in rows}
+    return {name: Mark(v[0], tuple(v[1:])) for name, v in values.items()}
+
+
+def save_marks(spark: SparkSession, path: str, marks: Mapping[str, Mark], keep: int = 10) -> None:
+    """Adds a version with all ``marks``. Call it once the rows before the marks are written: if anything fails between
+    the two, the old marks stand and the rows are read again. Nothing is overwritten; the newest ``keep`` versions stay."""
+    rows = []
+    for name, mark in marks.items():
+        kinds, parts = zip(*map(_written, (mark.value, *mark.ties)), strict=True)
+        rows.append((name, list(kinds), list(parts)))
+    versions = _versions(spark, path)
+    number = versions[-1][0] + 1 if versions else 0
+    spark.createDataFrame(rows, _MARKS).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/version={number}")
+    for _, old in versions[: max(0, len(versions) + 1 - keep)]:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(old)
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
+def pull_into(source: DataFrame, column: str, path: str, name: str, sink: Callable[[DataFrame, int], None], batch: int | None = None, ties: Sequence[str] = ()) -> bool:
+    """One step of a pull: rows above the stored mark go to ``sink(rows, step)``, then the mark moves. A step that failed
+    anywhere is done again with the same number, so a sink that replaces what a step wrote gets no row twice and misses
+    none. False if there was nothing new."""
+    spark = source.sparkSession
+    marks = load_marks(spark, path)
+    versions = _versions(spark, path)
+    rows, after = pull(source, column, marks.get(name, Mark()), batch, ties)
+    if after == marks.get(name, Mark()):
+        return False
+    sink(rows, versions[-1][0] + 1 if versions else 0)
+    save_marks(spark, path, marks | {name: after})
+    return True
