@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import java_format
-from .ranges import before_each, range_bucket
+from .ranges import before_each, numbered, range_bucket
 
 
 def envelope(df: DataFrame, input_name: str, kind: str, key: Column | None = None) -> DataFrame:
@@ -91,18 +91,12 @@ def merge(df: DataFrame, fields: Sequence[str], out: str, deep: bool = False, de
 def sequence(df: DataFrame, order_by: Sequence[str], start: int = 0, out: str = "seq") -> DataFrame:
     """A counter without gaps in the order of ``order_by``, which should be total.
 
-    Rows are shuffled once, by ranges of the order, and numbered there; only the counts of the ranges, one row each,
-    are added up in one place. So no task holds all rows.
+    Rows are shuffled once, by ranges of the order, and counted as they lie (``ranges.numbered``); only the counts of the
+    ranges, one row each, are added up in one place. So no task holds all rows.
     """
     if not order_by:
         raise ValueError("a sequence needs an order")
-    parted = df.withColumn("__fluvia_part", range_bucket(df, order_by))
-    counts = parted.groupBy("__fluvia_part").agg(F.count("*").alias("__fluvia_n"))
-    before = before_each(counts, "__fluvia_part", F.sum("__fluvia_n"), "__fluvia_before")
-    in_part = F.row_number().over(Window.partitionBy("__fluvia_part").orderBy(*order_by))
-    joined = parted.withColumn("__fluvia_in_part", in_part).join(before, "__fluvia_part")
-    number = F.coalesce("__fluvia_before", F.lit(0)) + F.col("__fluvia_in_part") - 1 + start
-    return joined.withColumn(out, number.cast("long")).drop("__fluvia_part", "__fluvia_in_part", "__fluvia_before")
+    return numbered(df, order_by, start, out)
 
 
 def timestamp(df: DataFrame, out: str, source: Column | None = None, pattern: str | None = None, unix: bool = False) -> DataFrame:

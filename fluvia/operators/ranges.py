@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of one key that any task takes; only keys with more, and with more than an even task's share, are split.
 TASK_ROWS = 1_000_000
@@ -17,12 +18,12 @@ def range_bucket(df: DataFrame, order_by: Sequence[str], parts: int | None = Non
 
     Bounds are drawn from a sample of about ``per_part`` rows a range, which the driver holds; they are literals in
     the expression, so every evaluation of it agrees, also when a lost task runs again. ``parts`` is four times the
-    shuffle partitions by default.
+    shuffle partitions by default. The sample takes one scan of the order's columns: rows with the least hashes.
     """
     parts = parts or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(*order_by)
-    wanted, total = parts * per_part, keys.count()
-    drawn = keys.dropna().sample(min(1.0, 1.2 * wanted / max(1, total)), seed=7).collect()
+    known = keys.dropna().withColumn("__fluvia_at", F.xxhash64(*order_by, F.monotonically_increasing_id()))
+    drawn = known.orderBy("__fluvia_at").limit(parts * per_part).drop("__fluvia_at").collect()
     drawn = sorted({tuple(r) for r in drawn})
     bounds = [drawn[i * len(drawn) // parts] for i in range(1, parts)] if len(drawn) >= parts else drawn
     bounds = sorted(set(bounds))
@@ -36,6 +37,53 @@ def range_bucket(df: DataFrame, order_by: Sequence[str], parts: int | None = Non
     return F.aggregate(steps, F.lit(0), lambda at, p: F.when(past(at, p), at + p).otherwise(at))
 
 
+def _seen(df: DataFrame) -> Column:
+    """A number that depends on every column, so that none can be left out of what it is computed from."""
+
+    def plain(field: T.StructField) -> Column:
+        text = field.dataType.simpleString()
+        if "variant" in text:
+            return F.col(field.name).cast("string")
+        return F.to_json(F.struct(field.name)) if "map<" in text else F.col(field.name)
+
+    return F.xxhash64(*map(plain, df.schema.fields))
+
+
+def numbered(df: DataFrame, order_by: Sequence[str], start: int, out: str) -> DataFrame:
+    """Row numbers in the order of ``order_by``, by one shuffle into ranges. A row's place in its range is where it lies;
+    what lies before a range comes from a table of counts, a row a range, made from the same shuffle.
+
+    That Spark runs that shuffle once for both matters, as its ranges are drawn anew each time. So both sides need the
+    same columns, and a row outside the counted bounds of its range is an error, never a wrong number. Where a session
+    does not share shuffles, ranges with fixed bounds are used.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.exchange.reuse", "true") != "true":
+        return _numbered_by_bounds(df, order_by, start, out)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lying = df.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    named = lying.select("*", F.spark_partition_id().alias("__fluvia_part"), place.alias("__fluvia_place"), _seen(df).alias("__fluvia_seen"))
+    own = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(order_by)))
+    counts = named.groupBy("__fluvia_part").agg(
+        F.count("*").alias("__fluvia_rows"), F.min(own).alias("__fluvia_low"), F.max(own).alias("__fluvia_high"), F.max("__fluvia_seen").alias("__fluvia_most")
+    )
+    earlier = Window.orderBy("__fluvia_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("__fluvia_rows").over(earlier), F.lit(0)).alias("__fluvia_before")
+    table = counts.select("__fluvia_part", "__fluvia_low", "__fluvia_high", "__fluvia_most", before)
+    joined = named.join(F.broadcast(table), "__fluvia_part", "left")  # a row for each shuffle partition
+    known = (own >= F.col("__fluvia_low")) & (own <= F.col("__fluvia_high")) & (F.col("__fluvia_seen") <= F.col("__fluvia_most"))
+    number = F.col("__fluvia_before") + F.col("__fluvia_place") + start
+    failed = F.raise_error(F.lit("ranges changed while rows were numbered")).cast("long")
+    return joined.select(*df.columns, F.when(F.coalesce(known, F.lit(False)), number).otherwise(failed).alias(out))
+
+
+def _numbered_by_bounds(df: DataFrame, order_by: Sequence[str], start: int, out: str) -> DataFrame:
+    one = df.withColumn("__fluvia_all", F.lit(0))
+    first = running(one, ["__fluvia_all"], order_by, {out: F.lit(1).cast("long")})
+    return first.withColumn(out, F.col(out) + (start - 1)).drop("__fluvia_all")
+
+
 def before_each(totals: DataFrame, part: str, value: Column, out: str) -> DataFrame:
     """``part`` with ``value`` aggregated over all earlier parts (null for the first); ``totals`` has a row a range."""
     earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fluvia.operators import keyed, parallel_replay, ranges
+from fluvia.operators import enrich, keyed, parallel_replay, ranges
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +91,38 @@ def test_rounds_and_rest(spark):
     made, rest = parallel_replay.replay_by_ranges(df, ["k"], ["id"], schema, Phase, rounds=50)
     want = [(1, 50 * i - 1, 50 * i) for i in range(1, 20)] + [(None, -1, 990), (None, -1, 10)]
     assert rest == [] and sorted(map(repr, ((r["k"], r["id"], r["n"]) for r in made.collect()))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_numbers_by_one_shuffle(spark, reuse):
+    """Nulls, maps, columns that nobody asks for, filters behind; with and without shared shuffles."""
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        df = spark.range(5000).select(
+            F.when(F.col("id") % 7 != 0, F.pmod(F.xxhash64("id"), F.lit(50))).alias("a"), "id", F.create_map(F.lit("k"), "id").alias("m"), F.lit("x").alias("wide")
+        )
+        made = enrich.sequence(df.repartition(6, "id"), ["a", "id"], 3)
+        want = sorted(((r["a"] is not None, r["a"] or 0), r["id"]) for r in df.collect())
+        got = {r["id"]: r["seq"] for r in made.select("id", "seq").collect()}
+        assert got == {i: n for n, (_, i) in enumerate(want, 3)}
+        some = made.filter("id % 100 = 5").select("seq", "id").collect()
+        assert len(some) == 50 and all(got[r["id"]] == r["seq"] for r in some)
+        assert made.columns == [*df.columns, "seq"] and enrich.sequence(df.limit(0), ["a", "id"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+
+
+def test_one_shuffle_of_rows(spark):
+    """Both sides read the same shuffle, whatever is asked of the result."""
+    df = spark.range(100_000).select("id", F.lit("x").alias("wide"))
+    made = enrich.sequence(df, ["id"]).select("seq")
+    made.write.format("noop").mode("overwrite").save()
+    assert made.filter("seq < 0").count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = enrich.sequence(df, ["id"]).select("seq")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    shuffles = [line for line in plan.split("\n") if "Exchange rangepartitioning" in line]
+    assert sorted("ReusedExchange" in line for line in shuffles) == [False, True]

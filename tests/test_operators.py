@@ -308,7 +308,7 @@ def test_pull(spark, tmp_path):
     both, marks = readers.pull_tables({"log_a": df, "log_b": df, "other": df}, "^log_", "id", {"log_a": readers.Mark(8)})
     assert both.count() == 11 and marks["log_b"].value == 9
     readers.save_marks(spark, f"{tmp_path}/marks", marks)
-    assert readers.load_marks(spark, f"{tmp_path}/marks")["log_a"].value == "9" and readers.load_marks(spark, f"{tmp_path}/none") == {}
+    assert readers.load_marks(spark, f"{tmp_path}/marks")["log_a"].value == 9 and readers.load_marks(spark, f"{tmp_path}/none") == {}
 
 
 def test_sinks(spark, lines, tmp_path):
