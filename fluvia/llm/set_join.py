@@ -83,15 +83,15 @@ class Rule(NamedTuple):
         return (self.p + self.q) * common >= self.p * (n + others)
 
 
-@cache
-def _words() -> Memo:
-    return Memo(lambda word: xxhash.xxh64_intdigest(word, SEED), 1 << 20)
+def word_hashes() -> Memo:
+    """Hashes of words that recur; a task has its own and drops it at its end."""
+    return Memo(lambda word: xxhash.xxh64_intdigest(word, SEED), 1 << 17)
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
+def shingles(text: str | None, size: int, known: Memo | None = None) -> np.ndarray:
     """The distinct hashes of all runs of ``size`` words (split at ASCII white space, A-Z lower-cased), ascending. Fewer
     words are one shingle; no words, none."""
-    plain, at, parts, known = (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN), 0, [], _words()
+    plain, at, parts, known = (text or "").encode("utf-8", "surrogatepass").translate(_PLAIN), 0, [], word_hashes() if known is None else known
     while at < len(plain):
         end = plain.find(b" ", at + TEXT_BLOCK) if len(plain) - at > TEXT_BLOCK else -1
         end = len(plain) if end < 0 else end
@@ -123,8 +123,9 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
     others = [c for c in docs.columns if c != "text"]
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_hashes()
         for batch in batches:
-            sets = [shingles(t.as_py(), rule.size) for t in batch.column("text")]
+            sets = [shingles(t.as_py(), rule.size, known) for t in batch.column("text")]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             sizes = np.array([len(s) for s in sets], np.int64)
             keys = _lists([s[: rule.first(len(s))] for s in sets])
@@ -139,8 +140,9 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
     """``docs(text)`` -> ``(node, n, hashes)``."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_hashes()
         for batch in batches:
-            sets = [shingles(t.as_py(), rule.size) for t in batch.column("text")]
+            sets = [shingles(t.as_py(), rule.size, known) for t in batch.column("text")]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["node", "n", "hashes"])
 
