@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 class _Split(InputPartition):
@@ -49,3 +49,56 @@ def register(
             return Reader(self.options)
 
     spark.dataSource.register(Source)
+
+
+def register_stream(
+    spark: SparkSession,
+    name: str,
+    schema: str,
+    latest: Callable[[Mapping[str, str]], dict],
+    splits: Callable[[dict, dict, Mapping[str, str]], Sequence[object]],
+    rows: Callable[[object, Mapping[str, str]], Iterator[tuple]],
+    start: Callable[[Mapping[str, str]], dict] = lambda options: {},
+    done: Callable[[dict, Mapping[str, str]], None] | None = None,
+) -> None:
+    """Makes ``spark.readStream.format(name).options(...).load()`` read a growing source of one's own.
+
+    Offsets are small dicts that can be JSON: ``start(options)`` is that of a new query, ``latest(options)`` how far the
+    source reaches now. ``splits(from, to, options)`` lists the parts between two offsets and ``rows`` reads one in a task,
+    as in ``register``. Spark writes the offsets of a micro-batch to the query's checkpoint before it reads them, so a
+    query that starts again reads the same parts again or goes on behind them: the source must give the same rows for
+    the same offsets until ``done(to, options)`` says that all before ``to`` are no longer needed.
+    """
+
+    class Reader(DataSourceStreamReader):
+        def __init__(self, options: Mapping[str, str]) -> None:
+            self.options = dict(options)
+
+        def initialOffset(self) -> dict:
+            return start(self.options)
+
+        def latestOffset(self) -> dict:
+            return latest(self.options)
+
+        def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+            return [_Split(x) for x in splits(start, end, self.options)] or [_Split(None)]
+
+        def read(self, partition: _Split) -> Iterator[tuple]:
+            return iter(()) if partition.value is None else rows(partition.value, self.options)
+
+        def commit(self, end: dict) -> None:
+            if done is not None:
+                done(end, self.options)
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def streamReader(self, schema: object) -> Reader:
+            return Reader(self.options)
+
+    spark.dataSource.register(Source)
