@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .custom import map_rows
@@ -251,6 +251,83 @@ def extract_native(df: DataFrame, source: str, rules: RuleSet, out: str) -> Data
     return df.withColumn(out, F.struct(*fields)).drop(*(f"__fluvia_rest{i}" for i in range(len(order) + 1)))
 
 
+def folds(rules: RuleSet) -> bool:
+    """Whether ``extract_fold`` takes a rule set: one without templates."""
+    return not any(r.set for own in rules.states.values() for r in own)
+
+
+def extract_fold(df: DataFrame, source: str, rules: RuleSet, out: str = "parsed") -> DataFrame:
+    """``extract`` as one SQL expression, for rule sets without templates: a fold whose state is what is left of the line,
+    the state's number and the pairs so far. Each step finds the first rule that matches, once, and takes its values and
+    its rest; the expression grows in proportion to the rules of all states. Patterns are Java's, whose classes like ``\\w`` are ASCII; a group that took no
+    part gives empty text, and white space around values is that of ASCII."""
+    if not folds(rules):
+        raise ValueError("templates need the rule machine")
+    states = [START, *(s for s in rules.states if s != START)]
+    start = list(rules.states.get(START, ()))
+    every = [(r, states.index(s)) for s in states for r in rules.states.get(s, ())]
+    place = {(id(r), home): i for i, (r, home) in enumerate(every)}
+    number = lambda s: states.index(s) if s in states else len(states)
+    blank = F.lit(" \t\n\r\x0b\x0c")
+
+    def tried(home: int) -> list[int]:
+        own = [place[id(r), home] for r in rules.states.get(states[home], ())] if home < len(states) else []
+        return own + ([place[id(r), 0] for r in start] if home else [])
+
+    def chosen(state: Column, branches: Mapping[int, Column], other: Column) -> Column:
+        found = F
+        for i, value in branches.items():
+            found = found.when(state == i, value)
+        return found.otherwise(other) if branches else other
+
+    def first(rest: Column, of: Sequence[int]) -> Column:
+        found = F
+        for i in of:
+            found = found.when(F.rlike(rest, F.lit(every[i][0].pattern)), i)
+        return found.otherwise(-1) if of else F.lit(-1)
+
+    def pairs(rest: Column, left: Column, rule: Rule) -> Column:
+        compiled = _python(rule.pattern)
+        group = lambda i: F.trim(F.regexp_extract(rest, rule.pattern, i), blank)
+        made = [(n, F.regexp_extract(rest, rule.pattern, i)) for n, i in compiled.groupindex.items()] if rule.named else []
+        instead = left if rules.empty is None else F.lit(rules.empty)
+        for i, name in enumerate(rule.names):
+            value = group(1 if compiled.groups else 0) if not i else F.regexp_extract(rest, rule.pattern, i + 1) if i < compiled.groups else F.lit("")
+            made.append((name, value if not i else F.trim(F.when(value != "", value).otherwise(instead), blank)))
+        items = [F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in made]
+        return F.array(*items).cast(PARSED) if items else F.array().cast(PARSED)
+
+    def step(at: Column, _: Column) -> Column:
+        rest, state = at["rest"], at["state"]
+        hit = chosen(state, {h: first(rest, tried(h)) for h in range(len(states))}, first(rest, tried(len(states))))
+
+        def left_of(r: Column) -> Column:
+            return chosen(r, {i: F.regexp_extract(rest, rf"^[\s\S]*?(?:{x.pattern})([\s\S]*)\z", _python(x.pattern).groups + 1) for i, (x, _) in enumerate(every)}, rest)
+
+        def moved(r: Column, left: Column) -> Column:
+            def after(rule: Rule, home: int) -> Column:
+                return F.lit(number(rule.next)) if rule.next else F.when(state < len(states), home).otherwise(state)
+
+            rejects = [i for i, (x, _) in enumerate(every) if x.reject]
+            how = F.when(r < 0, "lost").when(r.isin(rejects) if rejects else F.lit(False), "rejected").when((left == rest) | (left == ""), "spent")
+            found = F.when(how.isin("lost", "rejected"), at["pairs"]).otherwise(F.concat(at["pairs"], chosen(r, {i: pairs(rest, left, x) for i, (x, _) in enumerate(every)}, F.array().cast(PARSED))))
+            onward = chosen(r, {i: after(x, h) for i, (x, h) in enumerate(every)}, F.lit(0))
+            return F.struct(left.alias("rest"), onward.cast("int").alias("state"), found.alias("pairs"), how.alias("how"))
+
+        once = F.transform(F.array(hit), lambda r: F.struct(r.alias("r"), left_of(r).alias("left")))
+        taken = F.transform(once, lambda x: moved(x["r"], x["left"]))[0]
+        return F.when(at["how"].isNotNull(), at).otherwise(taken)
+
+    text = F.coalesce(F.col(source), F.lit(""))
+    text = F.trim(text, blank) if rules.trim else text
+    begin = F.struct(text.alias("rest"), F.lit(0).alias("state"), F.array().cast(PARSED).alias("pairs"), F.when(text == "", "spent").alias("how"))
+    end = F.aggregate(F.sequence(F.lit(0), F.length(text)), begin, step)
+    kept = F.filter(F.array(end), lambda e: F.coalesce(e["how"] != "rejected", F.lit(True)))  # exploded, so worked out once
+    df = df.select("*", F.explode(kept).alias("__fluvia_end"))
+    named = F.filter(F.col("__fluvia_end.pairs"), lambda p: ~p["name"].isin(*UNNAMED))
+    return df.withColumn(out, F.when(F.col("__fluvia_end.how") == "lost", named).otherwise(F.col("__fluvia_end.pairs"))).drop("__fluvia_end")
+
+
 #: The general tokenizer for unknown log lines, as a rule set in JSON form.
 GENERIC = {
     "start": [

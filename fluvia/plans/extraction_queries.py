@@ -182,7 +182,7 @@ ORDER_RULES = [
 
 @query("SELECT o_orderkey, CAST(o_orderkey AS VARCHAR) AS \"order\", o_orderstatus AS letter, left(o_orderpriority, 1) AS rank, substr(o_orderpriority, 3) AS rest FROM orders WHERE o_orderstatus <> 'F'")
 def ruleset_inline(spark, sf_dir):
-    found = ruleset.as_map(ruleset.extract(_order_lines(spark, sf_dir), "line", ruleset.inline(ORDER_RULES)), "parsed")
+    found = ruleset.as_map(ruleset.extract_fold(_order_lines(spark, sf_dir), "line", ruleset.inline(ORDER_RULES)), "parsed")
     return found.select("o_orderkey", *(F.col("parsed")[n].alias(n) for n in ("order", "letter", "rank", "rest")))
 
 
