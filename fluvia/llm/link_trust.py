@@ -63,13 +63,14 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def propagate(
-    hosts: DataFrame, links: DataFrame, tables: Tables, damping: float = 0.85, tolerance: float = 1e-4, most_steps: int = 60
+    hosts: DataFrame, links: DataFrame, tables: Tables, damping: float = 0.85, tolerance: float = 1e-4, most_steps: int = 100
 ) -> DataFrame:
     """``hosts(host, trust, distrust)`` with start shares and ``links(src, dst)`` -> ``host, trust, distrust`` after
     propagation, as shares of each host's standing.
 
     A host without a link to follow keeps what reaches it. Steps end when no rank moves by ``tolerance`` times its
-    uniform part, or after ``most_steps``.
+    uniform part; each step damps what still moves, so some 70 are always enough. ``RuntimeError`` after ``most_steps``.
+    No hosts and no links give no rows.
     """
     nodes = hosts.select("host", "trust", "distrust").unionByName(
         links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
@@ -117,6 +118,8 @@ def propagate(
         now = step
         if not change or change < tolerance:
             break
+    else:
+        raise RuntimeError(f"ranks still move after {most_steps} steps")
     share = F.col("rank") / F.col("whole")
     return now.groupBy("host").agg(
         F.max(F.when(F.col("forward"), share)).alias("trust"), F.max(F.when(~F.col("forward"), share)).alias("distrust")
@@ -136,7 +139,8 @@ def judge(
 
     The longest fitting rule decides; elsewhere a page is blocked if its host's distrust is at least ``block_at`` and
     more than its trust. Pages without a host (null url, no ``://``) are allowed. Null html has no links. Repeated
-    rows stay rows and count as pages; other columns are not read.
+    rows stay rows and count as pages; other columns are not read. An empty table gives no rows. Long pages are read by
+    one pattern for links, whole.
     """
     tables = Tables(pages.sparkSession, name)
     host, path = url_host(F.col("_url")), url_path(F.col("_url"))

@@ -208,7 +208,7 @@ STOPS = re.compile(r"[.!?,;:。！？，؟।]")
 def name_buckets(names: str) -> tuple[np.ndarray, int]:
     """Hash buckets of the names of an element and their count. A name gives itself, its last word with its beginning
     and end, and the words before that, as these say what the last one belongs to."""
-    out, found = [], set(names.split()[:64])
+    out, found = [], set(names.split())
     for name in sorted(found):
         words = [w.lower() for w in WORD.findall(name)] or [""]
         last = words[-1]

@@ -80,6 +80,14 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(rows[:, i]) for i in range(5))], names)
 
 
+def measured(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+    """``id, lang, source`` and the base statistics of every row."""
+    own = docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    return own.mapInArrow(_measured, f"id {kind}, lang string, source string, {counts}")
+
+
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
 
@@ -289,12 +297,9 @@ def judge(
     worker's memory.
     """
     tables = Tables(docs.sparkSession, name)
-    own = docs.select(F.col(id_col).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
-    kind = own.schema["id"].dataType.simpleString()
-    counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    measured = tables.write(own.mapInArrow(_measured, f"id {kind}, lang string, source string, {counts}"))
+    counted = tables.write(measured(docs, id_col, text, lang, source))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    rows = measured.select("*", failed.alias("base_failed"), *transformed())
+    rows = counted.select("*", failed.alias("base_failed"), *transformed())
     estimates = fit(rows.filter(~F.col("base_failed")), tables, least_group).drop("n", "size")
     # the finest level with estimates: names of groups that have some, looked up level by level on the few groups
     groups = rows.select("lang", "source").distinct().select("lang", "source", F.posexplode(group_names()).alias("level", "grp"))
