@@ -11,6 +11,9 @@ Only DataFrame functions are used. Everything after link extraction is a table o
 
 from __future__ import annotations
 
+import math
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,15 +66,16 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 
 
 def propagate(
-    hosts: DataFrame, links: DataFrame, tables: Tables, damping: float = 0.85, tolerance: float = 1e-4, most_steps: int = 100
+    hosts: DataFrame, links: DataFrame, tables: Tables, damping: float = 0.85, tolerance: float = 1e-4, most_steps: int | None = None
 ) -> DataFrame:
     """``hosts(host, trust, distrust)`` with start shares and ``links(src, dst)`` -> ``host, trust, distrust`` after
     propagation, as shares of each host's standing.
 
     A host without a link to follow keeps what reaches it. Steps end when no rank moves by ``tolerance`` times its
-    uniform part; each step damps what still moves, so some 70 are always enough. ``RuntimeError`` after ``most_steps``.
-    No hosts and no links give no rows.
+    uniform part. A step leaves at most ``damping`` of what still moved, so by default as many steps are allowed as that
+    needs; with fewer, given as ``most_steps``, a warning tells that ranks still move. No hosts and no links give no rows.
     """
+    most_steps = most_steps or 2 + math.ceil(math.log(tolerance * (1 - damping)) / math.log(damping))
     nodes = hosts.select("host", "trust", "distrust").unionByName(
         links.select(F.explode(F.array("src", "dst")).alias("host"), F.lit(0.0).alias("trust"), F.lit(0.0).alias("distrust"))
     )
@@ -119,7 +123,7 @@ def propagate(
         if not change or change < tolerance:
             break
     else:
-        raise RuntimeError(f"ranks still move after {most_steps} steps")
+        warnings.warn(f"ranks still move after {most_steps} steps", stacklevel=2)
     share = F.col("rank") / F.col("whole")
     return now.groupBy("host").agg(
         F.max(F.when(F.col("forward"), share)).alias("trust"), F.max(F.when(~F.col("forward"), share)).alias("distrust")
