@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import crc32_mod
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Labelled ids, of some 50 bytes, up to which they are broadcast.
+SENT = 1_000_000
 CUT = 0.7
 BLOCK = 1 << 15
 HELD = 50_000
@@ -314,7 +316,8 @@ def fit(
     if trained:
         drawn = spark.createDataFrame([(k,) for k in trained], own.select("key").schema)
         own = own.join(F.broadcast(drawn), "key", "left_anti")
-    calibrate(model, _counts(learnable.join(own, "key").select("text", "y"), model))
+    few = own.count() <= SENT  # else texts are shuffled to their labels
+    calibrate(model, _counts(learnable.join(F.broadcast(own) if few else own, "key").select("text", "y"), model))
     return model
 
 
