@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .custom import map_rows
 from .enrich import sequence
 from .parallel_replay import replay_by_ranges
-from .ranges import before_each, range_bucket, row_number_by_key, running, split_hot
+from .ranges import range_bucket, row_number_by_key, running, split_hot, with_part
 from .route import Predicate, accept, holds
 from .xml_scan import ElementScanner
 
@@ -431,15 +431,15 @@ def throttle(df: DataFrame, interval_ms: int, ts: str, order_by: Sequence[str],
     t = interval_ms
     tick = F.ceil(F.unix_millis(F.col(ts).cast("timestamp")) / t) * t
     ordered = Window.partitionBy("__fluvia_part").orderBy(*order_by)
-    numbered = df.withColumn("__fluvia_part", range_bucket(df, order_by)).withColumn("__fluvia_i", F.row_number().over(ordered) - 1)
+    numbered = df.withColumn("__fluvia_part", range_bucket(df, order_by)).withColumn("__fluvia_i", F.row_number().over(ordered).cast("long") - 1)
     lead = numbered.withColumn("__fluvia_x", tick - t * F.col("__fluvia_i"))
     running = lead.withColumn("__fluvia_own", F.max("__fluvia_x").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     totals = lead.groupBy("__fluvia_part").agg(F.count("*").alias("__fluvia_rows"), F.max("__fluvia_x").alias("__fluvia_top"))
-    offsets = totals.join(before_each(totals, "__fluvia_part", F.sum("__fluvia_rows"), "__fluvia_rows_before"), "__fluvia_part")
-    offset = F.coalesce("__fluvia_rows_before", F.lit(0))
-    tops = offsets.select("__fluvia_part", offset.alias("__fluvia_offset"), (F.col("__fluvia_top") - t * offset).alias("__fluvia_reach"))
-    before = tops.select("__fluvia_part", "__fluvia_offset").join(before_each(tops, "__fluvia_part", F.max("__fluvia_reach"), "__fluvia_carry"), "__fluvia_part")
+    earlier = Window.orderBy("__fluvia_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = totals.withColumn("__fluvia_offset", F.coalesce(F.sum("__fluvia_rows").over(earlier), F.lit(0)))
+    reach = F.max(F.col("__fluvia_top") - t * F.col("__fluvia_offset"))
+    before = offsets.select("__fluvia_part", "__fluvia_offset", reach.over(earlier).alias("__fluvia_carry"))
     own = F.col("__fluvia_own") - t * F.col("__fluvia_offset")
     release = F.greatest(own, F.coalesce("__fluvia_carry", own)) + t * (F.col("__fluvia_offset") + F.col("__fluvia_i"))
-    joined = running.join(before, "__fluvia_part").withColumn(out, release.cast("long"))
+    joined = with_part(running, before).withColumn(out, release.cast("long"))
     return joined.drop("__fluvia_part", "__fluvia_i", "__fluvia_x", "__fluvia_own", "__fluvia_offset", "__fluvia_carry")

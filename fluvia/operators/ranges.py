@@ -90,6 +90,15 @@ def before_each(totals: DataFrame, part: str, value: Column, out: str) -> DataFr
     return totals.select(part, value.over(earlier).alias(out))
 
 
+def with_part(df: DataFrame, table: DataFrame, on: Sequence[str] = ("__fluvia_part",)) -> DataFrame:
+    """``df`` with the columns that ``table`` has for a row's range; ``on`` is never null. The comparison is null-safe, as
+    from a plain equality Spark infers that the expression of ``range_bucket`` equals the table's column, and can filter
+    the table by it, though the rows' columns are not there."""
+    named = table.withColumnsRenamed({c: f"{c}_t" for c in on})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"{c}_t")) for c in on))
+    return df.join(named, same).drop(*(f"{c}_t" for c in on))
+
+
 def split_hot(df: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and those of keys with so many rows that one task should not take them (None if there are
     none). Counts every key once, on the key's columns alone; there are at most as many hot keys as shuffle partitions."""
@@ -125,7 +134,7 @@ def running(df: DataFrame, key: Sequence[str], order_by: Sequence[str], sums: Ma
         | {f"{v}_o": F.lag(v).over(inside) for v in lasts}
         | ({"__fluvia_i": F.row_number().over(inside)} if lasts else {})
     )
-    joined = own.join(carry, ["__fluvia_part", "__fluvia_key"])
+    joined = with_part(own, carry, ["__fluvia_part", "__fluvia_key"])
     out = {n: F.col(f"{v}_o") + F.col(f"{v}_b") for n, v in zip(sums, values, strict=True)}
     out |= {n: F.when(F.col("__fluvia_i") == 1, F.col(f"{v}_b")).otherwise(F.col(f"{v}_o")) for n, v in zip(before, lasts, strict=True)}
     return joined.select(*df.columns, *(c.alias(n) for n, c in out.items()))

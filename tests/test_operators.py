@@ -269,6 +269,12 @@ def test_throttle(spark):
     assert sorted(values(keyed.throttle(df, 100, "ts", ["i"]), "i", "release_ms")) == [(0, 100), (1, 200), (2, 300), (3, 1000), (4, 1100)]
 
 
+def test_throttle_of_many_rows_and_long_intervals(spark):
+    """Places within a range times the interval go beyond 32 bits."""
+    df = spark.range(64).select(F.col("id").alias("i"), F.timestamp_seconds(F.lit(0)).alias("ts"))
+    assert sorted(values(keyed.throttle(df, 10**9, "ts", ["i"]), "i", "release_ms")) == [(i, i * 10**9) for i in range(64)]
+
+
 def test_bolts(lines):
     def work(row):
         if row["n"] == 2:
