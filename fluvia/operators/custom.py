@@ -10,13 +10,32 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Bytes of values of a batch that are held as rows at once, and rows that are made before they are handed on.
+SLICE_BYTES = 1 << 20
+MADE_ROWS = 10_000
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``SLICE_BYTES``, whole rows each."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        piece = batch.slice(at, rows)
+        if piece.num_rows > 1 and piece.nbytes > 2 * SLICE_BYTES:  # rows of very different lengths
+            half = piece.num_rows // 2
+            yield from slices(piece.slice(0, half))
+            yield from slices(piece.slice(half))
+        else:
+            yield piece
+
+
 def map_rows(df: DataFrame, work: Callable[[Iterator[list[dict]]], Iterator[list[dict]]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` on rows as dicts: values keep their types, so long integers beside nulls stay exact. Missing
-    fields are null."""
+    fields are null. A task holds a slice of a batch as rows, and what ``work`` yields at once; the lists that it yields
+    may have any lengths."""
     kind = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in work(batch.to_pylist() for batch in batches):
+        for rows in work(piece.to_pylist() for batch in batches for piece in slices(batch)):
             columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in kind]
             yield pa.RecordBatch.from_arrays(columns, schema=kind)
 
@@ -46,8 +65,14 @@ def bolt(
 
     def run(batches: Iterator[list[dict]]) -> Iterator[list[dict]]:
         own = work() if fresh else work
+        made: list[dict] = []
         for rows in batches:
-            yield [made for row in rows for made in own(row) or ()]
+            for row in rows:
+                made += own(row) or ()
+                if len(made) >= MADE_ROWS:
+                    yield made
+                    made = []
+        yield made
 
     return map_rows(df, run, kind)
 

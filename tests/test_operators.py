@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluvia import functions as fn
 from fluvia.operators import custom, enrich, extract, keyed, route, ruleset
@@ -285,6 +286,18 @@ def test_bolts(lines):
     assert sorted(values(custom.bolt(lines, safe, "m long"), "m")) == [(-2,), (1,), (4,), (5,), (5,)]
 
 
+def test_rows_held_at_once(spark, monkeypatch):
+    """Neither a batch of long texts is held as rows whole, nor all that a batch makes."""
+    long = spark.range(20).select(F.repeat(F.lit("x"), F.lit(custom.SLICE_BYTES)).alias("t")).coalesce(1)
+    held = custom.map_rows(long, lambda batches: ([{"n": len(rows)}] for rows in batches), T.StructType([T.StructField("n", T.LongType())]))
+    found = [r["n"] for r in held.collect()]
+    assert sum(found) == 20 and max(found) <= 2
+    monkeypatch.setattr(custom, "map_rows", lambda df, work, schema: work)
+    run = custom.bolt(long, lambda row: [{"n": row["v"]}] * 9_000, "n long")
+    made = [len(rows) for rows in run(iter([[{"v": 1}] * 10]))]
+    assert sum(made) == 90_000 and max(made) <= 2 * custom.MADE_ROWS
+
+
 def test_line_files(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\n\nthree\n")
     (tmp_path / "b.log").write_bytes(b"x\r\ny")
