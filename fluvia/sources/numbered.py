@@ -10,6 +10,7 @@ line whose range was not counted is an error, never a wrong number.
 from __future__ import annotations
 
 import fnmatch
+import re
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -26,8 +27,10 @@ def named(df: DataFrame) -> DataFrame:
 
 
 def excluded(df: DataFrame, exclude: Sequence[str]) -> DataFrame:
+    """Without the files whose path or name is like one of the globs as a whole. The pattern is bound at both ends, so a
+    path is tried once and not from each of its characters."""
     for glob in exclude:
-        pattern = F.lit(fnmatch.translate(glob).replace(r"\Z", "$"))
+        pattern = F.lit("^" + re.sub(r"\\[zZ]$", r"\\z", fnmatch.translate(glob)))
         df = df.filter(~F.rlike("path", pattern) & ~F.rlike("filename", pattern))
     return df
 

@@ -298,6 +298,12 @@ def test_rows_held_at_once(spark, monkeypatch):
     assert sum(made) == 90_000 and max(made) <= 2 * custom.MADE_ROWS
 
 
+def test_excluded_names_are_whole(spark, tmp_path):
+    for name in ("b.log", "ab.log"):
+        (tmp_path / name).write_text("x\n")
+    assert values(readers.lines(spark, f"{tmp_path}/*.log", exclude=["b.log"]), "filename") == [("ab.log",)]
+
+
 def test_line_files(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\n\nthree\n")
     (tmp_path / "b.log").write_bytes(b"x\r\ny")
