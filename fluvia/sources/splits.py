@@ -8,11 +8,22 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
+#: Tasks a core that the parts of a source are dealt to at most.
+TASKS = 4
+
+
 class _Split(InputPartition):
     def __init__(self, value: object) -> None:
         self.value = value
 
 
+def _dealt(parts: Sequence[object], tasks: int) -> list[_Split]:
+    """Neighbouring parts together, in at most ``tasks`` splits of about equal numbers."""
+    parts = list(parts)
+    tasks = min(tasks, len(parts))
+    return [_Split(parts[len(parts) * i // tasks : len(parts) * (i + 1) // tasks]) for i in range(tasks)]
+
+
 def register(
     spark: SparkSession,
     name: str,
@@ -23,19 +34,21 @@ def register(
     """Makes ``spark.read.format(name).options(...).load()`` read a source of one's own.
 
     ``splits(options)`` runs on the driver and lists the parts, which are small and can be pickled; ``rows(part, options)``
-    runs in a task for each part and yields tuples in the order of ``schema``. A task that is lost reads its part again, so
-    ``rows`` should give the same rows for the same part. No parts give no rows.
+    runs in a task and yields a part's tuples in the order of ``schema``; many small parts share a task, one after the other, so
+    that there are at most ``TASKS`` tasks a core. A task that is lost reads its parts again, so ``rows`` should give the
+    same rows for the same part. No parts give no rows.
     """
+    tasks = TASKS * spark.sparkContext.defaultParallelism
 
     class Reader(DataSourceReader):
         def __init__(self, options: Mapping[str, str]) -> None:
             self.options = dict(options)
 
         def partitions(self) -> list[InputPartition]:
-            return [_Split(x) for x in splits(self.options)] or [_Split(None)]
+            return _dealt(splits(self.options), tasks) or [_Split([])]
 
         def read(self, partition: _Split) -> Iterator[tuple]:
-            return iter(()) if partition.value is None else rows(partition.value, self.options)
+            return (row for part in partition.value for row in rows(part, self.options))
 
     class Source(DataSource):
         @classmethod
@@ -69,6 +82,7 @@ def register_stream(
     query that starts again reads the same parts again or goes on behind them: the source must give the same rows for
     the same offsets until ``done(to, options)`` says that all before ``to`` are no longer needed.
     """
+    tasks = TASKS * spark.sparkContext.defaultParallelism
 
     class Reader(DataSourceStreamReader):
         def __init__(self, options: Mapping[str, str]) -> None:
@@ -81,10 +95,10 @@ def register_stream(
             return latest(self.options)
 
         def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-            return [_Split(x) for x in splits(start, end, self.options)] or [_Split(None)]
+            return _dealt(splits(start, end, self.options), tasks) or [_Split([])]
 
         def read(self, partition: _Split) -> Iterator[tuple]:
-            return iter(()) if partition.value is None else rows(partition.value, self.options)
+            return (row for part in partition.value for row in rows(part, self.options))
 
         def commit(self, end: dict) -> None:
             if done is not None:

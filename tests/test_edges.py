@@ -146,3 +146,11 @@ def test_custom_source(spark):
     assert df.rdd.getNumPartitions() == 3
     assert sorted((r["n"], r["word"]) for r in df.collect()) == [(i, "xx" if i % 2 else None) for i in range(12)]
     assert spark.read.format("counted").options(word="x").load().count() == 0
+
+
+def test_many_parts_share_tasks(spark):
+    """Before, each part was a task of its own."""
+    splits_source.register(spark, "many", "n long", lambda options: list(range(1000)), lambda part, options: [(part,)] if part % 2 else [])
+    df = spark.read.format("many").load()
+    assert df.rdd.getNumPartitions() <= splits_source.TASKS * spark.sparkContext.defaultParallelism
+    assert sorted(r["n"] for r in df.collect()) == list(range(1, 1000, 2))
