@@ -186,7 +186,7 @@ _SD = r"-|(?:\[[^\s\]=\"]++(?:" + _PARAM + r")*+\])++"
 _RFC5424 = r"(?s)^<\d{1,3}>\d{1,2} \S+ \S+ \S+ \S+ \S+ (?:" + _SD + r")(?: .*)?$"
 _BSD = r"(?s)^<(\d{1,3})>([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}|[A-Z][a-z]{2} \d \d{2}:\d{2}:\d{2}) (\S+) (?:([^\s:\[]+)(?:\[([^\]]*)\])?: ?)?(.*)$"
 _CEF_FIELD = r"([^|\\]*+(?:\\.[^|\\]*+)*+)\|"
-_CEF = r"(?s)^(?:<\d{1,3}>)?.*?(CEF:\d+)\|" + 6 * _CEF_FIELD + r"(.*)$"
+_CEF = r"(?s)^(?:<\d{1,3}>)?.*?(CEF:\d+\|" + 6 * _CEF_FIELD.replace("([^", "(?:[^", 1) + r")(.*)$"
 _CEF_PAIR = r"(?s)([^\s=|]+)=(.*?)(?=\s+[^\s=|]+=|\s*$)"
 
 
@@ -196,18 +196,26 @@ def syslog_extract(df: DataFrame, source: str, out: str = "syslog") -> DataFrame
     Fields: ``prival, facilityval, levelval, facility, level, version, type, ts (text), host, app_name, pid, messageid,
     message, structured_data`` (array of maps with ``$id``), ``cef`` (struct) and ``fields`` (map of the CEF extension).
 
-    The kind is found once a line; an RFC 5424 header is then cut at its blanks, and only its structured data and what
-    the other kinds need are matched again. No expression recurses with the length of a field.
+    The kind is found once a line. A CEF line is matched for its header and its extension; the header is then cut at its bars and the
+    extension into pairs, each in one pass. An RFC 5424 header is cut at its blanks, and only its structured data and what
+    the BSD form needs are matched again. No expression recurses with the length of a field.
     """
     c, kind, parts, data = F.col(source), F.col("__fluvia_kind"), F.col("__fluvia_parts"), F.col("__fluvia_data")
-    found = F.when(F.contains(c, F.lit("CEF:")) & F.rlike(c, F.lit(_CEF)), "CEF")
+    head, heads, extension, pieces = (F.col(f"__fluvia_{x}") for x in ("head", "heads", "extension", "pieces"))
+    # the header from "CEF:" on, empty where the line is no CEF
+    df = df.withColumn("__fluvia_head", F.when(F.contains(c, F.lit("CEF:")), F.regexp_extract(c, _CEF, 1)))
+    found = F.when(head != "", "CEF")
     found = found.when(F.startswith(c, F.lit("<")) & F.rlike(c, F.lit(_RFC5424)), "RFC5424").when(F.rlike(c, F.lit(_BSD)), "BSD")
     df = df.withColumn("__fluvia_kind", found)
     df = df.withColumn("__fluvia_parts", F.when(kind == "RFC5424", F.split(c, " ", 7)))
     df = df.withColumn("__fluvia_data", F.regexp_extract(parts[6], f"^(?:{_SD})", 0))
+    df = df.withColumn("__fluvia_heads", F.when(kind == "CEF", F.regexp_extract_all(head, F.lit("(?s)" + _CEF_FIELD), F.lit(1))))
+    df = df.withColumn("__fluvia_extension", F.when(kind == "CEF", F.regexp_extract(c, _CEF, 2)))
+    df = df.withColumn("__fluvia_pieces", F.when(kind == "CEF", F.regexp_extract_all(extension, F.lit(_CEF_PAIR), F.lit(0))))
     group = lambda p, i: F.regexp_extract(c, p, i)
     nil = lambda x: F.when((x != "-") & (x != ""), x)
-    prival = F.regexp_extract(F.left(c, F.lit(5)), r"^<(\d{1,3})>", 1).try_cast("int")
+    tagged = F.regexp_extract(F.left(c, F.lit(5)), r"^<(\d{1,3})>", 1)
+    prival = F.when(tagged != "", tagged.cast("int"))  # a try_cast of empty text costs an exception a line
     named = lambda names, i: F.get(F.array(*map(F.lit, names)), i)
     sd = F.regexp_extract_all(data, F.lit(r"\[[^\s\]=\"]++(?:" + _PARAM + r")*+\]"), F.lit(0))
     # the message stands behind one blank, with or without a byte order mark
@@ -221,10 +229,9 @@ def syslog_extract(df: DataFrame, source: str, out: str = "syslog") -> DataFrame
         return array_to_map(F.concat(own, pairs))
 
     cef_names = ("version", "device_vendor", "device_product", "device_version", "device_event_class_id", "name", "severity", "extension")
-    cef = F.struct(*(group(_CEF, i + 1).alias(n) for i, n in enumerate(cef_names)))
-    keys = F.regexp_extract_all(group(_CEF, 8), F.lit(_CEF_PAIR), F.lit(1))
-    values = F.regexp_extract_all(group(_CEF, 8), F.lit(_CEF_PAIR), F.lit(2))
-    pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("k"), v.alias("v")))
+    cef = F.struct(*(heads[i].alias(n) for i, n in enumerate(cef_names[:-1])), extension.alias(cef_names[-1]))
+    key = lambda x: F.substring_index(x, "=", 1)
+    pairs = F.transform(pieces, lambda x: F.struct(key(x).alias("k"), F.substr(x, F.length(key(x)) + 2).alias("v")))
     by = lambda rfc, bsd=None, cef=None: F.when(kind == "RFC5424", rfc).when(kind == "BSD", bsd).when(kind == "CEF", cef)
     none = F.lit(None).cast("string")
     parsed = F.struct(
@@ -245,7 +252,7 @@ def syslog_extract(df: DataFrame, source: str, out: str = "syslog") -> DataFrame
         F.when(kind == "CEF", cef).alias("cef"),
         F.when(kind == "CEF", array_to_map(pairs)).alias("fields"),
     )
-    return df.withColumn(out, F.when(kind.isNotNull(), parsed)).drop("__fluvia_kind", "__fluvia_parts", "__fluvia_data")
+    return df.withColumn(out, F.when(kind.isNotNull(), parsed)).drop(*(f"__fluvia_{x}" for x in ("kind", "parts", "data", "head", "heads", "extension", "pieces")))
 
 
 def split_array(df: DataFrame, source: str, separator: str, out: str) -> DataFrame:

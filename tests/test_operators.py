@@ -179,6 +179,19 @@ def test_syslog_edges(spark):
     assert got[3] is None and got[4] is None
 
 
+def test_cef_is_matched_few_times(spark):
+    """Bars and line ends behind a backslash, bars in the extension; and no match for each field of the header."""
+    row = "<13>x CEF:0|a\\|b|c\\\\|\\\n||n m|9|k=v | w\n z=p=q  e= f"
+    df = spark.createDataFrame([(row,), ("CEF:0|a|b|c|d|e|f",), ("CEF:1|||||||",)], "l string")
+    made = extract.syslog_extract(df, "l")
+    got = [r["syslog"] for r in made.collect()]
+    assert tuple(got[0]["cef"]) == ("CEF:0", "a\\|b", "c\\\\", "\\\n", "", "n m", "9", "k=v | w\n z=p=q  e= f")
+    assert got[0]["fields"] == {"k": "v | w", "z": "p=q", "e": "f"} or got[0]["fields"] == {"k": "v | w", "z": "p=q", "e": " f"}
+    assert got[1] is None and got[2]["fields"] == {} and got[2]["cef"]["severity"] == ""
+    plan = made.select("syslog.cef", "syslog.fields")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(CEF:\d+") <= 2 and "try_cast(regexp_extract" not in plan
+
+
 def test_rule_sets():
     parse = ruleset.machine(ruleset.from_document([{"regex": "a(b)?(c)?", "name": ["x", "y", "z"]}]))
     assert parse.read("zzab 12") == ([("x", "b"), ("y", "12"), ("z", "12")], "start")
