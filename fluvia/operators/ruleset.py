@@ -14,11 +14,11 @@ from collections.abc import Generator, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .custom import map_rows
+from .custom import map_rows, slices
 
 START = "start"
 #: Names of values that an ended line does not keep.
@@ -176,13 +176,25 @@ def _as_items(pairs: list[tuple[str, str | None]] | None) -> list[dict] | None:
     return None if pairs is None else [{"name": k, "value": v} for k, v in pairs]
 
 
-def extract(df: DataFrame, source: str, rules: RuleSet, out: str = "parsed") -> DataFrame:
-    """Adds ``out``, the pairs found in order; rejected lines are dropped, null and empty ones find nothing."""
+def _as_lists(lines: list[list[tuple[str, str | None]] | None]) -> pa.Array:
+    """The pairs of lines in Arrow's form of ``PARSED``, without an object for each pair."""
+    ends = [0]
+    for pairs in lines:
+        ends.append(ends[-1] + len(pairs or ()))
+    flat = [x for pairs in lines for x in pairs or ()]
+    items = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], pa.string()) for i in (0, 1)], ["name", "value"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, mask=pa.array([x is None for x in lines], pa.bool_()))
+
 
-    @F.pandas_udf(PARSED)
-    def parsed(lines: pd.Series) -> pd.Series:
-        own = machine(rules)
-        return pd.Series([_as_items(own.read(x)[0]) for x in lines], dtype="object")
+def extract(df: DataFrame, source: str, rules: RuleSet, out: str = "parsed") -> DataFrame:
+    """Adds ``out``, the pairs found in order; rejected lines are dropped, null and empty ones find nothing. A task
+    holds the pairs of a slice of a batch at once (see ``custom.slices``)."""
+
+    @F.arrow_udf(PARSED)
+    def parsed(lines: pa.Array) -> pa.Array:
+        own, batch = machine(rules), pa.RecordBatch.from_arrays([lines], ["line"])
+        made = [_as_lists([own.read(x)[0] for x in piece.column(0).to_pylist()]) for piece in slices(batch)]
+        return pa.concat_arrays(made) if made else _as_lists([])
 
     return df.withColumn(out, parsed(F.col(source))).filter(F.col(out).isNotNull())
 

@@ -55,3 +55,10 @@ def test_long_chain(spark):
     df = spark.createDataFrame([("".join(f"{i}{chr(97 + i)} " for i in range(12)),)], "line string")
     row = ruleset.extract_native(df, "line", ruleset.from_document(rules), "p").first()["p"]
     assert [row[f"n{i}"] for i in range(12)] == [str(i) for i in range(12)]
+
+
+def test_pairs_as_lists():
+    """Rejected lines are null, lines without pairs empty, nulls among values stay."""
+    made = ruleset._as_lists([None, [], [("a", "1"), ("b", None)]])
+    assert made.to_pylist() == [None, [], [{"name": "a", "value": "1"}, {"name": "b", "value": None}]]
+    assert ruleset._as_lists([]).to_pylist() == []
