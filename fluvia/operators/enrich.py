@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import java_format
-from .ranges import before_each, numbered, range_bucket
+from .ranges import before_each, numbered, range_bucket, with_part
 
 
 def envelope(df: DataFrame, input_name: str, kind: str, key: Column | None = None) -> DataFrame:
@@ -156,7 +156,7 @@ def global_value(df: DataFrame, values: DataFrame, order_by: str, value: str, ou
     whole = parted.select("__fluvia_part").distinct().join(ends, "__fluvia_part", "left")
     before = before_each(whole, "__fluvia_part", F.last("__fluvia_top", ignorenulls=True), "__fluvia_carry")
     own = parted.withColumn("__fluvia_own", latest(Window.partitionBy("__fluvia_part").orderBy(order_by, "__fluvia_row")))
-    found = own.join(before, "__fluvia_part").withColumn(out, F.coalesce("__fluvia_own", "__fluvia_carry"))
+    found = with_part(own, before).withColumn(out, F.coalesce("__fluvia_own", "__fluvia_carry"))
     hidden = [f"__fluvia_{x}" for x in ("value", "row", "part", "own", "carry")]
     return found.filter(F.col("__fluvia_row") == 1).drop(*(x for x in hidden if x != out))
 
