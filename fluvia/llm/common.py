@@ -43,6 +43,31 @@ def dropped_after() -> Iterator[None]:
             tables.drop_all()
 
 
+#: Bytes of an Arrow batch between an executor and its Python worker. By default 10,000 rows, some 35 MB of texts of usual
+#: length, which each task holds several times: as buffers on both sides, as Python objects, and with what is made of them.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches are of about ``BATCH_BYTES``, whatever the length of texts; a setting of
+    the session's own holds. Rows and results are the same."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+@contextmanager
+def kept_setting(spark: SparkSession, name: str) -> Iterator[None]:
+    """Puts a setting of the session back at the end."""
+    before = spark.conf.get(name, None)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def free_name(columns: Iterable[str], wanted: str) -> str:
     """``wanted``, lengthened until no column has that name."""
     taken = {c.lower() for c in columns}

@@ -190,6 +190,7 @@ def pack(
                 bins.add(key, coder.encode(t.as_py()) + end)
                 if len(bins.done) >= 4096:
                     yield flush()
+        coder.segments.clear()  # the worker goes on to other tasks, also of other stages
         if shape is not None:
             bins.finish()
             yield flush()

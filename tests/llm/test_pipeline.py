@@ -109,3 +109,37 @@ def test_predict_keeps_other_columns(spark, odd):
     got = language_ppm.predict(odd, trees)
     assert [r["guess"] for r in got.collect()] == ["own guess"] * odd.count()
     assert set(got.columns) == {*odd.columns, "lang_pred"}
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_keep_batches_of_texts_small(spark, sf, stage):
+    """10,000 rows a batch, as before, are some 40 MB here."""
+    docs = spark.range(0, 10_000, 1, 1).selectExpr("id doc_id", "repeat('abcd efgh ', 400) text", "'en' lang", "'a' source")
+    with common.kept_setting(spark, common.BATCH_SETTING):
+        stage[1](spark, read(spark, sf, "documents").limit(50), sf)
+        sizes = docs.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) > 30e6 and max(r["n"] for r in sizes) < 1.5 * common.BATCH_BYTES
+
+
+def test_same_rows_from_batches_of_any_size(spark, sf):
+    docs, got = read(spark, sf, "documents"), []
+    for size in ("1k", "1g"):
+        with common.kept_setting(spark, common.BATCH_SETTING):
+            spark.conf.set(common.BATCH_SETTING, size)
+            got.append([])
+            for stage in corpus_pipeline.STAGES[:3]:
+                got[-1].append(sorted(r["doc_id"] for r in stage[1](spark, docs, sf).collect()))
+            assert spark.conf.get(common.BATCH_SETTING) == size  # a session's own setting holds
+    assert got[0] == got[1] and all(got[0])
+
+
+def test_packing_leaves_no_memo_in_its_workers(spark, sf):
+    def held(batches):
+        from fluvia.llm import packing
+
+        for b in batches:
+            yield b.from_pydict({"n": [sum(len(e.segments) for e in packing._LOADED.values())]})
+
+    with common.kept_setting(spark, common.BATCH_SETTING):
+        assert corpus_pipeline.packing(spark, read(spark, sf, "documents"), sf).filter("ids_crc32 >= 0").count()
+        assert max(r["n"] for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect()) == 0
