@@ -76,6 +76,9 @@ def free_name(columns: Iterable[str], wanted: str) -> str:
     return wanted
 
 
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Tables:
     """Written tables of one operator run; they cut lineage and survive the loss of executors."""
 
@@ -87,10 +90,13 @@ class Tables:
         self.count = 0
 
     def write(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` and read it again."""
+        """Write ``df`` and read it again. What was shuffled for it goes at once; by itself Spark keeps it until the
+        driver happens to collect its garbage."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.parquet(path)
+        with kept_setting(self.spark, CLEANUP_SETTING):
+            self.spark.conf.set(CLEANUP_SETTING, "true")
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.written_path = path
         return out

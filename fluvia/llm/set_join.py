@@ -6,8 +6,11 @@ p(a + b)/(p + q) in common. Everything is counted in integers.
 1. *Who may have a partner.* In the order of shingle hashes, partners share at least ``Rule.needed`` of their first
    ``Rule.first`` shingles. Those first shingles are packed into arrays, shuffled by ranges of hashes, and each batch of
    texts learns how many of each text's some other text has. A key that several texts of one batch have is sent once, so
-   a frequent shingle costs one entry a batch. Texts with too few shared ones are done.
-2. The same over whole sets of what is left: p/q of a set must be in other sets.
+   a frequent shingle costs one entry a batch. A key is sent as 32 bits besides its range, and its text by its place in
+   the batch: keys that meet by chance let a text too many through, never one too few. Texts with too few shared ones
+   are done.
+2. The same over whole sets of what is left: p/q of a set must be in other sets. These sets are made of the texts once
+   more and not written; only those that are left after it are.
 3. *Blocks.* Partners differ in so few shingles that, with the hashes cut into a few more ranges than that, they agree
    in all of a range that is not empty. Sets that do are candidates; common passages alone seldom fill a range. A set
    with too many empty ranges is also a candidate by its first shingles. Components of candidates are dealt to blocks
@@ -111,10 +114,10 @@ def shingles(text: str | None, size: int, known: Memo | None = None) -> np.ndarr
     return np.unique(joint)
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
+def _lists(values: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
     ends = np.cumsum([0, *map(len, values)])
-    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
+    flat = np.concatenate(values) if values else np.zeros(0, kind.to_pandas_dtype())
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(kind.to_pandas_dtype()), kind))
 
 
 def signed(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -136,8 +139,8 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
     return docs.mapInArrow(sign, kept)
 
 
-def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
-    """``docs(text)`` -> ``(node, n, hashes)``."""
+def _signer(rule: Rule):
+    """Rows ``(text)`` -> ``(node, n, hashes)``."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_hashes()
@@ -146,38 +149,51 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["node", "n", "hashes"])
 
-    return docs.select("text").mapInArrow(sign, "node long, n long, hashes array<long>")
+    return sign
+
+
+def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """``docs(text)`` -> ``(node, n, hashes)``."""
+    return docs.select("text").mapInArrow(_signer(rule), "node long, n long, hashes array<long>")
 
 
-_PACKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("keys", "rows", "told", "counts"))])
+_PACKED = pa.schema([("part", pa.int32()), ("batch", pa.int64()), *((c, pa.list_(pa.int32())) for c in ("keys", "owners", "told")), ("rows", pa.list_(pa.int64()))])
 
 
-def _pack(parts: int):
-    """Rows ``(row, keys)`` -> entries by ranges of keys, each key once a batch; a batch is named by its first row."""
+def _place(mixed: np.ndarray, parts: int) -> np.ndarray:
+    """The range, of ``parts``, of hashes that a multiplication has mixed."""
+    return ((mixed >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _pack(parts: int, rule: Rule | None = None):
+    """Rows ``(row, keys)`` -> entries by ranges of keys, each key once a batch. A batch is named by its first row; one of
+    its entries tells its rows and how many keys of each the batch itself has twice. With a rule, rows ``(text)``: their
+    nodes and whole sets, made here, as a second Python worker beside this one would take as much memory again."""
 
     def flush(waiting: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(waiting)
-        lists = table["keys"].combine_chunks()
-        keys = lists.flatten().to_numpy()
-        rows = np.repeat(table["row"].to_numpy(), lists.value_lengths().to_numpy(zero_copy_only=False))
+        lists, rows = table["keys"].combine_chunks(), table["row"].to_numpy()
+        keys, owners = lists.flatten().to_numpy(), np.repeat(np.arange(len(rows), dtype=np.int32), lists.value_lengths().to_numpy(zero_copy_only=False))
         order = np.argsort(keys, kind="stable")
-        keys, rows = keys[order], rows[order]
+        keys, owners = keys[order], owners[order]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(keys)))
-        told, shared = np.unique(rows[np.repeat(counts > 1, counts)], return_counts=True)  # what the batch itself tells
-        sent, owner = keys[starts], np.where(counts > 1, -1, rows[starts])
-        place = ((sent.view(np.uint64) * _FACTOR >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        told = np.bincount(owners[np.repeat(counts > 1, counts)], minlength=len(rows)).astype(np.int32)
+        mixed, owner = keys[starts].view(np.uint64) * _FACTOR, np.where(counts > 1, np.int32(-1), owners[starts])
+        place = _place(mixed, parts)
         order = np.argsort(place, kind="stable")
         used, at = np.unique(place[order], return_index=True)
-        shares = np.array_split(np.arange(len(told)), max(1, len(used)))[: len(used)]
-        columns = [np.split(x[order], at[1:]) if len(used) else [] for x in (sent, owner)] + [[x[i] for i in shares] for x in (told, shared)]
-        batch = np.full(len(used), table["row"][0].as_py(), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(batch), *map(_lists, columns)], schema=_PACKED)
+        columns = [np.split(x[order], at[1:]) if len(used) else [] for x in (mixed.astype(np.uint32).view(np.int32), owner)]
+        teller = _place(rows[:1].view(np.uint64) * _FACTOR, len(used))
+        columns += [[x if i in teller else x[:0] for i in range(len(used))] for x in (told, rows)]
+        batch = np.full(len(used), rows[0], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(batch), *(_lists(x, t.type.value_type) for x, t in zip(columns, list(_PACKED)[2:], strict=True))], schema=_PACKED)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
-        for batch in batches:
+        for batch in batches if rule is None else _signer(rule)(batches):
             if batch.num_rows:
+                batch = batch if rule is None else batch.select(["node", "hashes"]).rename_columns(["row", "keys"])
                 waiting.append(batch)
                 size += len(batch.column("keys").flatten())
             if size >= BLOCK:
@@ -197,29 +213,29 @@ def _meet(group: pa.Table) -> pa.Table:
     same = keys[order][1:] == keys[order][:-1]
     shared = np.zeros(len(keys), bool)
     shared[order[1:][same]] = shared[order[:-1][same]] = True
-    rows, counts = [], []
-    parts = [np.split(x, ends[:-1]) for x in (shared, group["rows"].combine_chunks().flatten().to_numpy())]
-    for mark, own, told, told_counts in zip(*parts, group["told"], group["counts"], strict=True):
+    owners, counts = [], []
+    for mark, own in zip(*(np.split(x, ends[:-1]) for x in (shared, group["owners"].combine_chunks().flatten().to_numpy())), strict=True):
         found, n = np.unique(own[mark & (own >= 0)], return_counts=True)
-        rows.append(np.concatenate([found, np.array(told.as_py(), np.int64)]))
-        counts.append(np.concatenate([n, np.array(told_counts.as_py(), np.int64)]))
-    return pa.table({"batch": group["batch"], "rows": _lists(rows), "counts": _lists(counts)})
+        owners.append(found)
+        counts.append(n.astype(np.int32))
+    return pa.table({"batch": group["batch"], "owners": _lists(owners, pa.int32()), "counts": _lists(counts, pa.int32()), "told": group["told"], "rows": group["rows"]})
 
 
 def _add(group: pa.Table) -> pa.Table:
     """The counts of a batch's rows over all ranges."""
-    rows, counts = (group[c].combine_chunks().flatten().to_numpy() for c in ("rows", "counts"))
-    own, at = np.unique(rows, return_inverse=True)
-    return pa.table({"row": pa.array(own, pa.int64()), "shared": pa.array(np.bincount(at, counts, len(own)).astype(np.int64))})
+    owners, counts, told, rows = (group[c].combine_chunks().flatten().to_numpy() for c in ("owners", "counts", "told", "rows"))
+    shared = told + np.bincount(owners, counts, len(rows)).astype(np.int64)
+    return pa.table({"row": pa.array(rows[shared > 0], pa.int64()), "shared": pa.array(shared[shared > 0], pa.int64())})
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """``rows(row, keys)``, rows of 0 or more -> ``(row, shared)``: how many keys of a row some other row has; rows
-    without any are left out."""
-    total = rows.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+def _shared(rows: DataFrame, total: int, rule: Rule | None = None) -> DataFrame:
+    """``rows(row, keys)``, or with a rule ``rows(text)``, each row once, with ``total`` keys -> ``(row, shared)``: how
+    many keys of a row some other row has, or a few more; rows without any are left out."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK))
-    kind = "part int, batch long, keys array<long>, rows array<long>, told array<long>, counts array<long>"
-    met = rows.select("row", "keys").mapInArrow(_pack(parts), kind).groupBy("part").applyInArrow(_meet, "batch long, rows array<long>, counts array<long>")
+    told = "told array<int>, rows array<long>"
+    given = rows.select("row", "keys") if rule is None else rows.select("text")
+    met = given.mapInArrow(_pack(parts, rule), f"part int, batch long, keys array<int>, owners array<int>, {told}")
+    met = met.groupBy("part").applyInArrow(_meet, f"batch long, owners array<int>, counts array<int>, {told}")
     return met.groupBy("batch").applyInArrow(_add, "row long, shared long")
 
 
@@ -341,7 +357,9 @@ def _joined(members: DataFrame, sets: DataFrame, rule: Rule, tables: Tables) ->
         linked = roots != nodes
         return pa.table({"a": nodes[linked], "b": roots[linked]})
 
-    dealt = members.join(sets.select("node", "hashes"), "node").select("block", "node", "hashes")
+    members = tables.write(members)
+    members = F.broadcast(members) if members.count() <= SENT else members
+    dealt = sets.join(members, "node").select("block", "node", "hashes")
     return tables.write(dealt.groupBy("block").applyInArrow(links, "a long, b long"))
 
 
@@ -399,7 +417,7 @@ def _spread_keys(parts: int, rule: Rule):
     def flush(keys: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
         flat = np.concatenate(keys).view(np.int64)
         flat, owners, a, b = _to_least(flat, np.repeat(np.array(nodes, np.int64), [len(k) for k in keys]))
-        place = ((flat.view(np.uint64) * _FACTOR >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        place = _place(flat.view(np.uint64) * _FACTOR, parts)
         order = np.argsort(place, kind="stable")
         used, at = np.unique(place[order], return_index=True)
         shares = np.array_split(np.arange(len(a)), max(1, len(used)))[: len(used)]
@@ -472,24 +490,42 @@ def _components(sets: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
     return components(links.unionByName(more), tables)
 
 
-def text_hashes(text: str = "text") -> dict[str, Column]:
-    """Two hashes by which a text is found again."""
-    return {"h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), F.col(text))}
-
-
-def links(base: DataFrame, texts: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
-    """``(node, root)`` of nodes that have a link, from a written table ``base(row, node, n, keys, h1, h2)`` and the
-    ``texts(h1, h2, text)`` that it was made of, which are read once more where they may have a partner."""
-    shared = tables.write(_shared(base.filter("n > 0")))
-    rich = base.join(shared, "row").filter(f"shared >= {rule.needed()}").groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("h"))
-    lead = tables.write(rich.select("h.h1", "h.h2"))
-    few = lead.count() <= SENT
-    again = texts.join(F.broadcast(lead) if few else lead, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    sets = tables.write(_sets(again, rule).withColumn("row", F.monotonically_increasing_id()))
-    rich = _shared(sets.select("row", F.col("hashes").alias("keys"))).join(sets.select("row", "n"), "row").filter(f"{rule.q} * shared >= {rule.p} * n")
-    left = tables.write(sets.join(rich.select("row"), "row", "left_semi").select("node", "n", "hashes"))
-    tables.drop(sets)
-    return _components(left, rule, tables)
+def row_hashes(docs: DataFrame) -> list[Column]:
+    """Two hashes of a row, by which it is found again; nulls count, and entries of a map in any order."""
+    parts: list[Column] = []
+    for c in docs.columns:
+        value = F.array_sort(F.map_entries(c)) if isinstance(docs.schema[c].dataType, T.MapType) else F.col(c)
+        parts += [value, value.isNull()]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)]
+
+
+def _once(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Of ``texts(d1, d2, text)`` those of a written table ``rows(d1, d2, times)``, each once. Only texts of rows that
+    repeat are shuffled, up to ``SENT`` rows."""
+    found = []
+    for repeat in (False, True):
+        part = rows.filter("times > 1" if repeat else "times = 1").select("d1", "d2")
+        count = part.count()
+        if count or not repeat:
+            met = texts.join(F.broadcast(part) if count <= SENT else part, ["d1", "d2"], "left_semi")
+            found.append(met.dropDuplicates(["d1", "d2"]) if repeat else met)
+    return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
+
+
+def links(base: DataFrame, texts: DataFrame, rule: Rule, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """``(node, root)`` of nodes that have a link, from a written table ``base(row, node, n, keys, d1, d2)``, whose rows
+    have the hashes ``d1`` and ``d2``, and the ``texts(d1, d2, text)`` that it was made of, which are read again where
+    they may have a partner. In place of ``base``, which goes, one without ``keys`` is given beside it."""
+    total = base.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    shared = tables.write(_shared(base.filter("n > 0"), total))
+    slim = tables.write(base.drop("keys"))
+    tables.drop(base)
+    rich = slim.join(shared, "row").filter(f"shared >= {rule.needed()}").groupBy("node", "n", "d1", "d2").agg(F.count("*").alias("times"))
+    lead = tables.write(rich.groupBy("node").agg(F.min(F.struct("d1", "d2", "times", "n")).alias("lead")).select("node", "lead.*"))
+    total = lead.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rich = _shared(_once(texts, lead), total, rule).join(lead.withColumnRenamed("node", "row"), "row").filter(f"{rule.q} * shared >= {rule.p} * n")
+    left = tables.write(rich.select("d1", "d2", "times"))
+    return slim, _components(tables.write(_sets(_once(texts, left), rule)), rule, tables)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rule: Rule = Rule(), name: str = "set_join") -> DataFrame:
@@ -500,9 +536,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", rule: Rule
     No rows give no rows; other columns, whatever their names, are not read. Of a long text 8 bytes a word are held.
     """
     tables = Tables(docs.sparkSession, name)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).withColumns(text_hashes())
+    own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    own = own.withColumns(dict(zip(("d1", "d2"), row_hashes(own), strict=True)))
     base = tables.write(signed(own, rule).withColumn("row", F.monotonically_increasing_id()))
-    found = links(base, own.select("h1", "h2", "text"), rule, tables)
+    base, found = links(base, own.select("d1", "d2", "text"), rule, tables)
     nodes = base.filter("n > 0").groupBy("node").agg(F.min("id").alias("least")).join(found, "node", "left")
     nodes = tables.write(nodes.select("node", "least", F.coalesce("root", "node").alias("root")))
     least = nodes.groupBy("root").agg(F.min("least").alias("component"))
